@@ -32,7 +32,7 @@ class Parser:
     """Phrase counts of texts against the words of each language (name -> words)."""
 
     def __init__(self, words: dict[str, list[str]], most: int = 300_000):
-        self.names = sorted(words)
+        self.names = list(words)  # a tie goes to the first
         self.machines = [SuffixAutomaton().extend(" " + " ".join(words[k]) + " ") for k in self.names]
         # Bits to name a place in the text of that language.
         self.bits = [math.log2(m.size + 2) for m in self.machines]
@@ -56,7 +56,7 @@ class Parser:
         return [(total >> (_FIELD * k)) & mask for k in range(len(self.names))]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The winning language and the posterior of its code length against the others' (a tie goes to the first name)."""
+        """The winning language and the posterior of its code length against the others' (a tie goes to the language with more labelled rows)."""
         if not self.names or not letters_of(text):
             return "und", 0.0
         cost = [n * b for n, b in zip(self.phrases(text), self.bits)]
@@ -98,7 +98,7 @@ def learn(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_c
     # Labels may be wrong: texts that another language's words explain better are left out, and words are chosen anew.
     first = Parser({k: common_words(v, train_chars) for k, v in texts.items()})
     agreed = {k: [t for t in v if first.predict(t)[0] == k] for k, v in texts.items()}
-    return {k: common_words(agreed[k] or v, train_chars) for k, v in texts.items()}
+    return {k: common_words(agreed[k] or texts[k], train_chars) for k in sorted(texts, key=lambda k: (-counts[k], k))}
 
 
 def common_words(texts: list[str], most_chars: int) -> list[str]:
