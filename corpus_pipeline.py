@@ -9,8 +9,8 @@ from linkspark.llm import decontaminate, language, neardup, pieces, quality
 from linkspark.llm.common import documents, materialise
 from linkspark.llm.queries import tokenizer
 
-#: A language is accepted from this posterior on: at least as likely as all others together.
-LEAST_LANGUAGE_SCORE = 0.5
+#: A language is accepted from this posterior on; below it, three or more languages explain the text equally well.
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
