@@ -7,8 +7,9 @@ not depend on its length, so signatures are cheap for long texts. Here the arriv
 drawn from the element's hash, so they are the same in every document that holds the element.
 
 Bands of coordinates are hashed; documents that share a band are candidates, and every candidate link is checked by the
-exact Jaccard similarity of the shingle sets. Links are made without emitting the pairs of a band: each member first
-against the least member, then, once classes are joined, only across different classes within a band.
+exact Jaccard similarity of the shingle sets. Links are made without emitting the pairs of a band: each member is held
+against the band's least member; then the documents of bands that still hold several classes meet across classes in a
+join filtered by prefixes and sketches of their sets, whose candidates are checked in turn.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, ascii_lower, materialise, sliced
-from .tokens import BoundedCache
+from .tokens import BoundedCache, per_worker
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BLOCKS = (1, 3, 12)  # arrivals drawn at a time: fixed, so that sums of gaps round alike in every document
@@ -107,17 +108,19 @@ class Darts:
 class Shingles:
     """64-bit hashes of the runs of `size` words of a text; a text of fewer words, but not none, is one shingle."""
 
-    def __init__(self, size: int = 5, most: int = 500_000):
+    def __init__(self, size: int = 5, most: int = 200_000):
         self.size = size
 
         class Hashes(BoundedCache):
             def __missing__(self, w: str) -> int:
-                self.room_for(1)
-                self[w] = h = xxhash.xxh3_64_intdigest(w)
-                return h
+                return self.keep(w, xxhash.xxh3_64_intdigest(w))
 
         self.hashes = Hashes(most)
 
+    @classmethod
+    def of_worker(cls) -> Shingles:
+        return per_worker("shingles", cls)
+
     def of(self, text: str | None) -> np.ndarray:
         """All shingles, in order, with repeats."""
         words = WORD_RE.findall(ascii_lower(text)) if text else []
@@ -139,7 +142,7 @@ def signature_table(df: DataFrame, key_col: str, text_col: str, bands: int, rows
     source = df.select(F.col(key_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches):
-        shingles, darts = Shingles(), Darts(bands * rows)
+        shingles, darts = Shingles.of_worker(), Darts(bands * rows)
         salt = (np.arange(1, bands + 1, dtype=np.uint64) * _GOLD)[None, :]
         for batch in batches:
             for part in sliced(batch, 1, 1_000_000):
@@ -174,7 +177,7 @@ def shingle_sets(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     source = df.select(F.col(key_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches):
-        shingles = Shingles()
+        shingles = Shingles.of_worker()
         for batch in batches:
             for part in sliced(batch, 1, 1_000_000):
                 sets = [shingles.counted(t)[0].view(np.int64) for t in part.column(1).to_pylist()]
@@ -213,19 +216,63 @@ def _alike(n_a: Column, n_b: Column, similarity: float) -> Column:
     return F.least(n_a, n_b) >= F.lit(similarity) * F.greatest(n_a, n_b) - F.lit(1e-9)
 
 
-def verified(pairs: DataFrame, df: DataFrame, key_col: str, text_col: str, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b: keys of df) whose shingle sets have at least the similarity; sets are made for their documents only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
-    texts = df.select(F.col(key_col).cast("long").alias("k"), F.col(text_col).alias("t")).join(ids, F.col("k") == F.col("i"), "left_semi")
-    sets = materialise(shingle_sets(texts, "k", "t"), "sets")
-    # A key may come with several texts: any of them makes the link.
-    one = sets.distinct() if sets.count() > ids.count() else sets
-    left = pairs.join(one.select(F.col("k").alias("a"), F.col("s").alias("s_a")), "a")
-    both = left.join(one.select(F.col("k").alias("b"), F.col("s").alias("s_b")), "b")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets (k, s) have at least the similarity. A key may come with several sets: any of them makes the link."""
+    left = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("s_a")), "a")
+    both = left.join(sets.select(F.col("k").alias("b"), F.col("s").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return both.filter(shared >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - shared) - F.lit(1e-9)).select("a", "b").distinct()
 
 
+#: Bits of a sketch, and how many standard deviations below the similarity its estimate may fall before a pair is left out.
+SKETCH_BITS, SKETCH_MARGIN = 1024, 4.5
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """Per set (k, s) its one-bit signature of SKETCH_BITS coordinates, as longs b0, b1, ...: bits agree with probability (1 + J) / 2."""
+    words = SKETCH_BITS // 64
+    names = [f"b{i}" for i in range(words)]
+
+    def run(batches):
+        darts = Darts(SKETCH_BITS)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                s = [np.array(x, dtype=np.int64).view(np.uint64) for x in part.column(1).to_pylist()]
+                sig = darts.signatures(np.repeat(np.arange(len(s)), [len(x) for x in s]), np.concatenate(s), None, len(s))
+                bits = np.packbits((mix(sig) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(bits[:, i].copy()) for i in range(words)]], names=["k", *names])
+
+    return sets.select("k", "s").mapInArrow(run, "k long, " + ", ".join(f"{n} long" for n in names))
+
+
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) among sets (k, c, s) of different classes c, none left out that could be similar.
+
+    Elements are ordered by rarity among the sets. Two similar sets share an element among the first n - ceil(t n) + 1 of
+    either, and at the first one they share enough elements are left for the overlap they need. Elements that one class
+    alone has in its prefixes pair nothing, so a large class meets itself nowhere. Sets that share the rare traces of an
+    edit but little else are told apart within the join by their sketches: a pair whose estimate lies SKETCH_MARGIN
+    deviations below the similarity (one in 300,000 of those that reach it) is left out.
+    """
+    each = sets.select("k", "c", F.size("s").alias("n"), F.explode("s").alias("e"))
+    rarity = each.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(rarity, "e").groupBy("k", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("o"))
+    length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)).cast("int") + 1
+    prefix = materialise(ordered.select("k", "c", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "x")).select("k", "c", "n", "at", F.col("x.e").alias("e")), "prefixes")
+    mixed = prefix.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("e")
+    p = prefix.join(mixed, "e", "left_semi").join(materialise(sketches(sets), "sketches"), "k")
+    bits = [c for c in p.columns if c.startswith("b")]
+    x, y = (p.select(F.col("e").alias(f"e{i}"), *[F.col(c).alias(f"{c}_{i}") for c in ("k", "c", "n", "at", *bits)]) for i in (1, 2))
+    need = F.lit(similarity / (1 + similarity)) * (F.col("n_1") + F.col("n_2")) - F.lit(1e-9)
+    left = F.least(F.col("n_1") - F.col("at_1"), F.col("n_2") - F.col("at_2"))  # this element and those after it
+    differ = sum((F.bit_count(F.col(f"{c}_1").bitwiseXOR(F.col(f"{c}_2"))) for c in bits), F.lit(0))
+    q = (1 - similarity) / 2
+    most = SKETCH_BITS * q + SKETCH_MARGIN * math.sqrt(SKETCH_BITS * q * (1 - q))
+    met = x.join(y, (F.col("e1") == F.col("e2")) & (F.col("k_1") < F.col("k_2")) & (F.col("c_1") != F.col("c_2")) & _alike(F.col("n_1"), F.col("n_2"), similarity) & (left >= need) & (differ <= most))
+    return met.select(F.col("k_1").alias("a"), F.col("k_2").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 32, rows: int = 6, weighted: bool = False) -> DataFrame:
     """One row per row of df: key and class_id, the least key of the documents that links of at least `similarity` join.
 
@@ -246,17 +293,20 @@ def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     heads = member.groupBy("band").agg(F.min(F.struct("k", "n")).alias("h"), F.max("k").alias("top")).filter("top > h.k").select("band", F.col("h.k").alias("a"), F.col("h.n").alias("n_a"))
     shared = materialise(member.join(heads, "band"), "shared")
     stars = materialise(shared.filter((F.col("k") > F.col("a")) & _alike(F.col("n"), F.col("n_a"), similarity)).select("a", F.col("k").alias("b")).distinct(), "stars")
-    first = materialise(verified(stars, df, key_col, text_col, similarity), "verified")
+    ids = shared.select(F.col("k").alias("i")).distinct()
+    texts = df.select(F.col(key_col).cast("long").alias("k"), F.col(text_col).alias("t")).join(ids, F.col("k") == F.col("i"), "left_semi")
+    sets = materialise(shingle_sets(texts, "k", "t"), "sets")
+    if sets.count() > ids.count():  # rows that repeat a key
+        sets = sets.distinct()
+    first = materialise(verified(stars, sets, similarity), "verified")
     comp = classes(first)
-    # Bands that still hold more than one class: every pair across classes, once, but those already looked at.
-    known = materialise(shared.select("band", "k", "n").join(comp, F.col("k") == F.col("node"), "left").select("band", "k", "n", F.coalesce("class", "k").alias("c")), "classed")
+    # Bands that still hold more than one class: their documents meet again by the prefixes of their sets, across classes only.
+    known = shared.select("band", "k").join(comp, F.col("k") == F.col("node"), "left").select("band", "k", F.coalesce("class", "k").alias("c"))
+    known = materialise(known, "classed")
     open_bands = known.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    rest = known.join(open_bands, "band", "left_semi")
-    x, y = rest.select("band", F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")), rest.select("band", F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    across = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _alike(F.col("n_a"), F.col("n_b"), similarity))
-    pairs = materialise(across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    second = verified(pairs, df, key_col, text_col, similarity)
-    final = classes(first.union(second))
+    rest = known.join(open_bands, "band", "left_semi").select("k", "c").distinct()
+    pairs = materialise(prefix_pairs(sets.join(rest, "k"), similarity).join(stars, ["a", "b"], "left_anti"), "across")
+    final = classes(first.union(verified(pairs, sets, similarity)))
     # The class of a content is that of its least key.
     by_content = reps.select("content", "k").join(final, F.col("k") == F.col("node"), "left").select(F.col("content").alias("c_content"), F.coalesce("class", "k").alias("class_id"))
     out = sig.select("k", "content").join(by_content, F.col("content") == F.col("c_content"), "left")
