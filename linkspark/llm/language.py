@@ -8,6 +8,7 @@ parsed with their leading and trailing blank, and phrases end with the word, so
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
 from .common import fold_col, map_texts
-from .tokens import BoundedCache
+from .tokens import BoundedCache, per_worker
 
 _WORD = re.compile(r"[^\W\d_]+")
 _FIELD = 40  # bits of each language's count in a packed sum
@@ -31,11 +32,11 @@ def letters_of(text: str | None) -> list[str]:
 class Parser:
     """Phrase counts of texts against the words of each language (name -> words)."""
 
-    def __init__(self, words: dict[str, list[str]], most: int = 300_000):
+    def __init__(self, words: dict[str, list[str]], most: int = 200_000):
         self.names = list(words)  # a tie goes to the first
         self.machines = [SuffixAutomaton().extend(" " + " ".join(words[k]) + " ") for k in self.names]
-        # Bits to name a place in the text of that language.
-        self.bits = [math.log2(m.size + 2) for m in self.machines]
+        # Bits to name a place in a language's text: the same for all, so that equal parses tie.
+        self.bits = math.log2(max((m.size for m in self.machines), default=0) + 2)
         self.known = BoundedCache(most)
 
     def _packed(self, word: str) -> int:
@@ -44,14 +45,11 @@ class Parser:
 
     def phrases(self, text: str | None) -> list[int]:
         words = letters_of(text)
-        known = self.known
-        for w in set(words).difference(known):
-            known.room_for(1)
-            known[w] = self._packed(w)
-        if len(known) >= len(words) or all(w in known for w in set(words)):
-            total = sum(map(known.__getitem__, words))
-        else:  # more distinct words than the cache holds
-            total = sum(known[w] if w in known else self._packed(w) for w in words)
+        known, total = self.known, 0
+        for w in words:
+            if (n := known.get(w)) is None:
+                n = known.keep(w, self._packed(w))
+            total += n
         mask = (1 << _FIELD) - 1
         return [(total >> (_FIELD * k)) & mask for k in range(len(self.names))]
 
@@ -59,7 +57,7 @@ class Parser:
         """The winning language and the posterior of its code length against the others' (a tie goes to the language with more labelled rows)."""
         if not self.names or not letters_of(text):
             return "und", 0.0
-        cost = [n * b for n, b in zip(self.phrases(text), self.bits)]
+        cost = [n * self.bits for n in self.phrases(text)]
         best = min(range(len(cost)), key=lambda k: cost[k])
         return self.names[best], 1.0 / sum(2.0 ** max(-1000.0, cost[best] - c) for c in cost)
 
@@ -69,7 +67,8 @@ class _Predict:
         self.words = words  # a broadcast of bounded size
 
     def start(self):
-        parser = Parser(self.words.value)
+        words = self.words.value
+        parser = per_worker(("parser", hashlib.sha256(repr(words).encode()).hexdigest()), lambda: Parser(words))
 
         def call(texts: list) -> dict:
             got = [parser.predict(t) for t in texts]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
 from .common import map_texts, words_of
+from .tokens import per_worker
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -134,7 +135,8 @@ class _Scan:
         self.args = templates, phrases
 
     def start(self):
-        scanner = Scanner(*self.args)
+        args = self.args
+        scanner = per_worker(("scanner", repr(args)), lambda: Scanner(*args))
         kinds = {"r_n": pa.int64(), "r_base": pa.int64(), "r_first": pa.int64(), "r_last": pa.int64(), "r_bl": pa.string(), "r_l": pa.string(), "r_s": pa.float64()}
 
         def call(texts: list) -> dict:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32, map_texts
-from .tokens import BoundedCache
+from .tokens import BoundedCache, per_worker
 
 BLANK = "▁"
 
@@ -28,7 +28,7 @@ BLANK = "▁"
 class Pieces:
     """The automaton and the tables of a vocabulary: (piece, score) by id, and the ids of the 256 bytes."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], dummy_prefix: bool = True, most: int = 400_000):
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], dummy_prefix: bool = True, most: int = 200_000):
         import ahocorasick
 
         if len(byte_ids) != 256:
@@ -60,6 +60,10 @@ class Pieces:
         byte_ids = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         return cls({m.id_to_piece(i): (i, m.get_score(i)) for i in plain}, byte_ids)
 
+    @classmethod
+    def of_worker(cls, path: str) -> Pieces:
+        return per_worker(("pieces", path), lambda: cls.from_model(path))
+
     def viterbi(self, s: str) -> list[int]:
         """Ids of the best path over s (blanks already written as U+2581). Ties go to the piece that begins first."""
         n, single, spelt = len(s), self.single, self.spelt
@@ -102,13 +106,12 @@ class Pieces:
             return np.zeros(0, dtype="<u4")
         segs = self.cut.findall(f" {text}" if self.dummy_prefix else text)
         known = self.known
-        known.room_for(len(segs))
         parts = []
         for s in segs:
             if (raw := known.get(s)) is None:
                 raw = np.array(self._segment(s), dtype="<u4").tobytes()
                 if len(s) <= 64:  # long runs seldom come again
-                    known[s] = raw
+                    known.keep(s, raw)
             parts.append(raw)
         return np.frombuffer(b"".join(parts), dtype="<u4")
 
@@ -122,7 +125,7 @@ class _Encode:
         self.model, self.ids = model, ids
 
     def start(self):
-        coder = Pieces.from_model(self.model)
+        coder = Pieces.of_worker(self.model)
         lo, hi = min(coder.byte_ids), max(coder.byte_ids)
 
         def call(texts: list) -> dict:
@@ -158,7 +161,7 @@ def decode(df: DataFrame, model: str, key_col: str = "doc_id", ids_col: str = "p
     source = df.select(F.col(key_col).alias("k"), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def run(batches):
-        coder = Pieces.from_model(model)
+        coder = Pieces.of_worker(model)
         for batch in batches:
             texts = [None if x is None else coder.decode(np.array(x, dtype="<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "text"])

@@ -150,7 +150,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
     for _ in range(trees):
         q = 1 / (1 + np.exp(-z))
         _grow(x, bins, coded, y - q, q * (1 - q), depth, least, (), np.arange(len(y)), paths, z, 0.3)
-    rules = [Rule(c) for c in sorted({tidy(p) for p in paths})]
+    rules = [Rule(c) for c in sorted({tidy(c) for c in paths})]
+    if not rules:  # too few rows to split
+        return Model(float(np.log(p / (1 - p))), ())
     held = np.stack([r.holds(x) for r in rules], axis=1)
     _, first = np.unique(held, axis=1, return_index=True)  # rules that hold on the same rows are one rule
     rules = [rules[i] for i in sorted(first.tolist())]

@@ -15,7 +15,7 @@ class _Counts:
         self.tokenizer = tokenizer
 
     def start(self):
-        coder = BytePieceCounts(self.tokenizer)
+        coder = BytePieceCounts.of_worker(self.tokenizer)
 
         def call(texts: list) -> dict:
             return {

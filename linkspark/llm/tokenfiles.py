@@ -100,7 +100,7 @@ def write(df: DataFrame, tokenizer: str, folder: str | None = None, key_col: str
     width = 2 if _vocabulary(tokenizer, end_id) <= 1 << 16 else 4
 
     def run(batches):
-        files, coder = None, WordPieces(tokenizer)
+        files, coder = None, WordPieces.of_worker(tokenizer)
         for batch in batches:
             for part in sliced(batch, 1):
                 files = files or Writer(folder, TaskContext.get().partitionId(), width)

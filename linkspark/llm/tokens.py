@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
@@ -20,103 +22,120 @@ def load(path: str):
 
 
 class BoundedCache(dict):
-    """A dict that starts anew when it is full; what it holds never changes a result."""
+    """A dict that takes no more than `most` entries; what it holds never changes a result.
+
+    Frequent keys come early and stay. When many keys have been refused, the texts must have changed: it starts anew.
+    """
 
     def __init__(self, most: int):
         super().__init__()
-        self.most = most
-
-    def room_for(self, n: int) -> None:
-        if len(self) + n > self.most:
-            self.clear()
+        self.most, self.refused = most, 0
+
+    def settle(self, added) -> None:
+        """Forget the keys that were just added if there is no room for them."""
+        if len(self) > self.most:
+            self.refused += len(added)
+            for k in added:
+                self.pop(k, None)
+            if self.refused > 10 * self.most:
+                self.clear()
+                self.refused = 0
+
+    def keep(self, key, value):
+        if len(self) < self.most:
+            self[key] = value
+        else:
+            self.refused += 1
+            if self.refused > 10 * self.most:
+                self.clear()
+                self.refused = 0
+        return value
+
+
+def per_worker(key, make):
+    """make(), once per Python worker: the tasks that follow in the worker share it. A worker holds one such object, the last asked for."""
+    holder = sys.modules.setdefault("_corpus_worker_state", types.ModuleType("_corpus_worker_state"))
+    if getattr(holder, "key", None) != key:
+        holder.key, holder.value = None, None
+        holder.key, holder.value = key, make()
+    return holder.value
+
+
+def byte_letters() -> dict[int, str]:
+    """How a byte-level pre-tokenizer writes a blank and each Latin letter, asked of the library."""
+    from tokenizers import pre_tokenizers
+
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = [" "] + [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+    return {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
 
 
 class WordPieces:
     """Ids, as little-endian unsigned 32-bit bytes, of a tokenizer that drops white space and marks word ends.
 
     Cuts: at blanks and line feeds (dropped by the model; nothing composes across them), and between a word of
-    Latin letters and trailing full stops or commas (the pre-tokenizer ends a letter run there).
+    Latin letters and trailing full stops or commas (the pre-tokenizer ends a letter run there). A plain word goes to
+    the library's model as the normaliser and pre-tokenizer would hand it over; anything else through the whole encoder.
     """
 
-    _chunk = re.compile(r"[^ \n]+")
     _plain = re.compile(f"([{LETTERS}]+)([.,]*)")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         self.tok = load(path)
-        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
-        for piece, i in self.tok.get_vocab().items():
-            self.ends[i] = piece.endswith("</w>")
+        self.letters = byte_letters()
         self.chunks, self.words = BoundedCache(most), BoundedCache(most)
 
-    def _fill_words(self, words: list[str]) -> None:
-        """Plain words are encoded as one text, told apart by the pieces that end a word."""
-        self.words.room_for(len(words))
-        for k in range(0, len(words), 5000):
-            part = words[k : k + 5000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != len(part) or at[-1] != len(ids):
-                raise ValueError("a plain word must end in one word-end piece")
-            raw = ids.tobytes()
-            start = 0
-            for w, e in zip(part, at.tolist()):
-                self.words[w] = raw[4 * start : 4 * e]
-                start = e
+    @classmethod
+    def of_worker(cls, path: str) -> WordPieces:
+        return per_worker(("word pieces", path), lambda: cls(path))
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [self._chunk.findall(t) if t else [] for t in texts]
-        known = self.chunks
+        chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        known, words, tokenize = self.chunks, self.words, self.tok.model.tokenize
+        known[""] = b""
         missing = set().union(*chunks).difference(known)
-        known.room_for(len(missing))
-        if not known:
-            missing = set().union(*chunks)
-        split = {c: self._plain.fullmatch(c) for c in missing}
-        cores = {m[1].lower() for m in split.values() if m}.difference(self.words)
-        self.words.room_for(len(cores))
-        if not self.words:
-            cores = {m[1].lower() for m in split.values() if m}
-        if cores:
-            self._fill_words(sorted(cores))
-        tails: dict[str, bytes] = {"": b""}
-        for c, m in split.items():
-            if m is None:
+        fresh, tails = [], {"": b""}
+        for c in missing:
+            if (m := self._plain.fullmatch(c)) is None:
                 known[c] = self._raw(c)
-            else:
-                if m[2] not in tails:
-                    tails[m[2]] = self._raw(m[2])
-                known[c] = self.words[m[1].lower()] + tails[m[2]]
-        get = known.__getitem__
-        return [b"".join(map(get, cs)) for cs in chunks]
+                continue
+            if (core := words.get(w := m[1].lower())) is None:
+                core = words[w] = np.array([t.id for t in tokenize(w.translate(self.letters))], dtype="<u4").tobytes()
+                fresh.append(w)
+            if (tail := tails.get(m[2])) is None:
+                tail = tails[m[2]] = self._raw(m[2])
+            known[c] = core + tail
+        out = [b"".join(map(known.__getitem__, cs)) for cs in chunks]
+        known.settle(missing)
+        words.settle(fresh)
+        return out
 
 
 class BytePieceCounts:
     """Token counts of a byte-level tokenizer whose tokens never join a blank to what stands before it.
 
     Cuts: before a blank or line feed that follows a character which is no white space, and between a word of
-    Latin letters and the full stops or commas after it. Texts with the control characters that count as white space
-    here but not in the library (1C to 1F) are encoded whole.
+    Latin letters and the full stops or commas after it. A blank and a plain word are one pre-token, which goes to the
+    library's model as such; the other pieces are encoded in batches of about equal bytes. Texts with the control
+    characters that count as white space here but not in the library (1C to 1F) are encoded whole.
     """
 
     _piece = re.compile(r"\s*[^\s]+|\s+")
     _odd = re.compile("[\x1c-\x1f]")
     _plain = re.compile(f"( [{LETTERS}]+)([.,]*)")
 
-    def __init__(self, path: str, most: int = 400_000, batch_bytes: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000, batch_bytes: int = 400_000):
         self.tok = load(path)
+        self.letters = byte_letters()
         self.pieces, self.words = BoundedCache(most), BoundedCache(most)
         self.batch_bytes = batch_bytes
 
-    def _fill_words(self, words: list[str]) -> None:
-        """Each " word" is one pre-token, so one text of many words is counted by the word index of its tokens."""
-        for part in balanced(words, self.batch_bytes):
-            at = self.tok.encode("".join(part), add_special_tokens=False).word_ids
-            n = np.bincount(np.array(at, dtype=np.int64), minlength=len(part))
-            if len(n) != len(part):
-                raise ValueError("a plain word must be one pre-token")
-            self.words.update(zip(part, n.tolist()))
+    @classmethod
+    def of_worker(cls, path: str) -> BytePieceCounts:
+        return per_worker(("byte piece counts", path), lambda: cls(path))
 
     def _count_each(self, texts: list[str]) -> list[int]:
         out = []
@@ -126,25 +145,21 @@ class BytePieceCounts:
 
     def count(self, texts: list[str | None]) -> list[int]:
         pieces = [None if t and self._odd.search(t) else self._piece.findall(t) if t else [] for t in texts]
-        known = self.pieces
-        wanted = set().union(*[p for p in pieces if p])
-        missing = wanted.difference(known)
-        known.room_for(len(missing))
-        if not known:
-            missing = wanted
+        known, words, tokenize = self.pieces, self.words, self.tok.model.tokenize
+        missing = set().union(*[p for p in pieces if p]).difference(known)
         split = {p: self._plain.fullmatch(p) for p in missing}
-        cores = {m[1] for m in split.values() if m}
-        new = cores.difference(self.words)
-        self.words.room_for(len(new))
-        new = new if self.words else cores
-        if new:
-            self._fill_words(sorted(new))
+        fresh = {m[1] for m in split.values() if m}.difference(words)
+        for w in fresh:
+            words[w] = len(tokenize(w.translate(self.letters)))
         rest = sorted({p for p, m in split.items() if m is None} | {m[2] for m in split.values() if m and m[2]})
         other = dict(zip(rest, self._count_each(rest)))
         for p, m in split.items():
-            known[p] = other[p] if m is None else self.words[m[1]] + (other[m[2]] if m[2] else 0)
+            known[p] = other[p] if m is None else words[m[1]] + (other[m[2]] if m[2] else 0)
         get = known.__getitem__
-        return [len(self.tok.encode(t, add_special_tokens=False).ids) if p is None else sum(map(get, p)) for t, p in zip(texts, pieces)]
+        out = [len(self.tok.encode(t, add_special_tokens=False).ids) if p is None else sum(map(get, p)) for t, p in zip(texts, pieces)]
+        known.settle(missing)
+        words.settle(fresh)
+        return out
 
 
 def balanced(texts: list[str], most_bytes: int):
