@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.staging import stage
 from .keys import top_k
 
 
@@ -94,12 +95,12 @@ def with_gap(ranked: DataFrame, query_id: str) -> DataFrame:
     return ranked.withColumn("gap", F.round(F.max("score").over(Window.partitionBy(query_id)) - F.col("score"), 6))
 
 
-def lexical_channels(s1: DataFrame, pool: DataFrame) -> dict[str, DataFrame]:
-    """c1, c2: anchors query the pool; c1r, c2r: records query the anchors."""
-    a, b = block_tokens(block_views(s1), "s1"), block_tokens(block_views(pool), "cand")
+def lexical_channels(s1: DataFrame, pool: DataFrame, names: tuple[str, ...] = ("c1", "c2")) -> dict[str, DataFrame]:
+    """c1, c2: anchors query the pool; c1r, c2r: records query the anchors. Tokens and keys are stage tables: each serves several steps."""
+    a, b = stage(block_tokens(block_views(s1), "s1"), "tokens"), stage(block_tokens(block_views(pool), "cand"), "tokens")
     out = {}
-    for ch in ("c1", "c2"):
-        ka, kb = block_keys(a, b, "s1", ch), block_keys(b, b, "cand", ch)
+    for ch in names:
+        ka, kb = stage(block_keys(a, b, "s1", ch), "keys"), stage(block_keys(b, b, "cand", ch), "keys")
         out[ch] = key_channel(ka, kb, "s1", "cand", sizes(pool), 200, 50)
         out[f"{ch}r"] = with_gap(key_channel(kb, ka, "cand", "s1", sizes(s1), 20, 3), "cand")
     return out

@@ -1081,8 +1081,7 @@ sc AS (SELECT s1, cand, score, row_number() OVER (PARTITION BY cand ORDER BY sco
 def link_end_to_end(spark, sf_dir):
     """Records to id lists: views, rare compound keys, scores, one owner per record, one row per anchor."""
     s1, pool, _ = fx.corpus(spark, sf_dir)
-    a, b = blocking.block_tokens(blocking.block_views(s1), "s1"), blocking.block_tokens(blocking.block_views(pool), "cand")
-    c1 = blocking.key_channel(blocking.block_keys(a, b, "s1", "c1"), blocking.block_keys(b, b, "cand", "c1"), "s1", "cand", blocking.sizes(pool), 200, 50)
+    c1 = blocking.lexical_channels(s1, pool, ("c1",))["c1"]
     own = competition.one_owner(c1, "score").filter("score >= 8").join(pool.select("cand", "cand_id"), "cand").join(s1.select("s1", "s1_id"), "s1")
     return io.id_lists(s1, own.select("s1_id", "cand_id"), "s1_id", "cand_id", "matched")
 
