@@ -289,3 +289,45 @@ def expit(z: Column) -> Column:
 def pair_text(name: Column, addr: Column) -> Column:
     """What an encoder reads of a record."""
     return F.concat(F.lit("query: "), F.coalesce(name, F.lit("")), F.lit(" | "), F.coalesce(addr, F.lit("")))
+
+
+#: A run of Indic letters, joiners inside words included.
+INDIC = "[\\x{0900}-\\x{0D7F}\\x{200C}\\x{200D}]+"
+
+
+def transliterate(s: Column, words: dict[str, str]) -> Column:
+    """Each run of Indic letters replaced by its dictionary word (looked up as it stands, then without joiners); unknown runs stay."""
+    table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv]) if words else F.create_map().cast("map<string,string>")
+
+    def look_up(run: Column) -> Column:
+        bare = F.regexp_replace(run, "[\\x{200C}\\x{200D}]", "")
+        return F.coalesce(F.element_at(table, run), F.element_at(table, bare), run)
+
+    runs = F.regexp_extract_all(s, F.lit(f"({INDIC}|[^\\x{{0900}}-\\x{{0D7F}}\\x{{200C}}\\x{{200D}}]+)"), F.lit(1))
+    return F.when(s.rlike("[\\x{0900}-\\x{0D7F}]"), F.array_join(F.transform(runs, look_up), "")).otherwise(F.coalesce(s, F.lit("")))
+
+
+def admin_components(addr: Column, table: dict[str, str]) -> Column:
+    """Comma-separated components that name a region or one of its departments, replaced by the region's code between blanks."""
+    m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    key = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[-'.]", " "), " +", " "))
+    return F.array_join(F.transform(F.split(addr, ","), lambda c: F.coalesce(F.concat(F.lit(" "), F.element_at(m, key(c)), F.lit(" ")), c)), ",")
+
+
+#: "st. martin" is a saint, "st" before a word of PLACE_WORDS a street.
+PLACE_WORDS = "north|south|east|west|apt|suite|floor|unit"
+SAINTS = steps(("re", rf"\bst\.?(\s+)({PLACE_WORDS})\b", "street$1$2"), ("re", r"\bst\.?[\s-]+([a-z]{3,})", "saint $1"), ("re", r"\bste\.?[\s-]+([a-z]{3,})", "sainte $1"))
+
+#: House-number suffixes: pattern and letter, in order; a letter after the number stands for itself.
+SUFFIXES = ((r"\b\d+\s*bis\b", "b"), (r"\b\d+\s*ter\b", "t"), (r"\b\d+\s*quater\b", "q"))
+
+
+def house_suffix(addr: Column) -> Column:
+    out = None
+    for pattern, letter in SUFFIXES:
+        out = F.when(addr.rlike(pattern), letter) if out is None else out.when(addr.rlike(pattern), letter)
+    return out.otherwise(F.regexp_extract(addr, r"\b\d+([a-d])\b", 1))
+
+
+def without_suffix(addr: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(addr, r"\b(\d+)\s*(bis|ter|quater)\b", "$1"), r"\b(\d+)[a-d]\b", "$1")

@@ -123,3 +123,34 @@ def number_relation(x: Column, y: Column, others: Column) -> Column:
         F.when(x.isNull() | y.isNull(), 0).when(x == y, 1).when(dropped, 4).when(replaced, 5).when((F.abs(x - y) <= 2) | (F.abs(x - y) == 10), 6)
         .when(F.array_contains(others, x), 7).otherwise(8)
     )
+
+
+def gram_vectors(df: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5) -> DataFrame:
+    """(id, grams): per record a map from the letter runs of its blank-padded words to unit TF-IDF weights; idf = ln((1 + n) / (1 + df)) + 1 over the table."""
+    words = F.filter(F.split(text_col, " "), lambda w: w != "")
+    grams = F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(w) + 3 - n, F.lit(1))), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, n))))))
+    each = df.select(id_col, F.explode(grams).alias("g")).groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("tf"))
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    idf = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("g", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n: one row
+    w = each.join(idf, "g").withColumn("w", F.col("tf") * F.col("idf"))
+    vec = w.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("g", "w")))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return vec.select(id_col, F.transform_values("m", lambda k, v: v / F.col("norm")).alias("grams"))
+
+
+def map_cosine(a: Column, b: Column) -> Column:
+    return F.aggregate(F.array_sort(F.map_entries(a)), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(b, e["key"]), F.lit(0.0)))
+
+
+def second_view(core_a: Column, core_b: Column, name_a: Column, name_b: Column, nums_a: Column, nums_b: Column, idf: Column, fillers: list[str]) -> dict[str, Column]:
+    """Word mass of a pair under an idf map (word -> idf; unseen words weigh nothing): shared, added and dropped words, length ratio, clipped house offset (-999: a side has none)."""
+    weigh = lambda ws: F.aggregate(F.array_sort(ws), F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(idf, w), F.lit(0.0)))
+    heaviest = lambda ws: F.coalesce(F.array_max(F.transform(ws, lambda w: F.coalesce(F.element_at(idf, w), F.lit(0.0)))), F.lit(0.0))
+    added, dropped = F.array_except(core_b, core_a), F.array_except(core_a, core_b)
+    both = (F.size(nums_a) > 0) & (F.size(nums_b) > 0)
+    off = F.try_element_at(nums_b, F.lit(1)) - F.try_element_at(nums_a, F.lit(1))
+    return {
+        "bp_n_shared_idf": weigh(F.array_intersect(core_a, core_b)), "bp_n_added_count": F.size(added), "bp_n_added_max_idf": heaviest(added), "bp_n_dropped_max_idf": heaviest(dropped),
+        "bp_n_added_all_filler": ((F.size(added) > 0) & F.forall(added, lambda w: w.isin(*fillers))).cast("int"), "bp_n_len_ratio": F.length(name_b) / F.greatest(F.length(name_a), F.lit(1)),
+        "bp_a_num_offset": F.when(both, F.least(F.greatest(off, F.lit(-100)), F.lit(100))).otherwise(-999),
+    }

@@ -182,3 +182,27 @@ def specialist_features(pairs: DataFrame, anchors: DataFrame, forms: Sequence[st
         "n_core_shared": F.size(F.array_intersect(split("name_core_1"), split("name_core_2"))), "core_eq": (F.col("name_core_1") == F.col("name_core_2")).cast("int"),
         "addr_eq": (F.col("addr_n_1") == F.col("addr_n_2")).cast("int"), "addr_empty_2": (F.col("addr_n_2") == "").cast("int"), "india": (F.col("country") == "India").cast("int"), **flags,
     })
+
+
+def quantile_map(source: DataFrame, reference: DataFrame, col: str, points: int = 101, keep_zero: bool = False) -> tuple[list[float], list[float]]:
+    """Quantiles of the column in both tables: the map that carries one distribution onto the other. NaN and null are ignored, zeros too if they are to be kept."""
+    qs = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
+
+    def table(df: DataFrame) -> list[float]:
+        x = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+        return (x.filter(F.col(col) != 0) if keep_zero else x).agg(F.percentile(col, qs).alias("q")).first()["q"] or []
+
+    return table(source), table(reference)
+
+
+def apply_quantile_map(x: Column, table: tuple[list[float], list[float]], keep_zero: bool = False) -> Column:
+    """Linear between the quantiles, flat beyond them; null and NaN (and zero, if kept) stay."""
+    src, ref = table
+    if not src or not ref:
+        return x
+    s, r = (F.array(*[F.lit(float(v)) for v in t]) for t in (src, ref))
+    k = F.size(F.filter(s, lambda v: v <= x))  # quantiles up to x
+    lo, hi, a, b = F.element_at(s, k), F.element_at(s, k + 1), F.element_at(r, k), F.element_at(r, k + 1)
+    inside = F.when(hi > lo, a + (b - a) * (x - lo) / (hi - lo)).otherwise(a)
+    out = F.when(x.isNull() | F.isnan(x), x).when(x < src[0], F.lit(float(ref[0]))).when(x >= src[-1], F.lit(float(ref[-1]))).otherwise(inside)
+    return F.when(x == 0, x).otherwise(out) if keep_zero else out

@@ -137,6 +137,28 @@ def norm_logit_expit(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", _r(text.logit(F.col("l_discount"))).alias("z"), _r(text.expit(F.col("l_tax"))).alias("p"))
 
 
+#: Words of another script, and a table of regions, for the fixture.
+_SCRIPT = {"नमस्ते": "namaste", "दुकान": "dukan", "சாலை": "salai"}
+_REGION = {"nord": "hdf", "hauts de france": "hdf", "gironde": "naq", "nouvelle aquitaine": "naq", "new york": "ny"}
+_INDIC_NAME = "CASE s1 % 4 WHEN 0 THEN 'नमस्ते ' || name WHEN 1 THEN name || ' दु\u200dकान' WHEN 2 THEN 'சாலை' ELSE name || ' अज्ञात' END"
+_FRENCH = "CASE s1 % 6 WHEN 0 THEN '98 bis st. martin' WHEN 1 THEN '5b ste-anne' WHEN 2 THEN '12 main st north' WHEN 3 THEN '7 ter rue x' WHEN 4 THEN '3 quater' ELSE '40' END || ', ' || addr"
+
+
+@query(f"""WITH d AS (SELECT s1, {_INDIC_NAME} AS s FROM er_s1) SELECT s1, replace(replace(replace(replace(s, 'नमस्ते', 'namaste'), 'दु\u200dकान', 'dukan'), 'दुकान', 'dukan'), 'சாலை', 'salai') AS latin FROM d""", "er")
+def norm_transliteration(spark, sf_dir):
+    s1, _, _ = fx.corpus(spark, sf_dir)
+    return s1.select("s1", text.transliterate(F.expr(_INDIC_NAME), _SCRIPT).alias("latin"))
+
+
+@query(f"""WITH d AS (SELECT s1, {_FRENCH} AS a FROM er_s1), e AS (SELECT s1, {text.SAINTS.sql('a')} AS a FROM d)
+SELECT s1, CASE WHEN regexp_matches(a, '\\b\\d+\\s*bis\\b') THEN 'b' WHEN regexp_matches(a, '\\b\\d+\\s*ter\\b') THEN 't' WHEN regexp_matches(a, '\\b\\d+\\s*quater\\b') THEN 'q' ELSE regexp_extract(a, '\\b\\d+([a-d])\\b', 1) END AS suffix,
+  array_to_string(list_transform(string_split(regexp_replace(regexp_replace(a, '\\b(\\d+)\\s*(bis|ter|quater)\\b', '\\1', 'g'), '\\b(\\d+)[a-d]\\b', '\\1', 'g'), ','), lambda c: coalesce(' ' || {_map(_REGION)}[trim(regexp_replace(regexp_replace(c, '[-''.]', ' ', 'g'), ' +', ' ', 'g'))] || ' ', c)), ',') AS addr FROM e""", "er")
+def norm_french_addresses(spark, sf_dir):
+    s1, _, _ = fx.corpus(spark, sf_dir)
+    x = s1.select("s1", text.SAINTS(F.expr(_FRENCH)).alias("a"))
+    return x.select("s1", text.house_suffix(F.col("a")).alias("suffix"), text.admin_components(text.without_suffix(F.col("a")), _REGION).alias("addr"))
+
+
 # ---------------------------------------------------------------- projection, filters, keys
 @query(f"""SELECT p_partkey, (('0x' || substr(md5('7' || p_partkey::VARCHAR), 1, 8))::BIGINT % 1000)::INTEGER AS bucket,
   CASE WHEN ('0x' || substr(md5('7' || p_partkey::VARCHAR), 1, 8))::BIGINT % 1000 < 25 THEN 'locked' WHEN ('0x' || substr(md5('7' || p_partkey::VARCHAR), 1, 8))::BIGINT % 1000 < 100 THEN 'val' ELSE 'sample' END AS split,
@@ -580,6 +602,40 @@ def feat_explanations(spark, sf_dir):
     return e.withColumns({"name_ops": F.array_join("name_ops", ","), "addr_ops": F.array_join("addr_ops", ",")})
 
 
+_GRAMS = f"""{_WORDPAIR}, t AS (SELECT 'a' AS side, s1 AS id, unnest(x) AS w, n AS nm FROM a UNION ALL SELECT 'b', cand, unnest(y), m FROM b),
+u AS (SELECT side, id, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS n FROM t), v AS (SELECT side, id, p, n, unnest(range(1, greatest(len(p) + 1 - n, 1) + 1)) AS i FROM u),
+g AS (SELECT side, id, substr(p, i, n) AS g, count(*) AS tf FROM v GROUP BY ALL), f AS (SELECT g, count(*) AS df FROM g WHERE side = 'a' GROUP BY g), fb AS (SELECT g, count(*) AS df FROM g WHERE side = 'b' GROUP BY g),
+wa AS (SELECT id, g, tf * (ln((1 + (SELECT count(*) FROM a)) / (1 + df)) + 1) AS w FROM g JOIN f USING (g) WHERE side = 'a'), wb AS (SELECT id, g, tf * (ln((1 + (SELECT count(*) FROM b)) / (1 + df)) + 1) AS w FROM g JOIN fb USING (g) WHERE side = 'b'),
+na AS (SELECT id, g, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM wa), nb AS (SELECT id, g, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM wb)"""
+
+
+@query(f"""{_GRAMS}, c AS (SELECT p.s1, p.cand, sum(na.w * nb.w) AS c FROM pairs p JOIN na ON na.id = p.s1 JOIN nb ON nb.id = p.cand AND nb.g = na.g WHERE label = 1 GROUP BY p.s1, p.cand)
+SELECT s1, cand, round(coalesce(c, 0), 6)::DOUBLE AS cosine FROM pairs LEFT JOIN c USING (s1, cand) WHERE label = 1""", "pairs")
+def sim_gram_cosine(spark, sf_dir):
+    s1, pool, _ = fx.corpus(spark, sf_dir)
+    name = lambda df, i: features.gram_vectors(df.select(i, text.BLOCK_NAME(F.col("name")).alias("n")), i, "n")
+    x = fx.pairs(spark, sf_dir).filter("label = 1").select("s1", "cand").join(name(s1, "s1").withColumnRenamed("grams", "a"), "s1").join(name(pool, "cand").withColumnRenamed("grams", "b"), "cand")
+    return x.select("s1", "cand", _r(features.map_cosine(F.col("a"), F.col("b"))).alias("cosine"))
+
+
+_IDF = {"small": 1.5, "group": 4.0, "holdings": 3.5, "widget": 2.0, "llc": 0.5}
+_IDF_SQL = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in _IDF.items()) + "}"
+
+
+@query(f"""WITH x AS (SELECT p.s1, p.cand, list_distinct({_toks(text.BLOCK_NAME.sql('a.name'))}) AS x, list_distinct({_toks(text.BLOCK_NAME.sql('b.name'))}) AS y, len(b.name) / greatest(len(a.name), 1) AS lr, regexp_extract_all(a.addr, '\\d+') AS na, regexp_extract_all(b.addr, '\\d+') AS nb FROM pairs p JOIN er_s1 a USING (s1) JOIN er_pool b USING (cand)),
+y AS (SELECT *, list_filter(y, lambda w: NOT list_contains(x, w)) AS ad, list_filter(x, lambda w: NOT list_contains(y, w)) AS dr FROM x)
+SELECT s1, cand, round(coalesce(list_sum(list_transform(list_intersect(x, y), lambda w: coalesce({_IDF_SQL}[w], 0))), 0), 6)::DOUBLE AS bp_n_shared_idf, len(ad)::INTEGER AS bp_n_added_count, coalesce(list_max(list_transform(ad, lambda w: coalesce({_IDF_SQL}[w], 0))), 0)::DOUBLE AS bp_n_added_max_idf,
+  coalesce(list_max(list_transform(dr, lambda w: coalesce({_IDF_SQL}[w], 0))), 0)::DOUBLE AS bp_n_dropped_max_idf, (len(ad) > 0 AND len(list_filter(ad, lambda w: w NOT IN ('group', 'llc', 'inc'))) = 0)::INTEGER AS bp_n_added_all_filler, round(lr, 6) AS bp_n_len_ratio,
+  CASE WHEN len(na) > 0 AND len(nb) > 0 THEN least(greatest(nb[1]::BIGINT - na[1]::BIGINT, -100), 100) ELSE -999 END::BIGINT AS bp_a_num_offset FROM y""", "pairs")
+def feat_second_view(spark, sf_dir):
+    s1, pool, _ = fx.corpus(spark, sf_dir)
+    side = lambda df, i, t: df.select(i, F.col("name").alias(f"n{t}"), F.array_distinct(text.tokens(text.BLOCK_NAME(F.col("name")))).alias(f"w{t}"), F.regexp_extract_all("addr", F.lit(r"(\d+)"), F.lit(1)).cast("array<long>").alias(f"d{t}"))
+    x = fx.pairs(spark, sf_dir).select("s1", "cand").join(side(s1, "s1", "a"), "s1").join(side(pool, "cand", "b"), "cand")
+    idf = F.create_map(*[F.lit(v) for kv in _IDF.items() for v in kv])
+    f = features.second_view(*[F.col(c) for c in ("wa", "wb", "na", "nb", "da", "db")], idf, ["group", "llc", "inc"])
+    return x.select("s1", "cand", *[(_r(c) if k in ("bp_n_shared_idf", "bp_n_len_ratio") else c.cast("long") if k == "bp_a_num_offset" else c).alias(k) for k, c in f.items()])
+
+
 # ---------------------------------------------------------------- competition
 
 
@@ -1009,6 +1065,16 @@ def learn_seed_consensus(spark, sf_dir):
     return out.select("s1", F.array_join(F.col("cands").cast("array<string>"), ",").alias("cands"))
 
 
+@query("""WITH sq AS (SELECT quantile_cont(l_quantity, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS a FROM lineitem WHERE l_returnflag = 'R'),
+rq AS (SELECT quantile_cont(l_extendedprice, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS b FROM lineitem WHERE l_returnflag = 'N'),
+k AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, a, b, len(list_filter(a, lambda v: v <= l_quantity)) AS i FROM lineitem, sq, rq WHERE l_returnflag = 'A')
+SELECT l_orderkey, l_linenumber, round(CASE WHEN x < a[1] THEN b[1] WHEN x >= a[11] THEN b[11] WHEN a[i + 1] > a[i] THEN b[i] + (b[i + 1] - b[i]) * (x - a[i]) / (a[i + 1] - a[i]) ELSE b[i] END + 1e-9, 4) AS mapped FROM k""")
+def learn_quantile_map(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    table = (learning.quantile_map(li.filter("l_returnflag = 'R'"), li, "l_quantity", 11)[0], learning.quantile_map(li, li.filter("l_returnflag = 'N'"), "l_extendedprice", 11)[1])
+    return li.filter("l_returnflag = 'A'").select("l_orderkey", "l_linenumber", F.round(learning.apply_quantile_map(F.col("l_quantity"), table) + 1e-9, 4).alias("mapped"))
+
+
 def _trainable(spark, sf_dir):
     x = competition.stage2(fx.pairs(spark, sf_dir).select("s1", "cand", "src", "label", "p"))
     return x.withColumn("fold", keys.bucket(F.col("s1"), 2)), ["p", "p_rank_s1", "p_gap_next", "p_max_other_rec", "p_rank_rec"]
