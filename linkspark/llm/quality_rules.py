@@ -2,8 +2,10 @@
 
 Statistics of each document go into mergeable quantile sketches with relative-error buckets (DDSketch): a sketch is
 the count per logarithmic bucket, so merging is addition and any grouping can be summed from (language, source). Fences
-are read from the sketches: far outside the upper quartile of the group, in units of its spread. Groups too small to
-tell use their language's sketch, then that of all. Documents beyond a fence are not kept.
+are read from the sketches: far above the median of the group, in units of the spread below it, which no junk above can
+move while it is at most half the group. A source's fence reaches one width beyond its language's at most, so that a
+source of mostly junk does not set its own. Groups too small to tell use their language's sketch, then that of all.
+Documents beyond a fence are not kept.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ _SYMBOLS = "#*$%&|<>"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs"]
 
-#: Statistic, and the least distance of a fence above the upper quartile, below which no spread is taken for an outlier.
+#: Statistic, and the least distance of a fence above the median, below which no spread is taken for an outlier.
 STATS = {"symbol_share": 0.05, "upper_share": 0.20, "bang_share": 0.05, "dup_line_share": 0.40, "repeat_share": 0.20, "mean_word": 6.0}
 
 #: Relative error of a sketch; values up to FLOOR share the bucket of zero.
@@ -85,11 +87,12 @@ def quantiles(sketches: DataFrame, by: list[str], at: dict[str, float]) -> DataF
 
 
 def fences(sketches: DataFrame, by: list[str], least: dict[str, float], reach: float, name: str) -> DataFrame:
-    """Per group: rows, and a struct of the fence of each statistic: upper quartile + max(reach * interquartile range, least)."""
-    q = quantiles(sketches, by, {"q1": 0.25, "q3": 0.75})
+    """Per group: rows, and for each statistic its width, max(reach * twice the distance of the lower quartile from the median, least), and its fence, median + width."""
+    q = quantiles(sketches, by, {"q1": 0.25, "q2": 0.5})
     floor = F.create_map(*[F.lit(x) for s, v in least.items() for x in (s, v)])
-    q = q.withColumn("fence", F.col("q3") + F.greatest(F.lit(reach) * (F.col("q3") - F.col("q1")), floor[F.col("stat")]))
-    return q.groupBy(*by).agg(F.max("rows").alias(f"{name}_rows"), *[F.max(F.when(F.col("stat") == s, F.col("fence"))).alias(f"{name}_{s}") for s in least])
+    q = q.withColumn("width", F.greatest(F.lit(2 * reach) * (F.col("q2") - F.col("q1")), floor[F.col("stat")])).withColumn("fence", F.col("q2") + F.col("width"))
+    pick = lambda s, c: F.max(F.when(F.col("stat") == s, F.col(c)))
+    return q.groupBy(*by).agg(F.max("rows").alias(f"{name}_rows"), *[pick(s, "fence").alias(f"{name}_{s}") for s in least], *[pick(s, "width").alias(f"{name}_width_{s}") for s in least])
 
 
 def measured(df: DataFrame, key_col: str, text_col: str, lang_col: str, source_col: str, keep: list[str] = ()) -> DataFrame:
@@ -109,8 +112,8 @@ def judge(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_c
     """Per row: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     base_failed: n_words < 10 or 100 * n_repeat_words > 20 * n_words. kept is false if that holds or if a statistic lies
-    beyond the fence of the row's language and source; groups of fewer than least_rows rows use their language's fence, then that of
-    all rows. Null languages and sources are groups of their own. A null text has no words and so fails. Whole texts are
+    beyond the fence of the row's language and source, or beyond the language's fence by more than its width; groups of
+    fewer than least_rows rows use their language's fence, then that of all rows. Null languages and sources are groups of their own. A null text has no words and so fails. Whole texts are
     measured; ties change nothing; rows that repeat stay rows (and count as often in the sketches); no rows give no rows.
     Other columns are ignored.
     """
@@ -123,7 +126,7 @@ def judge(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_c
     every = fences(merge(by_source.withColumn("one", F.lit(1)), ["one"]), ["one"], STATS, reach, "a").drop("one")
     # The fences per (language, source): a joined table of one row per group.
     table = small.join(mid, F.col("s_lang").eqNullSafe(F.col("l_lang")), "left").join(every)
-    chosen = [F.when(F.col("s_rows") >= least_rows, F.col(f"s_{s}")).when(F.col("l_rows") >= least_rows, F.col(f"l_{s}")).otherwise(F.col(f"a_{s}")).alias(f"f_{s}") for s in stats]
+    chosen = [F.when(F.col("s_rows") >= least_rows, F.least(F.col(f"s_{s}"), F.col(f"l_{s}") + F.col(f"l_width_{s}"))).when(F.col("l_rows") >= least_rows, F.col(f"l_{s}")).otherwise(F.col(f"a_{s}")).alias(f"f_{s}") for s in stats]
     table = table.select("s_lang", "s_source", *chosen)
     out = rows.join(table, F.col("m_lang").eqNullSafe(F.col("s_lang")) & F.col("m_source").eqNullSafe(F.col("s_source")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -433,6 +433,32 @@ def test_clean_documents_are_kept_and_symbols_go(spark, real):
     assert ok[ok.quality == 1].kept.mean() > 0.99 and ok[ok.quality == 0].kept.mean() < 0.3
 
 
+def noisy(rng, n, junk, lang, source, first):
+    """n rows of 30 words, the given share of them with symbols at a third of their letters or more."""
+    rows = []
+    for i in range(n):
+        w = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 8))) for _ in range(30)]
+        if bad := i < junk * n:
+            w = [x + "#" * int(rng.integers(2, 6)) for x in w]
+        rows.append((first + i, " ".join(w), lang, source, bad))
+    return rows
+
+
+@pytest.mark.parametrize("junk", [0.2, 0.3, 0.4, 0.5, 0.9])
+def test_junk_of_a_source_does_not_set_its_own_fence(spark, junk):
+    rng = np.random.default_rng(2)
+    rows = noisy(rng, 200, junk, "en", "hot", 0) + noisy(rng, 300, 0, "en", "other", 1000)
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {r[0]: not r[4] for r in rows}
+
+
+@pytest.mark.parametrize("junk", [0.3, 0.5])
+def test_junk_of_a_whole_language_does_not_set_its_fence(spark, junk):
+    rows = noisy(np.random.default_rng(3), 300, junk, "en", "only", 0)
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {r[0]: not r[4] for r in rows}
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(17,), (None,), (-3,)], "k long").select("k", fold_col(F.col("k")).alias("f")).collect()
     assert [r.f for r in rows] == [zlib.crc32(b"17") % 5, 0, zlib.crc32(b"-3") % 5]
