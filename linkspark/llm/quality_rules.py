@@ -2,8 +2,8 @@
 
 Statistics of each document go into mergeable quantile sketches with relative-error buckets (DDSketch): a sketch is
 the count per logarithmic bucket, so merging is addition and any grouping can be summed from (language, source). Fences
-are read from the sketches: far above the median of the group, in units of the spread below it, which no junk above can
-move while it is at most half the group. A source's fence reaches one width beyond its language's at most, so that a
+are read from the sketches: far from the median of the group, in units of the spread on its other side, which no junk beyond
+can move while it is at most half the group. A source's fence reaches one width beyond its language's at most, so that a
 source of mostly junk does not set its own. Groups too small to tell use their language's sketch, then that of all.
 Documents beyond a fence are not kept.
 """
@@ -25,8 +25,12 @@ _SYMBOLS = "#*$%&|<>"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs"]
 
-#: Statistic, and the least distance of a fence above the median, below which no spread is taken for an outlier.
-STATS = {"symbol_share": 0.05, "upper_share": 0.20, "bang_share": 0.05, "dup_line_share": 0.40, "repeat_share": 0.20, "mean_word": 6.0}
+#: Statistic, and the distance of its fence from the median where the sketch shows no spread; else the spread sets it.
+STATS = {"symbol_share": 0.05, "upper_share": 0.05, "bang_share": 0.05, "dup_line_share": 0.34, "repeat_share": 0.20, "mean_word": 1.0}
+#: Those that also have a fence below the median; the others are shares, for which none is too low.
+LOW = ["mean_word"]
+#: Standard deviations by which chance alone may carry a short text beyond a fence that a spread sets.
+CHANCE = 3.0
 
 #: Relative error of a sketch; values up to FLOOR share the bucket of zero.
 ALPHA, FLOOR = 0.01, 1e-6
@@ -87,12 +91,20 @@ def quantiles(sketches: DataFrame, by: list[str], at: dict[str, float]) -> DataF
 
 
 def fences(sketches: DataFrame, by: list[str], least: dict[str, float], reach: float, name: str) -> DataFrame:
-    """Per group: rows, and for each statistic its width, max(reach * twice the distance of the lower quartile from the median, least), and its fence, median + width."""
-    q = quantiles(sketches, by, {"q1": 0.25, "q2": 0.5})
-    floor = F.create_map(*[F.lit(x) for s, v in least.items() for x in (s, v)])
-    q = q.withColumn("width", F.greatest(F.lit(2 * reach) * (F.col("q2") - F.col("q1")), floor[F.col("stat")])).withColumn("fence", F.col("q2") + F.col("width"))
+    """Per group: rows, and for each statistic its width, fence (median + width), and for those of LOW also the same below.
+
+    A width is reach * twice the distance of the median from the quartile on the other side of it, which the rows beyond
+    the fence can't move; `least` if that is 0.
+    """
+    q = quantiles(sketches, by, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    floor = F.create_map(*[F.lit(x) for s, v in least.items() for x in (s, v)])[F.col("stat")]
+    wide = lambda spread: F.when(spread > 0, F.lit(2 * reach) * spread).otherwise(floor)
+    q = q.withColumn("width", wide(F.col("q2") - F.col("q1"))).withColumn("low_width", wide(F.col("q3") - F.col("q2")))
+    q = q.withColumn("fence", F.col("q2") + F.col("width")).withColumn("low", F.col("q2") - F.col("low_width"))
     pick = lambda s, c: F.max(F.when(F.col("stat") == s, F.col(c)))
-    return q.groupBy(*by).agg(F.max("rows").alias(f"{name}_rows"), *[pick(s, "fence").alias(f"{name}_{s}") for s in least], *[pick(s, "width").alias(f"{name}_width_{s}") for s in least])
+    above = [pick(s, c).alias(f"{name}_{c}_{s}") for s in least for c in ("fence", "width")]
+    below = [pick(s, c).alias(f"{name}_{c}_{s}") for s in LOW for c in ("low", "low_width")]
+    return q.groupBy(*by).agg(F.max("rows").alias(f"{name}_rows"), *above, *below)
 
 
 def measured(df: DataFrame, key_col: str, text_col: str, lang_col: str, source_col: str, keep: list[str] = ()) -> DataFrame:
@@ -112,7 +124,8 @@ def judge(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_c
     """Per row: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     base_failed: n_words < 10 or 100 * n_repeat_words > 20 * n_words. kept is false if that holds or if a statistic lies
-    beyond the fence of the row's language and source, or beyond the language's fence by more than its width; groups of
+    beyond a fence of the row's language and source, or beyond the language's fence by more than its width (below the median, also no
+    nearer to it than the language's); texts of few words have an allowance for chance; groups of
     fewer than least_rows rows use their language's fence, then that of all rows. Null languages and sources are groups of their own. A null text has no words and so fails. Whole texts are
     measured; ties change nothing; rows that repeat stay rows (and count as often in the sketches); no rows give no rows.
     Other columns are ignored.
@@ -126,11 +139,21 @@ def judge(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_c
     every = fences(merge(by_source.withColumn("one", F.lit(1)), ["one"]), ["one"], STATS, reach, "a").drop("one")
     # The fences per (language, source): a joined table of one row per group.
     table = small.join(mid, F.col("s_lang").eqNullSafe(F.col("l_lang")), "left").join(every)
-    chosen = [F.when(F.col("s_rows") >= least_rows, F.least(F.col(f"s_{s}"), F.col(f"l_{s}") + F.col(f"l_width_{s}"))).when(F.col("l_rows") >= least_rows, F.col(f"l_{s}")).otherwise(F.col(f"a_{s}")).alias(f"f_{s}") for s in stats]
-    table = table.select("s_lang", "s_source", *chosen)
+    own, lang = F.col("s_rows") >= least_rows, F.col("l_rows") >= least_rows
+    up = [F.when(own, F.least(f"s_fence_{s}", F.col(f"l_fence_{s}") + F.col(f"l_width_{s}"))).when(lang, F.col(f"l_fence_{s}")).otherwise(F.col(f"a_fence_{s}")).alias(f"f_{s}") for s in stats]
+    down = [F.when(own, F.greatest(F.least(f"s_low_{s}", f"l_low_{s}"), F.col(f"l_low_{s}") - F.col(f"l_low_width_{s}"))).when(lang, F.col(f"l_low_{s}")).otherwise(F.col(f"a_low_{s}")).alias(f"g_{s}") for s in LOW]
+    table = table.select("s_lang", "s_source", *up, *down)
     out = rows.join(table, F.col("m_lang").eqNullSafe(F.col("s_lang")) & F.col("m_source").eqNullSafe(F.col("s_source")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    # Chance: the deviation of a share of independent letters, and of a mean of words whose lengths deviate by half their mean.
+    spare = {
+        "upper_share": lambda f: F.sqrt(f * F.greatest(1 - f, F.lit(0.0)) / F.greatest("word_chars", F.lit(1))),
+        "mean_word": lambda f: f / 2 / F.sqrt(F.greatest("n_words", F.lit(1))),
+    }
+    slack = lambda s, f: F.lit(CHANCE) * spare[s](f) if s in spare else F.lit(0.0)
     beyond = F.lit(False)
     for s in stats:
-        beyond = beyond | F.coalesce(F.col(s) > F.col(f"f_{s}"), F.lit(False))
+        beyond = beyond | F.coalesce(F.col(s) > F.col(f"f_{s}") + slack(s, F.col(f"f_{s}")), F.lit(False))
+    for s in LOW:
+        beyond = beyond | F.coalesce(F.col(s) < F.col(f"g_{s}") - slack(s, F.col(f"g_{s}")), F.lit(False))
     return out.select(F.col("m_key").alias(key_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~beyond).alias("kept"))

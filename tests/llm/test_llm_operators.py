@@ -459,6 +459,18 @@ def test_junk_of_a_whole_language_does_not_set_its_fence(spark, junk):
     assert got == {r[0]: not r[4] for r in rows}
 
 
+def test_spread_sets_the_fences_on_both_sides(spark):
+    rng = np.random.default_rng(4)
+    rows = noisy(rng, 300, 0, "en", "a", 0)
+    text = lambda lo, hi, n=30: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(lo, hi))) for _ in range(n))
+    capitals = " ".join(w[:-1] + w[-1].upper() for w in text(5, 6).split())  # a fifth of the letters, in a group without any
+    lines = "\n".join([text(3, 8, 6)] * 3 + [text(3, 8, 6) for _ in range(5)] + ["a b c"] * 3)
+    odd = [(1000, text(1, 2), "en", "a"), (1001, text(9, 12), "en", "a"), (1002, capitals, "en", "a"), (1003, lines, "en", "a")]
+    got = {r.doc_id: (r.kept, r.base_failed) for r in quality_rules.judge(spark.createDataFrame([r[:4] for r in rows] + odd, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[r[0]] == (True, False) for r in rows) and all(not got[k][0] for k in range(1000, 1004))
+    assert not any(got[k][1] for k in range(1000, 1003))
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(17,), (None,), (-3,)], "k long").select("k", fold_col(F.col("k")).alias("f")).collect()
     assert [r.f for r in rows] == [zlib.crc32(b"17") % 5, 0, zlib.crc32(b"-3") % 5]
