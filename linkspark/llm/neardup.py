@@ -9,7 +9,7 @@ drawn from the element's hash, so they are the same in every document that holds
 Bands of coordinates are hashed; documents that share a band are candidates, and every candidate link is checked by the
 exact Jaccard similarity of the shingle sets. Links are made without emitting the pairs of a band: each member is held
 against the band's least member; then the documents of bands that still hold several classes meet across classes in a
-join filtered by prefixes and sketches of their sets, whose candidates are checked in turn.
+join filtered by prefixes and sketches of their sets (neither leaves out a similar pair), whose candidates are checked in turn.
 """
 
 from __future__ import annotations
@@ -224,23 +224,22 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - shared) - F.lit(1e-9)).select("a", "b").distinct()
 
 
-#: Bits of a sketch, and how many standard deviations below the similarity its estimate may fall before a pair is left out.
-SKETCH_BITS, SKETCH_MARGIN = 1024, 4.5
+#: Bits of a sketch.
+SKETCH_BITS = 1024
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """Per set (k, s) its one-bit signature of SKETCH_BITS coordinates, as longs b0, b1, ...: bits agree with probability (1 + J) / 2."""
+    """Per set (k, s) the parities of its elements by bit, as longs b0, b1, ...: two sets differ in at least as many elements as their sketches in bits."""
     words = SKETCH_BITS // 64
     names = [f"b{i}" for i in range(words)]
 
     def run(batches):
-        darts = Darts(SKETCH_BITS)
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                s = [np.array(x, dtype=np.int64).view(np.uint64) for x in part.column(1).to_pylist()]
-                sig = darts.signatures(np.repeat(np.arange(len(s)), [len(x) for x in s]), np.concatenate(s), None, len(s))
-                bits = np.packbits((mix(sig) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                s = [mix(np.array(x, dtype=np.int64).view(np.uint64)) % np.uint64(SKETCH_BITS) for x in part.column(1).to_pylist()]
+                odd = np.array([np.bincount(x.astype(np.int64), minlength=SKETCH_BITS) & 1 for x in s], dtype=np.uint8)
+                bits = np.packbits(odd, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(bits[:, i].copy()) for i in range(words)]], names=["k", *names])
 
     return sets.select("k", "s").mapInArrow(run, "k long, " + ", ".join(f"{n} long" for n in names))
@@ -252,8 +251,9 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     Elements are ordered by rarity among the sets. Two similar sets share an element among the first n - ceil(t n) + 1 of
     either, and at the first one they share enough elements are left for the overlap they need. Elements that one class
     alone has in its prefixes pair nothing, so a large class meets itself nowhere. Sets that share the rare traces of an
-    edit but little else are told apart within the join by their sketches: a pair whose estimate lies SKETCH_MARGIN
-    deviations below the similarity (one in 300,000 of those that reach it) is left out.
+    edit but little else are told apart within the join by their sketches: as bits differ only where elements do, a pair
+    with more differing bits than a similar pair may have differing elements is left out, and never one that is similar.
+    Sets beyond about SKETCH_BITS / 2 * (1 + t) / (1 - t) / 2 elements are hardly told apart by it and go to the exact check.
     """
     each = sets.select("k", "c", F.size("s").alias("n"), F.explode("s").alias("e"))
     rarity = each.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
@@ -267,8 +267,7 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     need = F.lit(similarity / (1 + similarity)) * (F.col("n_1") + F.col("n_2")) - F.lit(1e-9)
     left = F.least(F.col("n_1") - F.col("at_1"), F.col("n_2") - F.col("at_2"))  # this element and those after it
     differ = sum((F.bit_count(F.col(f"{c}_1").bitwiseXOR(F.col(f"{c}_2"))) for c in bits), F.lit(0))
-    q = (1 - similarity) / 2
-    most = SKETCH_BITS * q + SKETCH_MARGIN * math.sqrt(SKETCH_BITS * q * (1 - q))
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_1") + F.col("n_2")) + F.lit(1e-9)
     met = x.join(y, (F.col("e1") == F.col("e2")) & (F.col("k_1") < F.col("k_2")) & (F.col("c_1") != F.col("c_2")) & _alike(F.col("n_1"), F.col("n_2"), similarity) & (left >= need) & (differ <= most))
     return met.select(F.col("k_1").alias("a"), F.col("k_2").alias("b")).distinct()
 

@@ -211,6 +211,25 @@ def test_prefix_join_finds_what_bands_leave(spark):
     assert {(r.a, r.b) for r in neardup.verified(neardup.prefix_pairs(sets, 0.8), sets.select("k", "s"), 0.8).collect()} == want
 
 
+def test_sketches_leave_out_no_similar_pair(spark):
+    # 720 of 900 shared: exactly 0.8. The bits in which sketches differ never exceed the elements that do.
+    rng = np.random.default_rng(6)
+    rows, want = [], set()
+    for i in range(300):
+        e = rng.integers(-(2**62), 2**62, 900).tolist()
+        rows += [(2 * i, 2 * i, sorted(e[:810])), (2 * i + 1, 2 * i + 1, sorted(e[:720] + e[810:]))]
+        want.add((2 * i, 2 * i + 1))
+    sets = spark.createDataFrame(rows, "k long, c long, s array<long>")
+    bits = {r.k: r for r in neardup.sketches(sets).collect()}
+    differ = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits[a][1:], bits[b][1:]))
+    assert all(differ(a, b) <= 180 for a, b in want)
+    assert {(r.a, r.b) for r in neardup.prefix_pairs(sets, 0.8).collect()} == want
+    assert min(differ(2 * i, 2 * i + 2) for i in range(299)) > 180
+    # A pair at 0.8 whose one-bit signatures of 1,024 coordinates differ in 146, more than 4.5 deviations from what 0.8 gives.
+    unlucky = spark.createDataFrame([(0, 0, [*range(1, 9), 1834]), (1, 1, [*range(1, 9), 3075])], "k long, c long, s array<long>")
+    assert [tuple(r) for r in neardup.prefix_pairs(unlucky, 0.8).collect()] == [(0, 1)]
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_darts_estimate_similarity(weighted):
     rng = np.random.default_rng(2)
