@@ -51,7 +51,8 @@ POOL_SQL = " UNION ALL ".join([
 ])
 TRUTH_SQL = "SELECT of_s1 AS s1, cand FROM er_pool WHERE op IN ('copy', 'restyle')"
 
-#: Scored pairs: every record against the anchors of its street within five houses, with a made-up but exact score.
+#: Scored pairs: every record against the anchors of its own block of 40 ids and street within five houses, with a made-up but exact score.
+#: Street and country recur every 21 blocks; records and anchors of different blocks are not paired, here and in the oracle SQL alike.
 PAIRS_SQL = """
 SELECT a.s1, b.cand, b.src, a.country,
   (1 + (a.s1 * 7919 + b.cand * 104729) % 997) / 1000.0 * CASE WHEN b.of_s1 = a.s1 AND b.op IN ('copy', 'restyle') THEN 1.0 ELSE 0.5 END AS p,
@@ -72,7 +73,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored pairs: s1, cand, src, country, p, label."""
+    """Scored pairs within a block of 40 ids (see PAIRS_SQL): s1, cand, src, country, p, label."""
     s1, pool, _ = corpus(spark, sf_dir)
     out = spark.sql(PAIRS_SQL.replace("er_s1 a", "{s1} a").replace("er_pool b", "{pool} b"), s1=s1, pool=pool)
     return out.selectExpr("s1", "cand", "src", "country", "cast(p as double) as p", "label")
