@@ -45,9 +45,11 @@ def fold_col(doc_id: Column, folds: int = 5) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set to a local one only where the session names none, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine that names none, as in tests, gets a temporary one; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -68,20 +70,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores added until no column of df is called so."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
+def positions(df: DataFrame, *names: str) -> list[int]:
+    """Where the named columns stand in df: the exact name, else the one that differs in case only."""
+    exact, folded = df.columns, [c.lower() for c in df.columns]
+    return [exact.index(n) if n in exact else folded.index(n.lower()) for n in names]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns called k0, k1, ... by position, so that no name of the caller's clashes with one of an operator."""
+    return df.toDF(*[f"k{i}" for i in range(len(df.columns))])
+
+
+def beside(taken: list[str], name: str) -> str:
+    """name, or name with underscores added until it differs from all of taken (also in case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
         name += "_"
     return name
 
 
+def keyed(df: DataFrame, key_col: str, results: dict[str, Column], key: Column) -> DataFrame:
+    """The key under its own name and the results under theirs; a result called like the key gets an underscore."""
+    return df.select(key.alias(key_col), *[c.alias(beside([key_col], n)) for n, c in results.items()])
+
+
 def map_texts(df: DataFrame, text_col: str, fn: Callable[[list], dict[str, list]], schema: str, keep: list[str]) -> DataFrame:
-    """Arrow map over batches: the kept columns unchanged, then the columns that fn makes of the list of texts.
+    """Arrow map over batches: the kept columns, called k0, k1, ... in their order, then the columns that fn makes of the list of texts.
 
-    schema lists the new columns ("n long, score double"). fn is built once per task if it has a `start` attribute.
+    schema lists the new columns ("r_n long, r_score double"). fn is built once per task if it has a `start` attribute.
     """
-    source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    at, by = positions(df, *keep), numbered(df)
+    source = by.select(*[F.col(f"k{i}").alias(f"k{j}") for j, i in enumerate(at)], F.col(f"k{positions(df, text_col)[0]}").cast("string").alias("text"))
     fields = [f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
     n_keep = len(keep)
 
@@ -93,8 +112,7 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[list], dict[str, list]
                 made = call(part.column(n_keep).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *made.values()], names=[*(f"k{i}" for i in range(n_keep)), *made])
 
-    out = source.mapInArrow(run, ", ".join([*fields, schema]))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *out.columns[n_keep:])
+    return source.mapInArrow(run, ", ".join([*fields, schema]))
 
 
 def sliced(batch: pa.RecordBatch, text_at: int, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_col, materialise
+from .common import ascii_lower_col, keyed, materialise, numbered, positions
 
 #: Separators of words, for a split.
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -19,6 +19,9 @@ _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Distinct words that may stand in the plan as a set (about a megabyte); more go through a join.
 MOST_LITERALS = 20_000
 
+#: Windows of no more characters than this, with their items, are broadcast.
+MOST_BYTES = 8_000_000
+
 
 def words_col(text: Column) -> Column:
     """The words of a text, in order; a null text has none."""
@@ -26,8 +29,12 @@ def words_col(text: Column) -> Column:
 
 
 def windows_of(items: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
-    """One row per distinct window: its words (w), their number and the items it stands in."""
-    w = items.select(F.col(item_col).cast("string").alias("item"), words_col(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
+    """One row per distinct window: its words (w), their number (len) and the items it stands in.
+
+    Null, empty and wordless items have none; a null item id is in no list of items, but its windows stand.
+    """
+    item, text = (F.col(f"k{i}") for i in positions(items, item_col, text_col))
+    w = numbered(items).select(item.cast("string").alias("item"), words_col(text).alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
     w = w.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("w"))
     return w.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("len", F.size("w"))
@@ -65,7 +72,7 @@ def _prefixes(docs: DataFrame, windows: DataFrame, most: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, prefixes: DataFrame, size: int, most: int) -> DataFrame:
-    """One row per document: row, key, n_words and the places of prefix words, each with the words up to a window around it."""
+    """One row per document: row, key, hash of the text, n_words and the places of prefix words, each with the words up to a window around it."""
     rare = prefixes.select(F.col("rare").alias("word")).distinct()
     listed = _listed(rare, most)
     if listed == []:
@@ -79,17 +86,23 @@ def _candidates(docs: DataFrame, prefixes: DataFrame, size: int, most: int) -> D
         docs = docs.join(sets, F.col("key").eqNullSafe(F.col("s_key")) & (F.col("hash") == F.col("s_hash")), "left")
         held = F.expr("filter(sequence(0, size(words) - 1), i -> coalesce(array_contains(own, words[i]), false))")
     held = F.when(F.size("words") > 0, held).otherwise(F.expr("cast(array() as array<int>)"))
-    found = docs.select("key", "words", held.alias("held"))
+    found = docs.select("key", "hash", "words", held.alias("held"))
     around = F.expr(f"transform(held, i -> struct(i as at, words[i] as word, slice(words, greatest(i - {size - 1}, 0) + 1, {2 * size - 1}) as ctx))")
-    return found.select(F.monotonically_increasing_id().alias("row"), "key", F.size("words").cast("long").alias("n_words"), around.alias("places"))
+    return found.select(F.monotonically_increasing_id().alias("row"), "key", "hash", F.size("words").cast("long").alias("n_words"), around.alias("places"))
 
 
 def occurrences(candidates: DataFrame, prefixes: DataFrame, size: int) -> DataFrame:
-    """Verified places: row, first word (from 0), last word and the items of the window."""
+    """Verified places: row, first word (from 0), last word and the items of the window.
+
+    A document without prefix words has none; windows of repeated words may overlap themselves. The windows are
+    broadcast only where their measured size is small (MOST_BYTES); else both sides are shuffled by the prefix word.
+    """
     c = candidates.filter(F.size("places") > 0).select("row", F.explode("places").alias("p")).select("row", "p.at", "p.word", "p.ctx").withColumn("c", F.least(F.col("at"), F.lit(size - 1)))
     begin = F.col("c") - F.col("off")
     same = F.when((begin >= 0) & (begin + F.col("len") <= F.size("ctx")), F.slice("ctx", F.greatest(begin, F.lit(0)) + 1, F.col("len")) == F.col("w")).otherwise(False)
-    hits = c.join(prefixes, (F.col("word") == F.col("rare")) & same)
+    held = prefixes.agg(F.sum(F.length(F.array_join("w", " ")) + F.length(F.array_join("items", " ")) + 100)).first()[0] or 0
+    near = F.broadcast(prefixes) if held <= MOST_BYTES else prefixes
+    hits = c.join(near, (F.col("word") == F.col("rare")) & same)
     return hits.select("row", (F.col("at") - F.col("off")).alias("first"), (F.col("at") - F.col("off") + F.col("len") - 1).alias("last"), "items")
 
 
@@ -98,10 +111,18 @@ def contamination(df: DataFrame, items: DataFrame, key_col: str = "doc_id", text
 
     items_sha256 is the hash of the ids of the items found, sorted as text and joined by commas (of the empty text where
     none). Null and empty texts have no words; items without words have no windows; a null item id takes part in n_hit but is not
-    listed. Rows that repeat stay rows. Empty tables on either side give no rows or no hits. Other columns are ignored.
+    listed. Rows that repeat stay rows. Empty tables on either side give no rows or no hits. Columns are taken by position,
+    so others may have any name; a result called like the key gets an underscore.
     Long texts stay whole: what leaves a document is its word count and the surroundings of prefix words.
     """
-    docs = df.select(F.col(key_col).alias("key"), words_col(F.col(text_col)).alias("words"), F.xxhash64(text_col).alias("hash"))
+    out = _contamination(df, items, key_col, text_col, item_col, item_text, size, most_literals)
+    return keyed(out, key_col, {n: F.col(n) for n in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")}, F.col("key"))
+
+
+def _contamination(df: DataFrame, items: DataFrame, key_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text", size: int = 10, most_literals: int = MOST_LITERALS) -> DataFrame:
+    """The result of contamination with the key as `key`, and the hash of the text."""
+    key, text = (F.col(f"k{i}") for i in positions(df, key_col, text_col))
+    docs = numbered(df).select(key.alias("key"), words_col(text).alias("words"), F.xxhash64(text).alias("hash"))
     windows = materialise(windows_of(items, item_col, item_text, size), "windows")
     prefixes = materialise(_prefixes(docs, windows, most_literals), "prefixes")
     found = materialise(_candidates(docs, prefixes, size, most_literals), "places")
@@ -112,9 +133,9 @@ def contamination(df: DataFrame, items: DataFrame, key_col: str = "doc_id", text
     fresh = fresh.select("row", F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, F.coalesce("seen", F.lit(-1)))).alias("n"))
     covered = fresh.groupBy("row").agg(F.sum("n").cast("long").alias("n_hit"))
     listed = hits.select("row", F.explode_outer("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = found.select("row", "key", "n_words").join(covered, "row", "left").join(listed, "row", "left")
+    out = found.select("row", "key", "hash", "n_words").join(covered, "row", "left").join(listed, "row", "left")
     return out.select(
-        F.col("key").alias(key_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "key", "hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
@@ -122,9 +143,13 @@ def contamination(df: DataFrame, items: DataFrame, key_col: str = "doc_id", text
 
 
 def clean(df: DataFrame, items: DataFrame, key_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of df, all columns as they are, without those whose key has a contaminated text; rows without a key stay."""
-    bad = contamination(df, items, key_col, text_col, **how).filter("contaminated").select(F.col(key_col).alias("bad_key")).distinct()
-    return df.join(bad, df[key_col] == F.col("bad_key"), "left_anti")
+    """The rows of df, all columns as they are and whatever they are called, without those whose own text is contaminated.
+
+    Each row is judged by its text: of rows that repeat a key only the contaminated ones go, and so do contaminated rows without a key.
+    """
+    key, text = (F.col(f"k{i}") for i in positions(df, key_col, text_col))
+    bad = _contamination(df, items, key_col, text_col, **how).filter("contaminated").select(F.col("key").alias("bad_key"), F.col("hash").alias("bad_hash")).distinct()
+    return numbered(df).join(bad, key.eqNullSafe(F.col("bad_key")) & (F.xxhash64(text) == F.col("bad_hash")), "left_anti").toDF(*df.columns)
 
 
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

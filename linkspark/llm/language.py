@@ -1,9 +1,9 @@
 """Language identification by cross-parsing entropy.
 
-For every language a suffix automaton of labelled words is built. A text is cross-parsed against each: phrases are
-longest matches, so the number of phrases times the bits of a pointer, per character, estimates the cross entropy of
-the text under that language (Ziv and Merhav). The language that needs the fewest normalised phrases wins. Words are
-parsed with their leading and trailing blank, and phrases end with the word, so each distinct word is parsed once.
+For every language a suffix automaton of labelled running text is built. A text is cross-parsed against each: phrases are
+longest matches, over words and blanks alike, so the number of phrases times the bits of a pointer into that language's
+text, per character, estimates the cross entropy of the text under the language (Ziv and Merhav). The language that
+needs the fewest normalised phrases wins.
 """
 
 from __future__ import annotations
@@ -11,121 +11,189 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import fold_col, map_texts
-from .tokens import BoundedCache, per_worker
+from .common import fold_col, keyed, map_texts, numbered, positions
+from .tokens import per_worker
 
 _WORD = re.compile(r"[^\W\d_]+")
-_FIELD = 40  # bits of each language's count in a packed sum
 
+#: Share of the phrases that fit a language from which a text counts as written in it (see Parser.fit).
+LEAST_FIT = 0.8
 
-def letters_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+
+def plain(text: str | None) -> str:
+    """The running text that is parsed: lower-cased words of letters, one blank before, between and after them; empty without a letter."""
+    words = _WORD.findall(text.lower()) if text else []
+    return f" {' '.join(words)} " if words else ""
+
+
+@dataclass(frozen=True)
+class Languages:
+    """Per language, those with more labelled rows first: its labelled texts (as plain), and how many phrases a character of such text takes."""
+
+    texts: dict[str, tuple[str, ...]]
+    rates: dict[str, float]
 
 
 class Parser:
-    """Phrase counts of texts against the words of each language (name -> words)."""
-
-    def __init__(self, words: dict[str, list[str]], most: int = 200_000):
-        self.names = list(words)  # a tie goes to the first
-        self.machines = [SuffixAutomaton().extend(" " + " ".join(words[k]) + " ") for k in self.names]
-        # Bits to name a place in a language's text: the same for all, so that equal parses tie.
-        self.bits = math.log2(max((m.size for m in self.machines), default=0) + 2)
-        self.known = BoundedCache(most)
-
-    def _packed(self, word: str) -> int:
-        padded = f" {word} "
-        return sum(m.phrases(padded) << (_FIELD * k) for k, m in enumerate(self.machines))
-
-    def phrases(self, text: str | None) -> list[int]:
-        words = letters_of(text)
-        known, total = self.known, 0
-        for w in words:
-            if (n := known.get(w)) is None:
-                n = known.keep(w, self._packed(w))
-            total += n
-        mask = (1 << _FIELD) - 1
-        return [(total >> (_FIELD * k)) & mask for k in range(len(self.names))]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The winning language and the posterior of its code length against the others' (a tie goes to the language with more labelled rows)."""
-        if not self.names or not letters_of(text):
-            return "und", 0.0
-        cost = [n * self.bits for n in self.phrases(text)]
-        best = min(range(len(cost)), key=lambda k: cost[k])
-        return self.names[best], 1.0 / sum(2.0 ** max(-1000.0, cost[best] - c) for c in cost)
+    """Cross-parses against the labelled text of each language (name -> texts as plain makes them)."""
+
+    def __init__(self, texts: dict[str, tuple[str, ...]], rates: dict[str, float] | None = None):
+        self.names = list(texts)
+        self.rates = rates or {}
+        self.bits, self.roots = [], []
+        for k in self.names:
+            # A mark between texts that no plain text holds: no phrase runs from one text into another.
+            machine = SuffixAutomaton().extend("\n".join(texts[k]))
+            self.bits.append(math.log2(machine.size + 2))  # names a place in this language's text
+            self.roots.append(_linked(machine))
+
+    def phrases(self, symbols: str) -> list[int]:
+        """The phrases of a plain text under each language: longest matches, or single unseen symbols."""
+        out = []
+        for root in self.roots:
+            count, node = 0, root
+            for c in symbols:
+                after = node.get(c)
+                if after is None:  # the phrase ends before c; c begins the next one, or is one of its own
+                    count += node is not root
+                    after = root.get(c)
+                    if after is None:
+                        count += 1
+                        after = root
+                node = after
+            out.append(count + (node is not root))
+        return out
+
+    def fit(self, name: str, phrases: int, chars: int) -> float:
+        """1 if the text takes no more phrases than text of the language does (with four deviations of chance and two phrases for short texts), else their ratio."""
+        if not (rate := self.rates.get(name)):
+            return 1.0
+        usual = rate * chars
+        return min(1.0, (usual + 4 * math.sqrt(usual) + 2) / max(1, phrases))
+
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The winning language, the posterior of its code length against the others', and its fit. A tie goes to the language with more labelled rows."""
+        symbols = plain(text)
+        if not symbols or not self.names:
+            return "und", 0.0, 0.0
+        counts = self.phrases(symbols)
+        cost = [n * b for n, b in zip(counts, self.bits)]
+        best = min(range(len(cost)), key=cost.__getitem__)
+        name = self.names[best]
+        return name, 1.0 / sum(2.0 ** max(-1000.0, cost[best] - c) for c in cost), self.fit(name, counts[best], len(symbols))
+
+
+def _linked(machine: SuffixAutomaton) -> dict:
+    """The automaton as nested dicts, symbol -> the dict of the next state."""
+    for state in machine.next:
+        for c, to in state.items():
+            state[c] = machine.next[to]
+    return machine.next[0]
 
 
 class _Predict:
-    def __init__(self, words):
-        self.words = words  # a broadcast of bounded size
+    def __init__(self, shared):
+        self.shared = shared  # a broadcast of bounded size
 
     def start(self):
-        words = self.words.value
-        parser = per_worker(("parser", hashlib.sha256(repr(words).encode()).hexdigest()), lambda: Parser(words))
+        known: Languages = self.shared.value
+        parser = per_worker(("parser", hashlib.sha256(repr(known).encode()).hexdigest()), lambda: Parser(known.texts, known.rates))
 
         def call(texts: list) -> dict:
             got = [parser.predict(t) for t in texts]
-            return {"r_lang": pa.array([g[0] for g in got], pa.string()), "r_score": pa.array([g[1] for g in got], pa.float64())}
+            return {"r_lang": pa.array([g[0] for g in got], pa.string()), "r_score": pa.array([g[1] for g in got], pa.float64()), "r_fit": pa.array([g[2] for g in got], pa.float64())}
 
         return call
 
 
-def learn(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 200, train_chars: int = 40_000) -> dict[str, list[str]]:
-    """The commonest words per non-null language, of rows outside fold 0, until they fill train_chars characters.
+def learn(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 200, train_chars: int = 50_000, most_text: int = 10_000) -> Languages:
+    """Labelled texts per non-null language, from rows outside fold 0.
+
+    The sample is bounded: about sample_docs rows per language by a hash of key and text (rows that agree in both count
+    once), of which whole texts are taken in hash order until they hold train_chars characters; texts of more than
+    most_text bytes come after all others, so at most train_chars + most_text characters are fetched for a language that
+    has shorter ones. Only these texts reach the driver. Prediction reads everything.
 
-    At most about sample_docs whole texts per language are fetched: rows whose key hash is below a rate set from the
-    language's row count, taken in hash order. That bound is the only sample; prediction reads everything.
+    Labels may be wrong: each half of a language's sample is parsed against the other halves of all languages, and
+    texts that another language explains better are left out. The same parses give the phrases per character.
     """
-    rows = df.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (fold_col(F.col("k")) != 0))
+    k, t, lang = (F.col(f"k{i}") for i in positions(df, key_col, text_col, lang_col))
+    rows = numbered(df).select(k.alias("key"), t.cast("string").alias("t"), lang.cast("string").alias("l")).filter(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}") & (fold_col(F.col("key")) != 0))
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return {}
+        return Languages({}, {})
     scale = 1 << 30
-    h = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(scale))
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, -(-scale * sample_docs // n)))])
-    sample = rows.withColumn("h", h).filter(F.col("h") < rate[F.col("l")]).collect()
+    rows = rows.withColumn("h", F.xxhash64("key", "t", F.lit(7)))
+    rate = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(scale, -(-scale * sample_docs // n)))])
+    drawn = rows.filter(F.pmod("h", F.lit(scale)) < rate[F.col("l")])
+    sizes = drawn.groupBy("l", "h").agg(F.max(F.octet_length("t")).alias("n")).collect()
+    taken: list[int] = []
+    held: dict[str, int] = defaultdict(int)
+    for r in sorted(sizes, key=lambda r: (r["l"], r["n"] > most_text, r["h"])):
+        if held[r["l"]] < train_chars and (r["n"] <= most_text or not held[r["l"]]):
+            held[r["l"]] += r["n"]
+            taken.append(r["h"])
+    fetched = drawn.filter(F.col("h").isin(taken)).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
     texts: dict[str, list[str]] = defaultdict(list)
-    for r in sorted(sample, key=lambda r: (r["l"], r["h"], r["t"])):
-        texts[r["l"]].append(r["t"])
-    # Labels may be wrong: texts that another language's words explain better are left out, and words are chosen anew.
-    first = Parser({k: common_words(v, train_chars) for k, v in texts.items()})
-    agreed = {k: [t for t in v if first.predict(t)[0] == k] for k, v in texts.items()}
-    return {k: common_words(agreed[k] or texts[k], train_chars) for k in sorted(texts, key=lambda k: (-counts[k], k))}
-
-
-def common_words(texts: list[str], most_chars: int) -> list[str]:
-    """Distinct words, those of most texts first, until they fill most_chars characters."""
-    in_texts = Counter(w for t in texts for w in set(letters_of(t)))
-    out, held = [], 0
-    for w, _ in sorted(in_texts.items(), key=lambda x: (-x[1], x[0])):
-        if held >= most_chars:
-            break
-        out.append(w)
-        held += len(w) + 1
-    return out
-
-
-def predict(df: DataFrame, words: dict[str, list[str]], text_col: str = "text", keep: list[str] | None = None, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """The kept columns with the predicted language and its score (0 to 1).
-
-    A map without a shuffle; what is broadcast is the bounded word lists. A text that is null or has no letter gets
-    'und' and 0. Whole texts are parsed. Rows that repeat stay rows; no rows give no rows; with nothing learned every
+    for r in sorted(fetched, key=lambda r: (r["l"], r["h"])):
+        if symbols := plain(r["t"]):
+            texts[r["l"]].append(symbols)
+    return settle({name: texts[name] for name in sorted(texts, key=lambda x: (-counts[x], x))})
+
+
+def settle(texts: dict[str, list[str]]) -> Languages:
+    """Leave out texts whose label another language's text contradicts, and take each language's phrases per character."""
+    halves = [Parser({name: tuple(v[i::2] or v) for name, v in texts.items()}) for i in (0, 1)]
+    kept: dict[str, tuple[str, ...]] = {}
+    rates: dict[str, float] = {}
+    for at, (name, v) in enumerate(texts.items()):
+        good, phrases = [], 0
+        for i, t in enumerate(v):
+            judge = halves[1 - i % 2]
+            counts = judge.phrases(t)
+            if min(range(len(counts)), key=lambda x: counts[x] * judge.bits[x]) == at:
+                good.append(t)
+                phrases += counts[at]
+        kept[name] = tuple(good or v)
+        if len(good) > 1:
+            rates[name] = phrases / sum(map(len, good))
+    return Languages(kept, rates)
+
+
+def predict(df: DataFrame, known: Languages, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns (k0, k1, ... in their order), r_lang, r_score (0 to 1) and r_fit (0 to 1; see Parser.fit).
+
+    A map without a shuffle; what is broadcast is the bounded labelled text. A text that is null or has no letter gets
+    'und', 0 and 0. Whole texts are parsed. Rows that repeat stay rows; no rows give no rows; with nothing learned every
     text is 'und'.
     """
-    shared = df.sparkSession.sparkContext.broadcast(words)
-    kept = keep if keep is not None else df.columns
-    out = map_texts(df, text_col, _Predict(shared), "r_lang string, r_score double", kept)
-    return out.select(*kept, F.col("r_lang").alias(lang_name), F.col("r_score").alias(score_name))
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    return map_texts(df, text_col, _Predict(shared), "r_lang string, r_score double, r_fit double", df.columns if keep is None else keep)
 
 
 def identify(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learn from df and predict each of its rows: key, held_out (fold 0), lang_pred, score. See learn and predict."""
+    """Learn from df and predict each of its rows: key, held_out (fold 0), lang_pred, score, fit. See learn and predict.
+
+    Columns are taken by position, so others may have any name; a result called like the key gets an underscore.
+    """
     out = predict(df, learn(df, key_col, text_col, lang_col), text_col, [key_col])
-    return out.select(key_col, (fold_col(F.col(key_col)) == 0).alias("held_out"), "lang_pred", "score")
+    k = F.col("k0")
+    return keyed(out, key_col, {"held_out": fold_col(k) == 0, "lang_pred": F.col("r_lang"), "score": F.col("r_score"), "fit": F.col("r_fit")}, k)
+
+
+def spoken(df: DataFrame, known: Languages, text_col: str = "text", least_score: float = 0.3, least_fit: float = LEAST_FIT) -> DataFrame:
+    """The rows of df, all columns as they are, with a letter, a language told apart from the others and a text that fits it.
+
+    least_score: below it, at least four languages explain the text about equally well. least_fit: a text of a language
+    that was not learned takes more phrases than texts of the one that wins.
+    """
+    out = predict(df, known, text_col)
+    return out.filter((F.col("r_lang") != "und") & (F.col("r_score") >= least_score) & (F.col("r_fit") >= least_fit)).select(*[f"k{i}" for i in range(len(df.columns))]).toDF(*df.columns)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, ascii_lower, materialise, sliced
+from .common import WORD_RE, ascii_lower, keyed, map_texts, materialise, numbered, positions, sliced
 from .tokens import BoundedCache, per_worker
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -61,7 +61,8 @@ class Darts:
             level = 0
             while (inside := weight > (start := 2.0**level - 1)).any():
                 # Region `level` spans weights [2^level - 1, 2^(level+1) - 1): darts come 2^level times as fast.
-                regions.append((doc[inside], mix(element[inside] + _GOLD * np.uint64(level + 1)), 2.0**level, weight[inside], start))
+                salt = np.uint64(int(_GOLD) * (level + 1) & 0xFFFFFFFFFFFFFFFF)
+                regions.append((doc[inside], mix(element[inside] + salt), 2.0**level, weight[inside], start))
                 level += 1
         horizon = self.darts / mass
         todo = np.ones(n_docs, dtype=bool)
@@ -137,9 +138,14 @@ class Shingles:
         return np.unique(self.of(text), return_counts=True)
 
 
-def signature_table(df: DataFrame, key_col: str, text_col: str, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """key, content (128-bit hash of the sorted shingle set, null without words), n (distinct shingles), bands (one hash per band)."""
-    source = df.select(F.col(key_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+def _keys_and_texts(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """k (the key in its own type) and t (the text)."""
+    key, text = positions(df, key_col, text_col)
+    return numbered(df).select(F.col(f"k{key}").alias("k"), F.col(f"k{text}").cast("string").alias("t"))
+
+
+def signature_table(source: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
+    """Of rows (k, t): k, content (128-bit hash of the sorted shingle set, null without words), n (distinct shingles), bands (one hash per band)."""
 
     def run(batches):
         shingles, darts = Shingles.of_worker(), Darts(bands * rows)
@@ -169,12 +175,11 @@ def signature_table(df: DataFrame, key_col: str, text_col: str, bands: int, rows
                         names=["k", "content", "n", "bands"],
                     )
 
-    return source.mapInArrow(run, "k long, content binary, n int, bands array<long>")
+    return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, content binary, n int, bands array<long>")
 
 
-def shingle_sets(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """key and the sorted distinct shingle hashes."""
-    source = df.select(F.col(key_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+def shingle_sets(source: DataFrame) -> DataFrame:
+    """Of rows (k, t): k and s, the sorted distinct shingle hashes (none for a null text or one without words)."""
 
     def run(batches):
         shingles = Shingles.of_worker()
@@ -183,7 +188,18 @@ def shingle_sets(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
                 sets = [shingles.counted(t)[0].view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["k", "s"])
 
-    return source.mapInArrow(run, "k long, s array<long>")
+    return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, s array<long>")
+
+
+def contents(df: DataFrame, text_col: str) -> DataFrame:
+    """df by position (k0, k1, ...) and content: the hash of the sorted shingle set, as in signature_table; null without words."""
+
+    def of(texts: list) -> dict:
+        shingles = Shingles.of_worker()
+        sets = [shingles.counted(t)[0] for t in texts]
+        return {"content": pa.array([xxhash.xxh3_128_digest(e.tobytes()) if len(e) else None for e in sets], pa.binary())}
+
+    return map_texts(df, text_col, of, "content binary", df.columns)
 
 
 def classes(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -217,11 +233,15 @@ def _alike(n_a: Column, n_b: Column, similarity: float) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets (k, s) have at least the similarity. A key may come with several sets: any of them makes the link."""
+    """Those of the pairs (a, b) whose shingle sets (k, s) have at least the similarity.
+
+    A key may come with several sets: any of them makes the link. A pair with a key that has no set is left out, as is
+    one with an empty set; repeated pairs come out once; no pairs give no pairs.
+    """
     left = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("s_a")), "a")
     both = left.join(sets.select(F.col("k").alias("b"), F.col("s").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    return both.filter(shared >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - shared) - F.lit(1e-9)).select("a", "b").distinct()
+    return both.filter((shared > 0) & (shared >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - shared) - F.lit(1e-9))).select("a", "b").distinct()
 
 
 #: Bits of a sketch.
@@ -229,7 +249,10 @@ SKETCH_BITS = 1024
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """Per set (k, s) the parities of its elements by bit, as longs b0, b1, ...: two sets differ in at least as many elements as their sketches in bits."""
+    """Per set (k, s) the parities of its elements by bit, as longs b0, b1, ...: two sets differ in at least as many elements as their sketches in bits.
+
+    An empty set has no bits. Rows that repeat stay rows; s is never null (shingle_sets makes none).
+    """
     words = SKETCH_BITS // 64
     names = [f"b{i}" for i in range(words)]
 
@@ -242,7 +265,7 @@ def sketches(sets: DataFrame) -> DataFrame:
                 bits = np.packbits(odd, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(bits[:, i].copy()) for i in range(words)]], names=["k", *names])
 
-    return sets.select("k", "s").mapInArrow(run, "k long, " + ", ".join(f"{n} long" for n in names))
+    return sets.select("k", "s").mapInArrow(run, f"k {sets.schema['k'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
@@ -280,24 +303,26 @@ def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     is a candidate with probability 0.99994, and more above. `weighted` draws candidates by the weighted similarity
     of shingle counts instead; the links are then those whose sets also reach the similarity.
 
-    Rows of equal shingle sets are one node. Rows that repeat a key are one document and share a class. A text without
-    words (null, empty, punctuation) is alone: its class is its key. Rows without a key are classed by their content and
-    never name a class, unless no row of it has a key: then class_id is null. No rows give no rows.
+    Keys are of any type that has an order. Rows of equal shingle sets are one node. Rows that repeat a key are one
+    document: whatever is linked to one of their texts shares their class. A text without words (null, empty,
+    punctuation) is alone: its class is its key. Rows without a key are classed by their content and never name a class,
+    unless no row of it has a key: then class_id is null. No rows give no rows. Columns are taken by position, so others
+    may have any name; a key called class_id makes the result class_id_.
     """
-    sig = materialise(signature_table(df, key_col, text_col, bands, rows, weighted), "signatures")
-    keyed = sig.filter("content is not null and k is not null")
-    reps = materialise(keyed.groupBy("content").agg(F.min(F.struct("k", "n", "bands")).alias("r")).select("content", F.col("r.k").alias("k"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), "representatives")
-    # Contents under one key are one document already: linked through the key.
+    source = _keys_and_texts(df, key_col, text_col)
+    sig = materialise(signature_table(source, bands, rows, weighted), "signatures")
+    with_key = sig.filter("content is not null and k is not null")
+    reps = materialise(with_key.groupBy("content").agg(F.min(F.struct("k", "n", "bands")).alias("r")).select("content", F.col("r.k").alias("k"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), "representatives")
     member = reps.select(F.col("k"), "n", F.explode("bands").alias("band"))
     heads = member.groupBy("band").agg(F.min(F.struct("k", "n")).alias("h"), F.max("k").alias("top")).filter("top > h.k").select("band", F.col("h.k").alias("a"), F.col("h.n").alias("n_a"))
     shared = materialise(member.join(heads, "band"), "shared")
     stars = materialise(shared.filter((F.col("k") > F.col("a")) & _alike(F.col("n"), F.col("n_a"), similarity)).select("a", F.col("k").alias("b")).distinct(), "stars")
     ids = shared.select(F.col("k").alias("i")).distinct()
-    texts = df.select(F.col(key_col).cast("long").alias("k"), F.col(text_col).alias("t")).join(ids, F.col("k") == F.col("i"), "left_semi")
-    sets = materialise(shingle_sets(texts, "k", "t"), "sets")
+    texts = source.join(ids, F.col("k") == F.col("i"), "left_semi")
+    sets = materialise(shingle_sets(texts).filter(F.size("s") > 0), "sets")
     if sets.count() > ids.count():  # rows that repeat a key
         sets = sets.distinct()
-    first = materialise(verified(stars, sets, similarity), "verified")
+    first = materialise(verified(stars, sets, similarity).union(_same_key(with_key, reps)), "verified")
     comp = classes(first)
     # Bands that still hold more than one class: their documents meet again by the prefixes of their sets, across classes only.
     known = shared.select("band", "k").join(comp, F.col("k") == F.col("node"), "left").select("band", "k", F.coalesce("class", "k").alias("c"))
@@ -309,21 +334,38 @@ def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     # The class of a content is that of its least key.
     by_content = reps.select("content", "k").join(final, F.col("k") == F.col("node"), "left").select(F.col("content").alias("c_content"), F.coalesce("class", "k").alias("class_id"))
     out = sig.select("k", "content").join(by_content, F.col("content") == F.col("c_content"), "left")
-    return out.select(F.col("k").alias(key_col), F.coalesce("class_id", F.when(F.col("content").isNull(), F.col("k"))).alias("class_id"))
+    return keyed(out, key_col, {"class_id": F.coalesce("class_id", F.when(F.col("content").isNull(), F.col("k")))}, F.col("k"))
+
+
+def _same_key(with_key: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of the contents that stand under one key, each held against the least of them."""
+    several = with_key.groupBy("k").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo < hi").select("k")
+    node = reps.select("content", F.col("k").alias("b"))
+    each = with_key.select("k", "content").join(several, "k", "left_semi").distinct().join(node, "content").select("k", "b").distinct()
+    return each.join(each.groupBy("k").agg(F.min("b").alias("a")), "k").filter("a < b").select("a", "b").distinct()
 
 
 def representatives(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of df, all columns as they are, that stand for their class: those of the least key; the rest go.
 
-    Rows without a key stay. Rows that repeat the key of a representative leave one, the first by text.
+    Rows that repeat the key of a representative leave one, the first by text; all rows of a key go if one of its texts is
+    linked to a lesser key, those without words too. Rows without a key go if their shingle
+    set is that of a row that has one; else one of each shingle set stays (their near copies aren't looked for).
+    Rows without a key and without words stay. Columns are taken by position and may have any name.
     """
-    found = near_duplicates(df, key_col, text_col, **how)
-    gone = found.filter(F.col(key_col) != F.col("class_id")).select(F.col(key_col).alias("gone")).distinct()
-    kept = df.join(gone, df[key_col] == F.col("gone"), "left_anti")
-    ids = found.filter(F.col(key_col).isNotNull()).groupBy(key_col).count().filter("count > 1").select(F.col(key_col).alias("twice"))
-    if not ids.limit(1).count():
-        return kept
-    repeated = kept.join(ids, kept[key_col] == F.col("twice"), "left_semi")
-    order = Window.partitionBy(key_col).orderBy(text_col)
-    rank = "rank_" + "_".join(df.columns)
-    return kept.join(ids, kept[key_col] == F.col("twice"), "left_anti").unionByName(repeated.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank))
+    at, text = (F.col(f"k{i}") for i in positions(df, key_col, text_col))
+    by = numbered(df)
+    found = near_duplicates(df, key_col, text_col, **how).toDF("f_key", "f_class")
+    gone = found.filter(F.col("f_key") != F.col("f_class")).select(F.col("f_key").alias("gone")).distinct()
+    kept = by.filter(at.isNotNull()).join(gone, at == F.col("gone"), "left_anti")
+    twice = found.filter(F.col("f_key").isNotNull()).groupBy("f_key").count().filter("count > 1").select(F.col("f_key").alias("twice"))
+    if twice.limit(1).count():
+        first = Window.partitionBy(at).orderBy(text)
+        repeated = kept.join(twice, at == F.col("twice"), "left_semi").withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
+        kept = kept.join(twice, at == F.col("twice"), "left_anti").unionByName(repeated)
+    if by.filter(at.isNull()).limit(1).count():
+        none = contents(df, text_col).filter(at.isNull())
+        held = contents(df, text_col).filter(at.isNotNull() & F.col("content").isNotNull()).select(F.col("content").alias("held")).distinct()
+        new = none.filter("content is not null").join(held, F.col("content") == F.col("held"), "left_anti").dropDuplicates(["content"])
+        kept = kept.unionByName(none.filter("content is null").unionByName(new).drop("content"))
+    return kept.toDF(*df.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32, map_texts
+from .common import crc32, keyed, map_texts, numbered, positions
 from .tokens import BoundedCache, per_worker
 
 BLANK = "▁"
@@ -149,16 +149,22 @@ def encode(df: DataFrame, model: str, key_col: str = "doc_id", text_col: str = "
     (decoding the ids gives the text back) and, on demand, piece_ids.
 
     A map without a shuffle. A null text has 0 pieces and null checksum, round_trip and piece_ids; an empty text has
-    no pieces and round-trips. Whole texts of any length are encoded. Rows that repeat stay rows; other columns are ignored.
+    no pieces and round-trips. Whole texts of any length are encoded. Rows that repeat stay rows; no rows give no rows.
+    Columns are taken by position, so others may have any name; a result called like the key gets an underscore.
     """
     out = map_texts(df, text_col, _Encode(model, ids), "r_pieces long, r_bytes long, r_crc long, r_same boolean" + ", r_ids array<int>" * ids, [key_col])
     names = {"r_pieces": "n_pieces", "r_bytes": "n_spelt", "r_crc": "ids_crc32", "r_same": "round_trip", "r_ids": "piece_ids"}
-    return out.select(key_col, *[F.col(c).alias(names[c]) for c in out.columns[1:]])
+    return keyed(out, key_col, {n: F.col(c) for c, n in names.items() if c in out.columns}, F.col("k0"))
 
 
 def decode(df: DataFrame, model: str, key_col: str = "doc_id", ids_col: str = "piece_ids") -> DataFrame:
-    """Per row: key and the text that the ids spell (null ids: null)."""
-    source = df.select(F.col(key_col).alias("k"), F.col(ids_col).cast("array<int>").alias("ids"))
+    """Per row: key and the text that the ids spell.
+
+    Null ids give null, no ids the empty text; ids that are none of the model's, or bytes that are no UTF-8, are an error.
+    Rows that repeat stay rows; no rows give no rows. A key called text makes the result text_.
+    """
+    key, ids = (F.col(f"k{i}") for i in positions(df, key_col, ids_col))
+    source = numbered(df).select(key.alias("k"), ids.cast("array<int>").alias("ids"))
 
     def run(batches):
         coder = Pieces.of_worker(model)
@@ -166,4 +172,5 @@ def decode(df: DataFrame, model: str, key_col: str = "doc_id", ids_col: str = "p
             texts = [None if x is None else coder.decode(np.array(x, dtype="<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "text"])
 
-    return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, text string").withColumnRenamed("k", key_col)
+    out = source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, text string")
+    return keyed(out, key_col, {"text": F.col("text")}, F.col("k"))

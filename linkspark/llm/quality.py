@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_col, free_name, map_texts, materialise
+from .common import fold_col, keyed, map_texts, materialise, numbered, positions
 
 FEATURES = [
     "log_words", "mean_word", "max_word", "upper_share", "digit_share", "symbol_share", "bang_share", "pipe_share", "stop_share",
@@ -49,13 +49,13 @@ def _statistics(texts: list) -> dict:
     return {f"r_{k}": pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(len(FEATURES))}
 
 
-def with_statistics(df: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame, list[str]]:
-    """The kept columns and one struct-free column per feature, under names that clash with none of them."""
-    out = map_texts(df, text_col, _statistics, ", ".join(f"r_{k} double" for k in range(len(FEATURES))), keep)
-    names = []
-    for f in FEATURES:
-        names.append(free_name(df, f"q_{f}"))
-    return out.select(*keep, *[F.col(f"r_{k}").alias(n) for k, n in enumerate(names)]), names
+#: The columns of the features; those of the caller are numbered, so that the two never clash.
+NAMES = [f"r_{k}" for k in range(len(FEATURES))]
+
+
+def with_statistics(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """The kept columns, called k0, k1, ... in their order, and one column per feature, called as in NAMES."""
+    return map_texts(df, text_col, _statistics, ", ".join(f"{n} double" for n in NAMES), keep)
 
 
 @dataclass(frozen=True)
@@ -173,44 +173,52 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
     return Model(float(b - (weights * m.mean(axis=0)).sum()), tuple(Rule(r.conditions, float(k)) for r, k in zip(rules, weights) if k))
 
 
-def learn(stats: DataFrame, names: list[str], labels: DataFrame, key_col: str = "doc_id", label_key: str = "doc_id", label_col: str = "quality", most_rows: int = 20_000) -> Model:
-    """Fit on labelled rows outside fold 0; at most about most_rows of them (by key hash), the documented bound of the sample."""
-    lab = labels.select(F.col(label_key).alias("l_key"), F.col(label_col).cast("int").alias("l_y")).filter(F.col("l_y").isin(0, 1) & F.col("l_key").isNotNull() & (fold_col(F.col("l_key")) != 0))
-    n = lab.count()
-    if not n:
-        return fit(np.zeros((0, len(names))), np.zeros(0))
+def _labelled(labels: DataFrame, label_key: str, label_col: str) -> DataFrame:
+    """l_key and l_y of labelled rows outside fold 0; what is neither 0 nor 1 and null keys are left out."""
+    k, y = (F.col(f"k{i}") for i in positions(labels, label_key, label_col))
+    lab = numbered(labels).select(k.alias("l_key"), y.cast("int").alias("l_y"))
+    return lab.filter(F.col("l_y").isin(0, 1) & F.col("l_key").isNotNull() & (fold_col(F.col("l_key")) != 0))
+
+
+def _below(h: Column, n: int, most: int) -> Column:
+    """True for about `most` of n rows, by hash."""
     scale = 1 << 30
-    lab = lab.filter(F.pmod(F.xxhash64("l_key", F.lit(11)), F.lit(scale)) < min(scale, -(-scale * most_rows // n)))
-    rows = stats.join(lab, stats[key_col] == F.col("l_key")).select("l_key", "l_y", *names).toPandas().sort_values(["l_key", "l_y", *names])
-    return fit(rows[names].to_numpy(dtype=np.float64), rows["l_y"].to_numpy(dtype=np.float64))
+    return F.pmod(h, F.lit(scale)) < min(scale, -(-scale * most // max(1, n)))
+
+
+def learn(texts: DataFrame, text_col: str, labels: DataFrame, key_col: str, label_key: str = "doc_id", label_col: str = "quality", most_rows: int = 20_000) -> Model:
+    """Fit on labelled rows outside fold 0.
+
+    The documented bound of the sample: about most_rows label rows by key hash, then about most_rows of the rows of
+    texts that have such a key, by a hash of key and text; rows that agree in key, text and label count once. Only the
+    statistics of that sample reach the driver.
+    """
+    lab = _labelled(labels, label_key, label_col).distinct()
+    lab = materialise(lab.filter(_below(F.xxhash64("l_key", F.lit(11)), lab.count(), most_rows)), "labels")
+    key, text = (F.col(f"k{i}") for i in positions(texts, key_col, text_col))
+    # The sample of labels is bounded by most_rows: it goes to the texts, which stay where they are.
+    both = numbered(texts).select(key.alias("key"), text.alias("text")).join(F.broadcast(lab), F.col("key") == F.col("l_key")).select("l_key", "l_y", F.xxhash64("text").alias("h"), "text")
+    stats = materialise(with_statistics(both, "text", ["l_key", "l_y", "h"]).distinct(), "labelled")
+    rows = stats.filter(_below(F.xxhash64("k0", "k2", F.lit(13)), stats.count(), most_rows)).toPandas().sort_values(["k0", "k1", "k2"])
+    return fit(rows[NAMES].to_numpy(dtype=np.float64), rows["k1"].to_numpy(dtype=np.float64))
 
 
 def classify(df: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Per row: key, held_out (fold 0), score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold).
 
-    One pass over the whole texts makes a narrow table of statistics; labels join that table. Null and empty texts
-    have all-zero statistics and are scored like any other row. Null keys are never trained on. Without labels every
-    score is 0.5; with labels of one kind, near that kind. Rows that repeat stay rows; no rows give no rows.
+    The fit reads the texts of its bounded sample only (see learn); then one map over the whole texts scores them
+    without a shuffle. Null and empty texts have all-zero statistics and are scored like any other row. Null keys are
+    never trained on. Without labels every score is 0.5; with labels of one kind, near that kind. Rows that repeat stay
+    rows; no rows give no rows. Columns are taken by position, so others may have any name; a result called like the
+    key gets an underscore.
     """
-    stats, names = with_statistics(df.select(F.col(key_col), F.col(text_col)), text_col, [key_col])
-    stats = materialise(stats, "quality")
-    model = learn(stats, names, labels, key_col)
-    scored = stats.select(key_col, model.column(names).alias("score"))
-    return scored.select(key_col, (fold_col(F.col(key_col)) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = learn(df, text_col, labels, key_col)
+    scored = with_statistics(df, text_col, [key_col]).select("k0", model.column(NAMES).alias("score"))
+    return keyed(scored, key_col, {"held_out": fold_col(F.col("k0")) == 0, "score": F.col("score"), "predicted": (F.col("score") >= threshold).cast("int")}, F.col("k0"))
 
 
 def passing(df: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of df, all columns as they are, whose score reaches the threshold.
-
-    The fit reads the texts of its bounded sample only; then one map scores and filters without a shuffle.
-    """
-    lab = labels.select(F.col("doc_id").alias("l_key"), F.col("quality").cast("int").alias("l_y")).filter(F.col("l_y").isin(0, 1) & F.col("l_key").isNotNull() & (fold_col(F.col("l_key")) != 0))
-    n = max(1, lab.count())
-    scale, most = 1 << 30, 20_000
-    lab = lab.filter(F.pmod(F.xxhash64("l_key", F.lit(11)), F.lit(scale)) < min(scale, -(-scale * most // n)))
-    ids = lab.select("l_key").distinct()
-    part, names = with_statistics(df.select(key_col, text_col).join(F.broadcast(ids), F.col(key_col) == F.col("l_key"), "left_semi"), text_col, [key_col])
-    model = learn(part, names, labels, key_col)
-    kept = df.columns
-    stats, names = with_statistics(df, text_col, kept)
-    return stats.filter(model.column(names) >= threshold).select(*kept)
+    """The rows of df, all columns as they are and whatever they are called, whose score reaches the threshold; learned and scored as in classify."""
+    model = learn(df, text_col, labels, key_col)
+    stats = with_statistics(df, text_col, df.columns)
+    return stats.filter(model.column(NAMES) >= threshold).select(*[f"k{i}" for i in range(len(df.columns))]).toDF(*df.columns)

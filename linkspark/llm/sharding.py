@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import keyed, materialise, numbered, positions
 
 #: Hex digits of the md5 that make a draw: 52 bits, exact in a double.
 _DIGITS = 13
@@ -39,41 +39,46 @@ def shard(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", weight
     """One row per input row: the key, size, text_crc32, law ('key'), shard, slot and grown_shard.
 
     size is the UTF-8 length of the text plus 1 (null: 1). text_crc32 is unsigned; a null text counts as empty.
-    slot numbers the rows of a shard from 0 without gaps, in an order shuffled by key hash: rows are
+    slot numbers the rows of a shard from 0 without gaps, in an order shuffled by a hash of key and checksum: rows are
     ordered within hash buckets of about bucket_rows rows and buckets are laid out by prefix sums, so no task
     holds a whole shard. grown_shard is the shard after one shard of the mean weight is added.
-    Null keys hash as the empty string. Rows that repeat a key share a shard and get slots of their own
-    (ordered by size and checksum; rows equal in all of that are interchangeable). No rows give no rows.
-    Other input columns are ignored, whatever they are called.
+    Null keys hash as the empty string. Rows that repeat a key share a shard and get slots of their own; rows that also
+    agree in size and checksum are interchangeable, so they are counted before the shuffle and numbered from the count.
+    No rows give no rows. Columns are taken by position, so others may have any name; a result called like the key gets
+    an underscore.
     """
     grown = [*weights, sum(weights) / len(weights)]
-    key, text = F.col(key_col), F.col(text_col)
-    hashed = F.coalesce(key.cast("string"), F.lit(""))
-    # Only a narrow row per record leaves the scan; the text stays behind.
-    narrow = materialise(
-        df.select(
-            key.alias("key"),
-            (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
-            rendezvous(key, weights).alias("shard"),
-            rendezvous(key, grown).alias("grown"),
-            F.conv(F.substring(F.md5(F.concat(hashed, F.lit("/slot")).cast("binary")), 1, 8), 16, 10).cast("long").alias("h"),
-        ),
-        "shards",
+    key, text = (F.col(f"k{i}") for i in positions(df, key_col, text_col))
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    hashed = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("/"), crc.cast("string"), F.lit("/slot"))
+    # Only a narrow row per kind of record leaves the scan; the text stays behind.
+    each = numbered(df).select(
+        key.alias("key"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        crc.alias("crc"),
+        rendezvous(key, weights).alias("shard"),
+        rendezvous(key, grown).alias("grown"),
+        F.conv(F.substring(F.md5(hashed.cast("binary")), 1, 8), 16, 10).cast("long").alias("h"),
     )
+    narrow = materialise(each.groupBy(*each.columns).agg(F.count(F.lit(1)).alias("n")), "shards")
     buckets = max(1, -(-narrow.count() // (bucket_rows * len(weights))))
     placed = narrow.withColumn("bucket", (F.col("h") * F.lit(buckets) / F.lit(2.0**32)).cast("long"))
-    counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("b_n"))
+    before = Window.unboundedPreceding, -1
     base = counts.select(
         F.col("shard").alias("b_shard"), F.col("bucket").alias("b_bucket"),
-        (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"),
+        F.coalesce(F.sum("b_n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(*before)), F.lit(0)).alias("base"),
     )
-    local = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "key", "size", "crc")) - 1
+    local = F.coalesce(F.sum("n").over(Window.partitionBy("shard", "bucket").orderBy("h", "key", "size", "crc").rowsBetween(*before)), F.lit(0))
     out = placed.withColumn("local", local).join(base, (F.col("shard") == F.col("b_shard")) & (F.col("bucket") == F.col("b_bucket")))
-    return out.select(
-        F.col("key").alias(key_col), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard",
-        (F.col("base") + F.col("local")).cast("long").alias("slot"), F.col("grown").alias("grown_shard"),
-    )
+    # Rows that agree in all: numbered in runs, so that no array grows with their number.
+    run = 100_000
+    out = out.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / run))))
+    out = out.withColumn("copy", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("n")) - 1)))
+    return keyed(out, key_col, {
+        "size": F.col("size"), "text_crc32": F.col("crc"), "law": F.lit("key"), "shard": F.col("shard"),
+        "slot": (F.col("base") + F.col("local") + F.col("copy")).cast("long"), "grown_shard": F.col("grown"),
+    }, F.col("key"))
 
 
 #: DuckDB has no crc32 of its own: bytes are folded through the table of the reflected polynomial, made by rule.
@@ -96,14 +101,13 @@ def oracle_sql(shards: int = 8) -> str:
     return f"""
 WITH {CRC_SQL.strip()},
 d AS (SELECT doc_id, coalesce(text, '') AS tx, octet_length(encode(coalesce(text, ''))) AS n, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
-h AS (SELECT doc_id, n + 1 AS size, tx, k, [{', '.join(score(i) for i in range(shards + 1))}] AS s,
-        ('0x' || substr(md5(k || '/slot'), 1, 8))::BIGINT AS h FROM d),
+h AS (SELECT doc_id, n + 1 AS size, tx, k, [{', '.join(score(i) for i in range(shards + 1))}] AS s FROM d),
 b AS (SELECT tx, hex(encode(tx)) AS x FROM (SELECT DISTINCT tx FROM h)),
 c AS (SELECT tx, xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] ||
         [('0x' || substr(x, 2 * i + 1, 2))::UBIGINT for i in range(length(x) // 2)],
         lambda a, y: xor(a >> 8, t[((xor(a, y) & 255) + 1)::BIGINT]))) AS crc FROM b, crc_table)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, ({pick(shards)})::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY {pick(shards)} ORDER BY h, doc_id NULLS FIRST, size, crc) - 1)::BIGINT AS slot,
+  (row_number() OVER (PARTITION BY {pick(shards)} ORDER BY ('0x' || substr(md5(k || '/' || crc::BIGINT || '/slot'), 1, 8))::BIGINT, doc_id NULLS FIRST, size, crc) - 1)::BIGINT AS slot,
   ({pick(shards + 1)})::INTEGER AS grown_shard
 FROM h JOIN c USING (tx)
 """

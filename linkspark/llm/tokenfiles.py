@@ -1,9 +1,13 @@
 """Token-id files: flat unsigned integers, 64-bit document offsets, memory-mapped on reading.
 
-A set of files is a folder of `NNNNNN.bin` (ids, little-endian, 16 bits wide if the vocabulary allows it, else 32)
-and `NNNNNN.idx`: a header of four unsigned 64-bit numbers (magic, version, bytes per id, documents), then n + 1
+A set of files is a folder of `NNNNNN-<attempt>.bin` (ids, little-endian, 16 bits wide if the vocabulary allows it, else 32)
+and `NNNNNN-<attempt>.idx`: a header of four unsigned 64-bit numbers (magic, version, bytes per id, documents), then n + 1
 offsets in ids (64-bit), n document ids (64-bit) and n bytes that are 1 where the document id is null. Files are in
 ascending order of document id; the base of each file is the prefix sum of the ids before it.
+
+The manifest names the files that count. Every attempt of a task writes under a name of its own and reports it in its
+manifest row, of which Spark commits one per task: nothing is renamed or replaced, so a retried or speculative task is
+safe on any store. What lost attempts left is not named and can be swept.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32, materialise, scratch_path, sliced
+from .common import crc32, keyed, materialise, numbered, positions, scratch_path, sliced
 from .tokens import WordPieces
 
 MAGIC, VERSION = 0x4C4C4D544F4B4944, 1
@@ -30,15 +34,15 @@ def _fs(uri: str):
 
 
 class Writer:
-    """One pair of files, written under names of this attempt and renamed when whole, so a retried task replaces and never mixes."""
+    """One pair of files, under a name that no other attempt uses."""
 
     def __init__(self, folder: str, number: int, width: int):
         self.fs, root = _fs(folder)
         self.fs.create_dir(root, recursive=True)
-        self.final, self.temp = f"{root}/{number:06d}", f"{root}/.{number:06d}-{uuid.uuid4().hex}"
-        self.uri = f"{folder}/{number:06d}"
+        name = f"{number:06d}-{uuid.uuid4().hex}"
+        self.path, self.uri = f"{root}/{name}", f"{folder}/{name}"
         self.kind, self.width = np.dtype("<u2" if width == 2 else "<u4"), width
-        self.out = self.fs.open_output_stream(f"{self.temp}.bin")
+        self.out = self.fs.open_output_stream(f"{self.path}.bin")
         self.ends, self.ids, self.nulls = [0], [], []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -49,11 +53,9 @@ class Writer:
 
     def close(self) -> tuple[str, int, int]:
         self.out.close()
-        with self.fs.open_output_stream(f"{self.temp}.idx") as f:
+        with self.fs.open_output_stream(f"{self.path}.idx") as f:
             f.write(np.array([MAGIC, VERSION, self.width, len(self.ids)], dtype="<u8").tobytes())
             f.write(np.array(self.ends, dtype="<i8").tobytes() + np.array(self.ids, dtype="<i8").tobytes() + np.array(self.nulls, dtype="u1").tobytes())
-        for kind in ("bin", "idx"):
-            self.fs.move(f"{self.temp}.{kind}", f"{self.final}.{kind}")
         return self.uri, len(self.ids), self.ends[-1]
 
 
@@ -92,10 +94,15 @@ class Reader:
 def write(df: DataFrame, tokenizer: str, folder: str | None = None, key_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
     """Encode every text, append end_id and write the files; returns the manifest, one row per file, with its base.
 
-    One range shuffle on the key orders the corpus; each task then encodes its range and streams it into one pair of
-    files, so a task holds its offsets and one batch of ids. Null texts encode as empty (end_id alone). Null keys come
-    first. Rows that repeat a key are kept, in order of their text. No rows give no files. Other columns are ignored.
+    One range shuffle on the key, and a hash of the text among rows of one key, orders the corpus; each task then encodes
+    its range and streams it into one pair of files, so a task holds its offsets and one batch of ids. Keys are whole
+    numbers (the format stores 64 bits); others are refused. Null texts encode as empty (end_id alone). Null keys come
+    first. Rows that repeat a key are kept, in order of the hash of their text, then the text. No rows give no files.
+    Columns are taken by position, so others may have any name.
     """
+    at = positions(df, key_col, text_col)
+    if (kind := df.schema[at[0]].dataType.simpleString()) not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"token files take keys that are whole numbers, {key_col} is {kind}")
     folder = folder or scratch_path(df.sparkSession, "tokens")
     width = 2 if _vocabulary(tokenizer, end_id) <= 1 << 16 else 4
 
@@ -110,7 +117,8 @@ def write(df: DataFrame, tokenizer: str, folder: str | None = None, key_col: str
             uri, n, total = files.close()
             yield pa.RecordBatch.from_pydict({"file": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [uri], "n_docs": [n], "n_tokens": [total]})
 
-    ordered = df.select(F.col(key_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    source = numbered(df).select(F.col(f"k{at[0]}").cast("long").alias("k"), F.col(f"k{at[1]}").cast("string").alias("t"))
+    ordered = source.withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
     files = materialise(ordered.mapInArrow(run, MANIFEST), "manifest")
     # One row per file: the prefix sum over them is small at any size of corpus.
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -123,8 +131,24 @@ def _vocabulary(tokenizer: str, end_id: int) -> int:
     return max(load(tokenizer).get_vocab_size(), end_id + 1)
 
 
+def sweep(spark: SparkSession, manifest: DataFrame, folder: str) -> int:
+    """Remove the files of the folder that the manifest doesn't name, once the write is over; returns how many. The list of files is small: a task writes one pair."""
+    from pyarrow import fs as pafs
+
+    files, root = _fs(folder)
+    named = {r["path"].rsplit("/", 1)[-1] for r in manifest.select("path").collect()}
+    lost = [f.path for f in files.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.is_file and f.base_name.rsplit(".", 1)[0] not in named]
+    for path in lost:
+        files.delete_file(path)
+    return len(lost)
+
+
 def read(spark: SparkSession, manifest: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """Per document, from the mapped files: key, start (ids of all documents before it), n_tokens, ids_crc32 (over 32-bit little-endian ids)."""
+    """Per document, from the mapped files: key, start (ids of all documents before it), n_tokens, ids_crc32 (over 32-bit little-endian ids).
+
+    Null and repeated keys come back as they were written; an empty manifest gives no rows; a result called like the key
+    gets an underscore.
+    """
 
     def run(batches):
         for batch in batches:
@@ -141,11 +165,11 @@ def read(spark: SparkSession, manifest: DataFrame, key_col: str = "doc_id") -> D
 
     n = max(1, manifest.count())
     rows = manifest.select("path", "base").repartition(n).mapInArrow(run, "k long, start long, n_tokens long, ids_crc32 long")
-    return rows.withColumnRenamed("k", key_col)
+    return keyed(rows, key_col, {n: F.col(n) for n in ("start", "n_tokens", "ids_crc32")}, F.col("k"))
 
 
 def read_ids(spark: SparkSession, manifest: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """Per document its ids: the general form for training input."""
+    """Per document its ids: the general form for training input. Documents without text have the end id alone; an empty manifest gives no rows."""
 
     def run(batches):
         for batch in batches:
@@ -155,4 +179,5 @@ def read_ids(spark: SparkSession, manifest: DataFrame, key_col: str = "doc_id")
                     rows = range(k, min(k + 500, f.n))
                     yield pa.RecordBatch.from_arrays([pa.array([f.doc_ids[i] for i in rows], pa.int64()), pa.array([f.ids(i).astype("i4") for i in rows], pa.list_(pa.int32()))], names=["k", "ids"])
 
-    return manifest.select("path").mapInArrow(run, "k long, ids array<int>").withColumnRenamed("k", key_col)
+    rows = manifest.select("path").mapInArrow(run, "k long, ids array<int>")
+    return keyed(rows, key_col, {"ids": F.col("ids")}, F.col("k"))

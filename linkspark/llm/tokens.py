@@ -13,6 +13,12 @@ import numpy as np
 #: Latin letters; every one is a letter for the library as well, none combines with its neighbours.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
+#: Texts that try the cutting rules on a tokenizer before they are used.
+PROBES = (
+    "The cat, sat. on  the mat...\nThe End,, ok.,", " lead and trail \n\n two", "a.b,c d.,e don't we'll I'M it's.", "Élan über ñandú, æon. ÀÉ", "x1y22z333 4,5.6 a1b2",
+    "tab\tand\r\nline", "sym!bol# (par) [br] $5 <tag> <|endoftext|> a<|endoftext|>b", "漢字 かな 🙂 ไทย", "a" * 40 + "." * 9 + "b" * 40,
+)
+
 
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -21,6 +27,11 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def refuse_unless(same: bool, path: str) -> None:
+    if not same:
+        raise ValueError(f"{path}: this tokenizer joins tokens across the boundaries at which texts are cut here")
+
+
 class BoundedCache(dict):
     """A dict that takes no more than `most` entries; what it holds never changes a result.
 
@@ -76,6 +87,7 @@ class WordPieces:
     Cuts: at blanks and line feeds (dropped by the model; nothing composes across them), and between a word of
     Latin letters and trailing full stops or commas (the pre-tokenizer ends a letter run there). A plain word goes to
     the library's model as the normaliser and pre-tokenizer would hand it over; anything else through the whole encoder.
+    A tokenizer for which that does not hold on PROBES is refused.
     """
 
     _plain = re.compile(f"([{LETTERS}]+)([.,]*)")
@@ -84,6 +96,7 @@ class WordPieces:
         self.tok = load(path)
         self.letters = byte_letters()
         self.chunks, self.words = BoundedCache(most), BoundedCache(most)
+        refuse_unless(self.encode(list(PROBES)) == [self._raw(t) for t in PROBES], path)
 
     @classmethod
     def of_worker(cls, path: str) -> WordPieces:
@@ -119,24 +132,40 @@ class BytePieceCounts:
 
     Cuts: before a blank or line feed that follows a character which is no white space, and between a word of
     Latin letters and the full stops or commas after it. A blank and a plain word are one pre-token, which goes to the
-    library's model as such; the other pieces are encoded in batches of about equal bytes. Texts with the control
-    characters that count as white space here but not in the library (1C to 1F) are encoded whole.
+    library's model as such; the other pieces are encoded in batches of about equal bytes. A piece of more than `long`
+    characters is also cut where its pre-tokenizer ends a run: between ASCII letters, digits and stops. What then is
+    left in one run (of one script without blanks, say) is one piece. Texts with the control characters that count as
+    white space here but not in the library (1C to 1F) are encoded whole. A tokenizer for which that does not hold on
+    PROBES is refused.
     """
 
     _piece = re.compile(r"\s*[^\s]+|\s+")
     _odd = re.compile("[\x1c-\x1f]")
     _plain = re.compile(f"( [{LETTERS}]+)([.,]*)")
+    _runs = re.compile(r"(?<=[A-Za-z])(?=[0-9.,;:!?])|(?<=[0-9])(?=[A-Za-z.,;:!?])|(?<=[.,;:!?])(?=[A-Za-z0-9])")
 
-    def __init__(self, path: str, most: int = 150_000, batch_bytes: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000, batch_bytes: int = 400_000, long: int = 4096):
         self.tok = load(path)
         self.letters = byte_letters()
         self.pieces, self.words = BoundedCache(most), BoundedCache(most)
-        self.batch_bytes = batch_bytes
+        self.batch_bytes, self.long = batch_bytes, long
+        special = any(self._runs.search(t.content) for t in self.tok.get_added_tokens_decoder().values())
+        within = [[p for x in self._piece.findall(t) for p in self._runs.split(x)] for t in PROBES]
+        refuse_unless(not special and [sum(map(self._whole, x)) for x in within] == [self._whole(t) for t in PROBES] == self.count(list(PROBES)), path)
 
     @classmethod
     def of_worker(cls, path: str) -> BytePieceCounts:
         return per_worker(("byte piece counts", path), lambda: cls(path))
 
+    def _whole(self, text: str) -> int:
+        return len(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _pieces(self, text: str) -> list[str]:
+        found = self._piece.findall(text)
+        if len(text) > self.long and len(max(found, key=len)) > self.long:
+            found = [q for p in found for q in (self._runs.split(p) if len(p) > self.long else [p])]
+        return found
+
     def _count_each(self, texts: list[str]) -> list[int]:
         out = []
         for part in balanced(texts, self.batch_bytes):
@@ -144,7 +173,7 @@ class BytePieceCounts:
         return out
 
     def count(self, texts: list[str | None]) -> list[int]:
-        pieces = [None if t and self._odd.search(t) else self._piece.findall(t) if t else [] for t in texts]
+        pieces = [None if t and self._odd.search(t) else self._pieces(t) if t else [] for t in texts]
         known, words, tokenize = self.pieces, self.words, self.tok.model.tokenize
         missing = set().union(*[p for p in pieces if p]).difference(known)
         split = {p: self._plain.fullmatch(p) for p in missing}
@@ -156,18 +185,18 @@ class BytePieceCounts:
         for p, m in split.items():
             known[p] = other[p] if m is None else words[m[1]] + (other[m[2]] if m[2] else 0)
         get = known.__getitem__
-        out = [len(self.tok.encode(t, add_special_tokens=False).ids) if p is None else sum(map(get, p)) for t, p in zip(texts, pieces)]
+        out = [self._whole(t) if p is None else sum(map(get, p)) for t, p in zip(texts, pieces)]
         known.settle(missing)
         words.settle(fresh)
         return out
 
 
 def balanced(texts: list[str], most_bytes: int):
-    """Consecutive groups of about equal bytes."""
+    """Consecutive groups of about equal UTF-8 bytes."""
     group, held = [], 0
     for t in texts:
         group.append(t)
-        held += len(t)
+        held += len(t) if t.isascii() else len(t.encode())
         if held >= most_bytes:
             yield group
             group, held = [], 0

@@ -68,13 +68,14 @@ def test_one_row_per_document(name, spark, real):
     assert sorted(r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()) == real.doc_id.tolist()
 
 
-def operators(spark):
+def operators(spark, key="doc_id"):
     tok, model = tokenizer("word_bpe_49k.json"), tokenizer("piece_bpe_32k.model")
     bench = spark.createDataFrame([(1, "a b"), (2, None), (None, "one two three"), (3, "")], "item_id long, text string")
+    lab = labels(spark, [(1, 1, 0), (2, None, 0), (None, 0, 0), (7, 0, 0)])
     return {
-        "sharding": sharding.shard, "pieces": lambda d: pieces.encode(d, model, ids=True), "neardup": neardup.near_duplicates, "weighted": lambda d: neardup.near_duplicates(d, weighted=True),
-        "tokenfiles": lambda d: tokenfiles.read(spark, tokenfiles.write(d, tok)), "tokencounts": lambda d: tokencounts.count(d, tokenizer("byte_bpe_50k.json")), "decontaminate": lambda d: decontaminate.contamination(d, bench),
-        "language": language.identify, "quality": lambda d: quality.classify(d, labels(spark, [(1, 1, 0), (2, None, 0), (None, 0, 0), (7, 0, 0)])), "licenses": licenses.scan, "rules": quality_rules.judge,
+        "sharding": lambda d: sharding.shard(d, key), "pieces": lambda d: pieces.encode(d, model, key, ids=True), "neardup": lambda d: neardup.near_duplicates(d, key), "weighted": lambda d: neardup.near_duplicates(d, key, weighted=True),
+        "tokenfiles": lambda d: tokenfiles.read(spark, tokenfiles.write(d, tok, key_col=key), key), "tokencounts": lambda d: tokencounts.count(d, tokenizer("byte_bpe_50k.json"), key), "decontaminate": lambda d: decontaminate.contamination(d, bench, key),
+        "language": lambda d: language.identify(d, key), "quality": lambda d: quality.classify(d, lab, key), "licenses": lambda d: licenses.scan(d, key), "rules": lambda d: quality_rules.judge(d, key),
     }
 
 
@@ -86,10 +87,59 @@ def test_odd_rows_and_empty_tables(name, spark, docs, empty):
     assert op(empty).count() == 0
 
 
+#: Every name that an operator uses inside, or gives to a result.
+INNER = (
+    "a b c e h i k l n q r s t w x key text_ item items words hash size crc shard grown bucket base local copy run law slot n_a n_b band bands content class class_id node gone twice place lo hi top df at stat below width low rows "
+    "bad_key bad_hash l_key l_y held held_out score predicted kept m_key m_lang m_source m_text t_lang t_source k0 k1 k2 k3 r_0 r_lang r_score r_fit lang_pred fit n_words n_base labels n_bytes n_tokens over_limit start path file "
+    "f_key f_class row places hits first last n_hit n_items contaminated piece_ids round_trip n_pieces found new c_content"
+).split()
+
+
+@pytest.mark.parametrize("key", ["doc_id", "class_id", "size", "l_key", "k0", "score", "a.b"])
+@pytest.mark.parametrize("name", ["sharding", "pieces", "neardup", "tokenfiles", "tokencounts", "decontaminate", "language", "quality", "licenses", "rules"])
+def test_clashing_names(name, key, spark, real):
+    if key == "a.b" and name == "tokenfiles":
+        key = "n_tokens"
+    data = spark.createDataFrame([(int(i), t, l, s) for i, t, l, s in real[["doc_id", "text", "lang", "source"]].head(40).itertuples(index=False)], "doc_id long, text string, lang string, source string")
+    plain = {tuple(r) for r in operators(spark)[name](data).collect()} if name != "pieces" else None
+    wide = data.withColumnsRenamed({"doc_id": key}).select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(INNER) if c not in (key, "lang", "source", "text")])
+    got = operators(spark, key)[name](wide)
+    assert len({c.lower() for c in got.columns}) == len(got.columns) and got.columns[0] == key
+    if plain is not None:
+        assert {tuple(r) for r in got.collect()} == plain
+    else:
+        assert got.count() == 40
+
+
+def test_filters_under_clashing_names(spark, real):
+    data = spark.createDataFrame([(int(i), t, l, s) for i, t, l, s in real[["doc_id", "text", "lang", "source"]].itertuples(index=False)], "doc_id long, text string, lang string, source string")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    filters = [
+        lambda d, k: quality.passing(d, lab, k), lambda d, k: neardup.representatives(d, k), lambda d, k: decontaminate.clean(d, bench, k), lambda d, k: language.spoken(d, language.learn(d, k)),
+    ]
+    wide = data.withColumnsRenamed({"doc_id": "l_key"}).select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(INNER) if c not in ("l_key", "lang", "source", "text")])
+    for f in filters:
+        got = f(wide, "l_key")
+        assert got.columns == wide.columns
+        assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in f(data, "doc_id").collect())
+
+
+def test_stages_under_clashing_names(spark):
+    import corpus_pipeline
+
+    data = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = data.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(INNER)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, wide, SF).columns == wide.columns
+        assert sorted(r[0] for r in stage(spark, wide, SF).collect()) == sorted(r[0] for r in stage(spark, data, SF).collect())
+    assert sorted(r[0] for r in corpus_pipeline.STAGES[-1][1](spark, wide, SF).collect()) == sorted(r[0] for r in data.collect())
+
+
 def test_filters_keep_columns(spark, docs, empty):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     for d in (docs, empty):
-        kept = [quality.passing(d, labels(spark)), neardup.representatives(d), decontaminate.clean(d, bench), language.predict(d, {"en": ["word"]}, keep=d.columns, lang_name="l_", score_name="s_").select(*d.columns)]
+        kept = [quality.passing(d, labels(spark)), neardup.representatives(d), decontaminate.clean(d, bench), language.spoken(d, language.learn(d))]
         assert all(k.columns == d.columns for k in kept) and all(k.count() <= d.count() for k in kept)
     assert decontaminate.clean(docs, bench).filter("doc_id = 7").count() == 0
 
@@ -230,6 +280,53 @@ def test_sketches_leave_out_no_similar_pair(spark):
     assert [tuple(r) for r in neardup.prefix_pairs(unlucky, 0.8).collect()] == [(0, 1)]
 
 
+def classes_of_rows(rows):
+    """Brute force with repeated keys: rows of one key are one document; null keys name no class."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words_of(t)) else None for _, t in rows]
+    groups = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            same_key = rows[i][0] is not None and rows[i][0] == rows[j][0] and a and b
+            if same_key or (a and b and (a == b or None not in (rows[i][0], rows[j][0])) and len(a & b) >= 0.8 * len(a | b)):
+                old, new = groups[i], groups[j]
+                groups = [new if g == old else g for g in groups]
+    least = {}
+    for (k, _), g in zip(rows, groups):
+        if k is not None:
+            least[g] = min(k, least.get(g, k))
+    return sorted(((k is None, k or type(k)() if k is not None else 0), str(least.get(g) if s else k)) for (k, _), g, s in zip(rows, groups, sets))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_that_repeat_a_key_link_their_contents(spark, kind):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    key = (lambda k: k) if kind == "long" else (lambda k: f"k{k}")
+    got = {r.class_id for r in neardup.near_duplicates(spark.createDataFrame([(key(0), a), (key(1), a), (key(1), b), (key(2), b)], f"doc_id {kind}, text string")).collect()}
+    assert got == {key(0)}
+    rng = np.random.default_rng(11)
+    base = [[f"w{i}x{j}" for j in range(60)] for i in range(12)]
+    rows = []
+    for _ in range(140):
+        w = list(base[rng.integers(12)])
+        for _ in range(rng.integers(0, 4)):
+            w[rng.integers(60)] = f"edit{rng.integers(9)}"
+        rows.append((None if rng.random() < 0.08 else key(int(rng.integers(90))), " ".join(w) if rng.random() < 0.95 else None))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or type(r.doc_id)() if r.doc_id is not None else 0), str(r.class_id)) for r in got) == classes_of_rows(rows)
+    kept = [r.doc_id for r in neardup.representatives(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()]
+    named = [k for k in kept if k is not None]
+    # A row goes with its key: one of each key whose every row is classed by that key stays.
+    assert len(set(named)) == len(named) and set(named) == {r.doc_id for r in got if r.doc_id is not None} - {r.doc_id for r in got if r.doc_id != r.class_id}
+
+
+def test_rows_without_a_key_leave_one_of_each_text(spark):
+    t, u = "a b c d e f", "g h i j k l"
+    rows = [(None, t), (None, t), (1, u), (None, u), (None, None), (None, "")]
+    kept = neardup.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame([(None, t), (1, u), (None, None), (None, "")], "doc_id long, text string").collect()))
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_darts_estimate_similarity(weighted):
     rng = np.random.default_rng(2)
@@ -274,7 +371,7 @@ def libraries():
 def test_token_files_hold_the_library_ids(spark, docs, libraries):
     tok = libraries["word_bpe_49k.json"]
     manifest = tokenfiles.write(docs, tokenizer("word_bpe_49k.json"))
-    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode()))
+    rows = sorted(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
     got = sorted(tokenfiles.read(spark, manifest).collect(), key=lambda r: r.start)
     at = 0
     for want, r in zip(rows, got):
@@ -284,6 +381,29 @@ def test_token_files_hold_the_library_ids(spark, docs, libraries):
     assert sum(len(r.ids) for r in tokenfiles.read_ids(spark, manifest).collect()) == at
 
 
+def test_files_of_lost_attempts_are_not_read(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    manifest = tokenfiles.write(docs, tokenizer("word_bpe_49k.json"), folder)
+    want = sorted(map(str, tokenfiles.read(spark, manifest).collect()))
+    lost = tokenfiles.Writer(folder, 0, 2)  # another attempt at the first file, never committed
+    lost.add(1, np.array([5, 6], dtype=np.uint32))
+    lost.close()
+    assert sorted(map(str, tokenfiles.read(spark, manifest).collect())) == want
+    assert tokenfiles.sweep(spark, manifest, folder) == 2 and tokenfiles.sweep(spark, manifest, folder) == 0
+    assert sorted(map(str, tokenfiles.read(spark, manifest).collect())) == want
+
+
+def test_text_keys_are_refused_by_token_files(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        tokenfiles.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), tokenizer("word_bpe_49k.json"))
+
+
+def test_other_tokenizers_are_refused():
+    for coder, name in ((WordPieces, "byte_bpe_50k.json"), (BytePieceCounts, "word_bpe_49k.json")):
+        with pytest.raises(ValueError, match="joins tokens"):
+            coder(tokenizer(name))
+
+
 def test_reader_refuses_other_files(tmp_path):
     for kind in ("bin", "idx"):
         (tmp_path / f"x.{kind}").write_bytes(b"\0" * 64)
@@ -308,7 +428,7 @@ TEXTS = st.lists(st.one_of(st.text(max_size=40), st.text("ab.,' \n<|endoftext|>
 def test_pieces_of_texts_encode_as_the_library_does(libraries, texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     word = test_pieces_of_texts_encode_as_the_library_does.__dict__.setdefault("w", WordPieces(tokenizer("word_bpe_49k.json"), most=50))
-    byte = test_pieces_of_texts_encode_as_the_library_does.__dict__.setdefault("b", BytePieceCounts(tokenizer("byte_bpe_50k.json"), most=50))
+    byte = test_pieces_of_texts_encode_as_the_library_does.__dict__.setdefault("b", BytePieceCounts(tokenizer("byte_bpe_50k.json"), most=50, long=4))
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in word.encode(texts)] == [libraries["word_bpe_49k.json"].encode(t, add_special_tokens=False).ids for t in texts]
     assert byte.count(texts) == [len(libraries["byte_bpe_50k.json"].encode(t, add_special_tokens=False).ids) for t in texts]
 
@@ -379,10 +499,10 @@ def test_held_out_languages(spark):
 
 def test_language_inputs(spark, docs):
     shuffled = docs.withColumns({"source": F.lit("other"), "n_chars": F.lit(1).cast("long")})
-    words = language.learn(docs)
-    a, b = (sorted(tuple(r) for r in language.predict(d, words, keep=["text"]).collect() if r.text) for d in (docs, shuffled))
+    known = language.learn(docs)
+    a, b = (sorted(tuple(r) for r in language.predict(d, known, keep=["text"]).collect() if r.k0) for d in (docs, shuffled))
     assert a == b
-    assert language.Parser({}).predict("abc") == ("und", 0.0) and language.Parser({"en": ["a"]}).predict("123") == ("und", 0.0)
+    assert language.Parser({}).predict("abc") == ("und", 0.0, 0.0) and language.Parser({"en": ("a",)}).predict("123") == ("und", 0.0, 0.0)
 
 
 def test_licences():
