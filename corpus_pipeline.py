@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from linkspark.llm import decontaminate, language, neardup, pieces, quality
 from linkspark.llm.common import documents, materialise
 from linkspark.llm.queries import tokenizer
 
-#: A language is accepted from this posterior on; below it, three or more languages explain the text equally well.
-LEAST_LANGUAGE_SCORE = 0.3
-
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.3."""
@@ -19,11 +15,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose language is told apart from the others."""
-    words = language.learn(docs)
-    lang, score = "_lang_found", "_lang_score"
-    found = language.predict(docs, words, keep=docs.columns, lang_name=lang, score_name=score)
-    return found.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents with a letter whose language is told apart from the others and whose text fits it."""
+    return language.spoken(docs, language.learn(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
