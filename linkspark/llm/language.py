@@ -14,6 +14,7 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,35 +44,92 @@ class Languages:
 
 
 class Parser:
-    """Cross-parses against the labelled text of each language (name -> texts as plain makes them)."""
+    """Cross-parses against the labelled text of each language (name -> texts as plain makes them).
+
+    The automata of all languages form one table, state and symbol -> state, so that a batch of texts takes a step under
+    every language at once; the few texts of a batch that are much longer than the others are finished one by one.
+    """
 
     def __init__(self, texts: dict[str, tuple[str, ...]], rates: dict[str, float] | None = None):
         self.names = list(texts)
         self.rates = rates or {}
-        self.bits, self.roots = [], []
-        for k in self.names:
-            # A mark between texts that no plain text holds: no phrase runs from one text into another.
-            machine = SuffixAutomaton().extend("\n".join(texts[k]))
-            self.bits.append(math.log2(machine.size + 2))  # names a place in this language's text
-            self.roots.append(_linked(machine))
+        # A mark between texts that no plain text holds: no phrase runs from one text into another.
+        machines = [SuffixAutomaton().extend("\n".join(texts[k])) for k in self.names]
+        self.bits = [math.log2(m.size + 2) for m in machines]  # to name a place in this language's text
+        alphabet = sorted({c for m in machines for c in m.next[0]} - {"\n"})
+        self.width = len(alphabet) + 1  # the last code: a symbol of no language
+        self.codes = np.full(0x110000, self.width - 1, dtype=np.uint16)
+        self.codes[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+        self.roots = np.cumsum([0, *(len(m.next) for m in machines)])[:-1].astype(np.int64)
+        self.table = np.full((sum(len(m.next) for m in machines), self.width), -1, dtype=np.int32)
+        for root, m in zip(self.roots.tolist(), machines):
+            for state, after in enumerate(m.next, root):
+                for c, to in after.items():
+                    if c != "\n":
+                        self.table[state, self.codes[ord(c)]] = root + to
+        self.flat = self.table.reshape(-1)
 
     def phrases(self, symbols: str) -> list[int]:
-        """The phrases of a plain text under each language: longest matches, or single unseen symbols."""
-        out = []
-        for root in self.roots:
-            count, node = 0, root
-            for c in symbols:
-                after = node.get(c)
-                if after is None:  # the phrase ends before c; c begins the next one, or is one of its own
-                    count += node is not root
-                    after = root.get(c)
-                    if after is None:
-                        count += 1
-                        after = root
-                node = after
-            out.append(count + (node is not root))
+        return self.all_phrases([symbols])[0].tolist()
+
+    def all_phrases(self, texts: list[str], least: int = 48) -> np.ndarray:
+        """The phrases of plain texts (rows) under each language: longest matches, or single unseen symbols."""
+        n, k, width = len(texts), len(self.names), self.width
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        symbols = self.codes[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        starts, ends = (np.cumsum(lengths) - lengths)[order], np.sort(lengths)
+        state = np.tile(self.roots[:, None], (1, n))
+        count = np.zeros((k, n), dtype=np.int64)
+        root = self.roots[:, None]
+        t, live = 0, n
+        while True:
+            live = n - int(np.searchsorted(ends, t, side="right"))  # texts longer than t come first
+            if live < least:
+                break
+            c = symbols[starts[:live] + t].astype(np.int64)
+            now = state[:, :live]
+            after = self.flat[now * width + c]
+            ended = after < 0
+            # The phrase ends before c; c begins the next one, or is one of its own if the language never has it.
+            again = self.flat[root * width + c]
+            alone = ended & (again < 0)
+            count[:, :live] += (ended & (now != root)) + alone.astype(np.int64)
+            state[:, :live] = np.where(ended, np.where(alone, root, again), after)
+            t += 1
+        for i in range(live):
+            rest = symbols[starts[i] + t : starts[i] + lengths[order[i]]].tolist()
+            for j in range(k):
+                state[j, i], more = self._finish(int(state[j, i]), int(self.roots[j]), rest)
+                count[j, i] += more
+        count += state != root
+        out = np.empty((n, k), dtype=np.int64)
+        out[order] = count.T
         return out
 
+    def _finish(self, state: int, root: int, codes: list[int]) -> tuple[int, int]:
+        count, rows = 0, self._rows()
+        first = rows[root]
+        for c in codes:
+            after = rows[state].get(c)
+            if after is None:
+                count += state != root
+                after = first.get(c)
+                if after is None:
+                    count += 1
+                    after = root
+            state = after
+        return state, count
+
+    def _rows(self) -> list[dict[int, int]]:
+        """The table as one dict per state, made when the first text needs it."""
+        if not hasattr(self, "_dicts"):
+            self._dicts: list[dict[int, int]] = [{} for _ in range(len(self.table))]
+            at, code = np.nonzero(self.table >= 0)
+            for s, c, to in zip(at.tolist(), code.tolist(), self.table[at, code].tolist()):
+                self._dicts[s][c] = to
+        return self._dicts
+
     def fit(self, name: str, phrases: int, chars: int) -> float:
         """1 if the text takes no more phrases than text of the language does (with four deviations of chance and two phrases for short texts), else their ratio."""
         if not (rate := self.rates.get(name)):
@@ -80,23 +138,19 @@ class Parser:
         return min(1.0, (usual + 4 * math.sqrt(usual) + 2) / max(1, phrases))
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
-        """The winning language, the posterior of its code length against the others', and its fit. A tie goes to the language with more labelled rows."""
-        symbols = plain(text)
-        if not symbols or not self.names:
-            return "und", 0.0, 0.0
-        counts = self.phrases(symbols)
-        cost = [n * b for n, b in zip(counts, self.bits)]
-        best = min(range(len(cost)), key=cost.__getitem__)
-        name = self.names[best]
-        return name, 1.0 / sum(2.0 ** max(-1000.0, cost[best] - c) for c in cost), self.fit(name, counts[best], len(symbols))
-
-
-def _linked(machine: SuffixAutomaton) -> dict:
-    """The automaton as nested dicts, symbol -> the dict of the next state."""
-    for state in machine.next:
-        for c, to in state.items():
-            state[c] = machine.next[to]
-    return machine.next[0]
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Per text the winning language, the posterior of its code length against the others', and its fit. A tie goes to the language with more labelled rows."""
+        symbols = [plain(t) for t in texts]
+        some = [i for i, s in enumerate(symbols) if s] if self.names else []
+        out = [("und", 0.0, 0.0)] * len(texts)
+        for i, counts in zip(some, self.all_phrases([symbols[i] for i in some]).tolist() if some else []):
+            cost = [n * b for n, b in zip(counts, self.bits)]
+            best = min(range(len(cost)), key=cost.__getitem__)
+            name = self.names[best]
+            out[i] = name, 1.0 / sum(2.0 ** max(-1000.0, cost[best] - c) for c in cost), self.fit(name, counts[best], len(symbols[i]))
+        return out
 
 
 class _Predict:
@@ -108,7 +162,7 @@ class _Predict:
         parser = per_worker(("parser", hashlib.sha256(repr(known).encode()).hexdigest()), lambda: Parser(known.texts, known.rates))
 
         def call(texts: list) -> dict:
-            got = [parser.predict(t) for t in texts]
+            got = parser.predict_all(texts)
             return {"r_lang": pa.array([g[0] for g in got], pa.string()), "r_score": pa.array([g[1] for g in got], pa.float64()), "r_fit": pa.array([g[2] for g in got], pa.float64())}
 
         return call
@@ -156,12 +210,12 @@ def settle(texts: dict[str, list[str]]) -> Languages:
     rates: dict[str, float] = {}
     for at, (name, v) in enumerate(texts.items()):
         good, phrases = [], 0
-        for i, t in enumerate(v):
-            judge = halves[1 - i % 2]
-            counts = judge.phrases(t)
-            if min(range(len(counts)), key=lambda x: counts[x] * judge.bits[x]) == at:
-                good.append(t)
-                phrases += counts[at]
+        for i in (0, 1):
+            judge = halves[1 - i]
+            for t, counts in zip(v[i::2], judge.all_phrases(v[i::2]).tolist() if v[i::2] else []):
+                if min(range(len(counts)), key=lambda x: counts[x] * judge.bits[x]) == at:  # noqa: B023
+                    good.append(t)
+                    phrases += counts[at]
         kept[name] = tuple(good or v)
         if len(good) > 1:
             rates[name] = phrases / sum(map(len, good))
