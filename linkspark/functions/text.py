@@ -6,9 +6,11 @@ results are checked. Patterns stay within the subset that Java's and RE2's diale
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,21 +28,24 @@ ADDR_STOP = (
     "la le les et au aux en sur chez mme india usa us france cdp dist district tq tal taluka ps rm room num number"
 ).split()
 ADDR_NOISE = "no po box door hno h pmb number".split()
-STATES = {
-    "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de", "florida": "fl",
-    "georgia": "ga", "hawaii": "hi", "idaho": "id", "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la", "maine": "me",
-    "maryland": "md", "massachusetts": "ma", "michigan": "mi", "minnesota": "mn", "mississippi": "ms", "missouri": "mo", "montana": "mt", "nebraska": "ne", "nevada": "nv",
-    "ohio": "oh", "oklahoma": "ok", "oregon": "or", "pennsylvania": "pa", "tennessee": "tn", "texas": "tx", "utah": "ut", "vermont": "vt", "virginia": "va",
-    "washington": "wa", "wisconsin": "wi", "wyoming": "wy", "maharashtra": "mh", "delhi": "dl", "karnataka": "ka", "gujarat": "gj", "telangana": "tg", "haryana": "hr",
-    "kerala": "kl", "keralam": "kl", "rajasthan": "rj", "bihar": "br", "orissa": "od", "odisha": "od", "punjab": "pb", "goa": "ga", "assam": "as", "jharkhand": "jh",
-    "chhattisgarh": "cg", "uttarakhand": "uk", "chandigarh": "ch", "puducherry": "py", "pondicherry": "py",
+US_STATES = {
+    "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de", "district of columbia": "dc",
+    "florida": "fl", "georgia": "ga", "hawaii": "hi", "idaho": "id", "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la",
+    "maine": "me", "maryland": "md", "massachusetts": "ma", "michigan": "mi", "minnesota": "mn", "mississippi": "ms", "missouri": "mo", "montana": "mt", "nebraska": "ne",
+    "nevada": "nv", "new hampshire": "nh", "new jersey": "nj", "new mexico": "nm", "new york": "ny", "north carolina": "nc", "north dakota": "nd", "ohio": "oh", "oklahoma": "ok",
+    "oregon": "or", "pennsylvania": "pa", "rhode island": "ri", "south carolina": "sc", "south dakota": "sd", "tennessee": "tn", "texas": "tx", "utah": "ut", "vermont": "vt",
+    "virginia": "va", "washington": "wa", "west virginia": "wv", "wisconsin": "wi", "wyoming": "wy", "puerto rico": "pr",
 }
-STATES_OF_WORDS = {
-    "new york": "ny", "new jersey": "nj", "new mexico": "nm", "new hampshire": "nh", "north carolina": "nc", "south carolina": "sc", "north dakota": "nd",
-    "south dakota": "sd", "west virginia": "wv", "rhode island": "ri", "district of columbia": "dc", "uttar pradesh": "up", "madhya pradesh": "mp",
-    "andhra pradesh": "ap", "himachal pradesh": "hp", "tamil nadu": "tn", "west bengal": "wb", "jammu and kashmir": "jk",
+INDIA_STATES = {
+    "maharashtra": "mh", "delhi": "dl", "new delhi": "dl", "uttar pradesh": "up", "karnataka": "ka", "tamil nadu": "tn", "tamilnadu": "tn", "west bengal": "wb", "westbengal": "wb",
+    "gujarat": "gj", "telangana": "tg", "haryana": "hr", "kerala": "kl", "keralam": "kl", "rajasthan": "rj", "bihar": "br", "madhya pradesh": "mp", "andhra pradesh": "ap",
+    "orissa": "od", "odisha": "od", "punjab": "pb", "goa": "ga", "assam": "as", "jharkhand": "jh", "chhattisgarh": "cg", "uttarakhand": "uk", "himachal pradesh": "hp",
+    "jammu and kashmir": "jk", "chandigarh": "ch", "puducherry": "py", "pondicherry": "py",
 }
-BLOCK_STATES_OF_WORDS = STATES_OF_WORDS | {"arunachal pradesh": "arp", "jammu kashmir": "jk"}
+#: Names of one word are mapped word by word, longer ones as phrases before that.
+STATES = {k: v for k, v in (US_STATES | INDIA_STATES).items() if " " not in k}
+STATES_OF_WORDS = {k: v for k, v in (US_STATES | INDIA_STATES).items() if " " in k}
+BLOCK_STATES_OF_WORDS = {k: v for k, v in STATES_OF_WORDS.items() if k not in ("new delhi", "puerto rico")} | {"arunachal pradesh": "arp", "jammu kashmir": "jk"}
 ADDR_ABBR = {
     "st": "street", "str": "street", "rd": "road", "dr": "drive", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "bd": "boulevard", "bvd": "boulevard",
     "ln": "lane", "ct": "court", "hwy": "highway", "pl": "place", "pkwy": "parkway", "cir": "circle", "trl": "trail", "ter": "terrace", "sq": "square",
@@ -198,6 +203,31 @@ def latin_fold_sql(expr: str) -> str:
     return f"translate(regexp_replace(regexp_replace(coalesce({expr}, ''), '(?i)\\bn\\s*[°º]', ' ', 'g'), '[°º№]', ' ', 'g'), '{LATIN[0]}', '{LATIN[1]}')"
 
 
+def compatible(s: Column) -> Column:
+    """Unicode compatibility form (NFKC), where the text is not ASCII anyway."""
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return run(s)
+
+
+def raw_view(s: Column) -> Column:
+    """Letters, marks and digits of all scripts, lower-cased in compatibility form, other runs as one blank."""
+    return F.trim(F.regexp_replace(F.lower(compatible(F.coalesce(s, F.lit("")))), r"[^\p{L}\p{M}\p{N}]+", " "))
+
+
+def fold_scripts(s: Column) -> Column:
+    """Every script in ASCII, lower case: letters without accents, or by their sound (see explain.romanised)."""
+    from .explain import fold
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(fold)
+
+    return run(s)
+
+
 def homoglyphs(word: Column) -> Column:
     """0 as o, 1 and i as l, and so on; words of digits only stay."""
     return F.when(word.rlike("^[0-9]+$"), word).otherwise(F.translate(word, *HOMOGLYPHS))
