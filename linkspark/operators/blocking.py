@@ -35,12 +35,23 @@ def block_tokens(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(id_col, "country", sk.alias("sk"), F.when(F.length(whole) >= 3, whole).alias("c"), F.slice(F.array_distinct(nums), 1, 2).alias("nums"), aw.alias("words"))
 
 
-def rarest(tokens: DataFrame, pool: DataFrame, id_col: str, col: str, k: int) -> DataFrame:
-    """Per record its k rarest tokens by their count among the pool's records of the country (unseen: 0), rarest first; ties by spelling."""
-    df = pool.select("country", F.explode(col).alias("t")).groupBy("country", "t").agg(F.count(F.lit(1)).alias("df"))
-    each = tokens.select(id_col, "country", F.explode(col).alias("t")).join(df, ["country", "t"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ranked = top_k(each, [id_col], [F.asc("df"), F.asc("t")], k, "r")
-    return ranked.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]).alias(col))
+def token_counts(pool: DataFrame) -> DataFrame:
+    """(country, kind, t, df): how many of the pool's records of a country have a token, for the kinds sk and w (address words)."""
+    return pool.select("country", F.explode(_tagged()).alias("x")).groupBy("country", "x.kind", "x.t").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _tagged() -> Column:
+    tag = lambda kind, c: F.transform(c, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("t")))
+    return F.concat(tag("sk", "sk"), tag("w", "words"))
+
+
+def rarest(tokens: DataFrame, counts: DataFrame, id_col: str, skeletons: int = 4, words: int = 6) -> DataFrame:
+    """tokens with sk and words cut to their rarest by token_counts (unseen: 0), rarest first; ties by spelling. Both kinds take one join and one sum per record."""
+    each = tokens.select(id_col, "country", F.explode(_tagged()).alias("x")).select(id_col, "country", "x.kind", "x.t").join(counts, ["country", "kind", "t"], "left")
+    per = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("kind", F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("all"))
+    pick = lambda kind, k: F.slice(F.transform(F.filter(F.coalesce("all", F.array()), lambda x: x["kind"] == kind), lambda x: x["t"]), 1, k)
+    out = tokens.drop("sk", "words").join(per, id_col, "left")
+    return out.withColumns({"sk": pick("sk", skeletons), "words": pick("w", words)}).drop("all")
 
 
 def _single(kind: str, a: Column) -> Column:
@@ -57,35 +68,57 @@ def _unordered(kind: str, a: Column) -> Column:
     return F.flatten(F.transform(s, lambda x, i: F.transform(F.slice(s, i + 2, F.size(s)), lambda y: F.concat(F.lit(f"{kind}:"), x, F.lit("|"), y))))
 
 
-def block_keys(df: DataFrame, pool: DataFrame, id_col: str, channel: str) -> DataFrame:
-    """Distinct keys per record, of channel c1 (name and address) or c2 (address only); rarity is that of the pool."""
+def block_keys(df: DataFrame, id_col: str, channel: str) -> DataFrame:
+    """Distinct keys per record, of channel c1 (name and address) or c2 (address only), from its rarest tokens."""
     none = F.array().cast("array<string>")
-    out = df.select(id_col, "country", "c", "nums").join(rarest(df, pool, id_col, "words", 6), id_col, "left")
-    out = out.withColumn("words", F.coalesce("words", none))
-    n, w = F.col("nums"), F.col("words")
+    s, n, w = F.col("sk"), F.col("nums"), F.col("words")
     if channel == "c1":
-        out = out.join(rarest(df, pool, id_col, "sk", 4), id_col, "left").withColumn("sk", F.coalesce("sk", none))
-        s = F.col("sk")
         whole = F.when(F.col("c").isNotNull(), F.array(F.concat(F.lit("c:"), "c"))).otherwise(none)
         keys = F.concat(_single("s", s), _unordered("ss", s), _cross("sd", s, n), _cross("dw", n, w), _cross("sw", s, F.slice(w, 1, 4)), whole)
     else:
         keys = F.concat(_cross("dw", n, w), _unordered("dd", n), _unordered("ww", w), _single("w", w))
-    return out.select(id_col, "country", F.explode(F.array_distinct(keys)).alias("key"))
+    return df.select(id_col, "country", F.explode(F.array_distinct(keys)).alias("key"))
 
 
 def key_channel(queries: DataFrame, index: DataFrame, query_id: str, index_id: str, index_size: DataFrame, max_df: int, k: int) -> DataFrame:
     """Top k of the index per query by the summed idf of shared keys (then their number, then the index id).
 
-    queries, index: (id, country, key). Keys of more than max_df index rows are dropped before the join.
+    queries, index: (id, country, key). Keys of more than max_df index rows are dropped before rows meet: a query's key
+    meets max_df rows at most.
     """
     post = index.groupBy("country", "key").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= max_df)
     post = post.join(F.broadcast(index_size), "country").select("country", "key", F.ln(F.col("n") / F.col("df")).alias("idf"))  # a row per country
-    wanted = queries.select("country", "key").distinct()
-    small = index.join(post.join(wanted, ["country", "key"], "left_semi"), ["country", "key"])
-    hits = queries.join(small, ["country", "key"]).groupBy(query_id, index_id).agg(F.round(F.sum("idf"), 6).alias("score"), F.count(F.lit(1)).alias("nk"))
+    hits = queries.join(post, ["country", "key"]).join(index, ["country", "key"]).groupBy(query_id, index_id).agg(F.round(F.sum("idf"), 6).alias("score"), F.count(F.lit(1)).alias("nk"))
     return top_k(hits, [query_id], [F.desc("score"), F.desc("nk"), F.asc(index_id)], k)
 
 
+def seen_in_training(union: DataFrame, training: DataFrame) -> DataFrame:
+    """Whether the pair, its anchor or its record took part in fitting an encoder: flags, so that such pairs can be left out of what is measured."""
+    flag = lambda cols, name: training.select(*cols).distinct().withColumn(name, F.lit(True))
+    out = union
+    for cols, name in ((["s1", "cand"], "ft_seen"), (["s1"], "ft_seen_s1"), (["cand"], "ft_seen_cand")):
+        out = out.join(flag(cols, name), cols, "left")
+    return out.fillna(False, ["ft_seen", "ft_seen_s1", "ft_seen_cand"])
+
+
+def query_mask(s1: DataFrame, split: str, key: str = "s1") -> DataFrame:
+    """The anchors that are queried: all of a test corpus; of a training corpus those of its sample and held-out splits, by hash (see keys.splits)."""
+    from .keys import splits
+
+    return s1 if split == "test" else s1.filter(splits(F.col(key))["split"].isin("sample", "val", "locked"))
+
+
+def training_pairs(truth: DataFrame, s1: DataFrame, pool: DataFrame, most: int = 150_000) -> DataFrame:
+    """True pairs for fitting an encoder, about `most` of them by hash: two texts each, with the address and without it."""
+    n = max(1, truth.count())
+    drawn = truth.filter(F.pmod(F.xxhash64("s1", "cand", F.lit(5)), F.lit(1 << 30)) < min(1 << 30, -(-(1 << 30) * most // n)))
+    a = s1.select("s1", text.pair_text(F.col("name"), F.col("addr")).alias("text_a"), text.pair_text(F.col("name"), F.lit("")).alias("name_a"))
+    b = pool.select("cand", text.pair_text(F.col("name"), F.col("addr")).alias("text_b"), text.pair_text(F.col("name"), F.lit("")).alias("name_b"))
+    both = drawn.join(a, "s1").join(b, "cand")
+    views = F.explode(F.array(F.struct(F.lit("whole").alias("view"), F.col("text_a").alias("a"), F.col("text_b").alias("b")), F.struct(F.lit("name").alias("view"), F.col("name_a").alias("a"), F.col("name_b").alias("b"))))
+    return both.select("s1", "cand", views.alias("v")).select("s1", "cand", "v.*")
+
+
 def sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
 
@@ -96,13 +129,16 @@ def with_gap(ranked: DataFrame, query_id: str) -> DataFrame:
 
 
 def lexical_channels(s1: DataFrame, pool: DataFrame, names: tuple[str, ...] = ("c1", "c2")) -> dict[str, DataFrame]:
-    """c1, c2: anchors query the pool; c1r, c2r: records query the anchors. Tokens and keys are stage tables: each serves several steps."""
-    a, b = stage(block_tokens(block_views(s1), "s1"), "tokens"), stage(block_tokens(block_views(pool), "cand"), "tokens")
+    """c1, c2: anchors query the pool; c1r, c2r: records query the anchors. Tokens are counted and ranked once; ranked tokens and keys are stage tables, as each serves several steps."""
+    b = stage(block_tokens(block_views(pool), "cand"), "tokens")
+    counts = token_counts(b)
+    a, b = stage(rarest(block_tokens(block_views(s1), "s1"), counts, "s1"), "tokens"), stage(rarest(b, counts, "cand"), "tokens")
+    n_s1, n_pool = sizes(a), sizes(b)
     out = {}
     for ch in names:
-        ka, kb = stage(block_keys(a, b, "s1", ch), "keys"), stage(block_keys(b, b, "cand", ch), "keys")
-        out[ch] = key_channel(ka, kb, "s1", "cand", sizes(pool), 200, 50)
-        out[f"{ch}r"] = with_gap(key_channel(kb, ka, "cand", "s1", sizes(s1), 20, 3), "cand")
+        ka, kb = stage(block_keys(a, "s1", ch), "keys"), stage(block_keys(b, "cand", ch), "keys")
+        out[ch] = key_channel(ka, kb, "s1", "cand", n_pool, 200, 50)
+        out[f"{ch}r"] = with_gap(key_channel(kb, ka, "cand", "s1", n_s1, 20, 3), "cand")
     return out
 
 

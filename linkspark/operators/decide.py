@@ -62,6 +62,25 @@ def prefix_table(u: DataFrame, least: float = 0.02, longest: int = 10) -> DataFr
     return some.unionByName(zero).withColumns({"gap": F.col("pk") - F.col("pn"), "c2": F.col("k") - F.col("c3"), "avg": F.col("cs") / F.greatest(F.col("k"), F.lit(1))})
 
 
+def evidence_prefixes(u: DataFrame, evidence: DataFrame, names: list[str], spread: str, missing: str, least: float = 0.02, longest: int = 10) -> DataFrame:
+    """prefix_table with the evidence of each prefix's last pair (last_...) and of the next one (next_...), -1 beyond the list, and four sums over the anchor's evidence.
+
+    evidence: (s1, cand, *names); `spread` and `missing` are two of the names: how far models differ, and whether an
+    outside score is lacking. q_conflict_n counts pairs whose first numbers are both there and differ.
+    """
+    per = evidence.groupBy("s1").agg(
+        F.count(F.lit(1)).alias("q_band_n"), F.sum(missing).cast("double").alias("q_missing_n"), F.sum(F.col("num_first_both") - F.col("num_first_eq")).cast("double").alias("q_conflict_n"),
+        F.max(spread).cast("double").alias("q_spread_max"),
+    )
+    order = Window.partitionBy("s1").orderBy(F.desc("p"), F.asc("cand"))
+    s = u.filter((F.col("qr") == 1) & (F.col("p") > least)).join(evidence.select("s1", "cand", *names), ["s1", "cand"], "left").fillna(-1, names)
+    s = s.withColumn("k", F.row_number().over(order)).withColumns({f"next_{c}": F.lead(F.col(c).cast("double"), 1, -1.0).over(order) for c in names})
+    some = s.filter(F.col("k") <= longest).select("s1", "k", *[F.col(c).cast("double").alias(f"last_{c}") for c in names], *[f"next_{c}" for c in names])
+    zero = s.filter("k = 1").select("s1", F.lit(0).alias("k"), *[F.lit(-1.0).alias(f"last_{c}") for c in names], *[F.col(c).cast("double").alias(f"next_{c}") for c in names])
+    table = prefix_table(u, least, longest).join(some.unionByName(zero), ["s1", "k"]).join(per, "s1", "left")
+    return table.fillna(0, ["q_band_n", "q_missing_n", "q_conflict_n", "q_spread_max"])
+
+
 def prefix_target(k: Column, t: Column, m: Column) -> Column:
     return f05(k, t, m)
 

@@ -108,6 +108,44 @@ def removal_value(k: Column, probabilities: Column, p: Column, extra: Column) ->
     return after - before
 
 
+def acceptance(selected: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of each named set of pairs (set, s1, cand): how many there are, how many the selection takes, and the share."""
+    mark = selected.select("s1", "cand", F.lit(1).alias("_in")).distinct()
+    return sets.join(mark, ["s1", "cand"], "left").groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.count("_in").alias("accepted"), F.round(F.count("_in") / F.count(F.lit(1)), 6).alias("share"))
+
+
+def match_profile(selected: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Per country: anchors, matches, matches per anchor, share of empty anchors, records with several owners and their pairs."""
+    k = selected.groupBy("s1").agg(F.count(F.lit(1)).alias("k"))
+    per = anchors.select("s1", "country").join(k, "s1", "left").fillna(0, ["k"])
+    owners = selected.join(anchors.select("s1", "country"), "s1").groupBy("country", "cand").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = owners.groupBy("country").agg(F.count(F.lit(1)).alias("multi_assigned_records"), F.sum("n").alias("multi_pairs"))
+    out = per.groupBy("country").agg(F.count(F.lit(1)).alias("n_s1"), F.sum("k").alias("matches"), F.round(F.avg("k"), 6).alias("matches_per_s1"), F.round(F.avg((F.col("k") == 0).cast("int")), 6).alias("empty_share"))
+    return out.join(several, "country", "left").fillna(0, ["multi_assigned_records", "multi_pairs"])
+
+
+def band_share(pairs: DataFrame, low: float = 0.02, high: float = 0.99) -> DataFrame:
+    """Per country: pairs, those with a score strictly between the bounds, and their share."""
+    band = (F.col("p") > low) & (F.col("p") < high)
+    return pairs.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.count_if(band).alias("n_band"), F.round(F.avg(band.cast("int")), 6).alias("band_share"))
+
+
+def bootstrap_sums(deltas: DataFrame, rounds: int, group: str = "s1") -> DataFrame:
+    """Per round the resampled mean of delta: every group (an anchor, or a cluster of them) is drawn 0 to 6 times, by the quantiles of Poisson(1) at a hash of group and round.
+
+    A group is drawn whole, and alike in every table that is resampled in the same rounds, so differences are paired.
+    Groups are summed first; each is exploded to the rounds and the sums are merged before the shuffle.
+    """
+    per = deltas.groupBy(group).agg(F.sum("delta").alias("d"), F.count(F.lit(1)).alias("n"))
+    at = F.conv(F.substring(F.md5(F.concat_ws("/", F.col(group).cast("string"), F.col("round").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
+    times, below = F.lit(0), 0.0
+    for k in range(6):
+        below += math.exp(-1) / math.factorial(k)
+        times = times + F.when(at >= round(below, 9), 1).otherwise(0)
+    drawn = per.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("times", times)
+    return drawn.groupBy("round").agg(F.round(F.sum(F.col("d") * F.col("times")) / F.sum(F.col("n") * F.col("times")), 9).alias("mean"))
+
+
 def bootstrap(deltas: DataFrame, rounds: int = 1000, seed: int = 7) -> tuple[float, float, float]:
     """Mean of delta over anchors, with its 95 % interval, from multinomial draws.
 

@@ -18,7 +18,7 @@ ADDED_WORDS = (
 
 
 def idf_overlap(pairs: DataFrame, left: DataFrame, right: DataFrame, idf: DataFrame, prefix: str, left_id: str = "s1", right_id: str = "cand") -> DataFrame:
-    """Shared weight, weighted Jaccard, coverage of either side, and the heaviest word that is missing or extra.
+    """Words shared, weighted Jaccard, coverage of either side by shared weight, the heaviest word that is missing or extra, and how many are.
 
     left, right: (id, words); idf: (word, idf). Weights are looked up once per record word, before pairs are made, so a
     pair compares two small maps.
@@ -40,7 +40,7 @@ def idf_overlap(pairs: DataFrame, left: DataFrame, right: DataFrame, idf: DataFr
     sa, sb, sh = total(F.col("_a")), total(F.col("_b")), total(shared)
     most = lambda m: F.coalesce(F.array_max(F.map_values(m)), F.lit(0.0))
     return out.withColumns({
-        f"{prefix}_inter": sh, f"{prefix}_wjac": F.when(sa + sb - sh > 0, sh / (sa + sb - sh)).otherwise(-1.0), f"{prefix}_cov1": F.when(sa > 0, sh / sa).otherwise(-1.0),
+        f"{prefix}_inter": F.size(shared), f"{prefix}_wjac": F.when(sa + sb - sh > 0, sh / (sa + sb - sh)).otherwise(-1.0), f"{prefix}_cov1": F.when(sa > 0, sh / sa).otherwise(-1.0),
         f"{prefix}_cov2": F.when(sb > 0, sh / sb).otherwise(-1.0), f"{prefix}_miss_max": most(missing), f"{prefix}_extra_max": most(extra),
         f"{prefix}_miss_cnt": F.size(missing), f"{prefix}_extra_cnt": F.size(extra),
     }).drop("_a", "_b")
@@ -53,7 +53,7 @@ def numbers(a: Column, b: Column) -> dict[str, Column]:
     fa, fb = F.try_element_at(a, F.lit(1)), F.try_element_at(b, F.lit(1))
     off = F.abs(fa - fb)
     return {
-        "num_inter": F.size(F.array_intersect(x, y)), "num_jac": F.when((F.size(x) == 0) & (F.size(y) == 0), -1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))),
+        "num_inter": F.size(F.array_intersect(x, y)), "num_jac": F.when(both, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(-1.0),
         "num_cnt1": F.size(x), "num_cnt2": F.size(y), "num_miss1": F.size(F.array_except(x, y)), "num_extra2": F.size(F.array_except(y, x)),
         "num_first_both": both.cast("int"), "num_first_eq": F.when(both, (fa == fb).cast("int")).otherwise(-1), "num_first_off1": F.when(both, (off == 1).cast("int")).otherwise(-1),
         "num_first_ldiff": F.when(both, F.log1p(off.cast("double"))).otherwise(-1.0),

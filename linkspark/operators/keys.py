@@ -11,12 +11,13 @@ PACK = 1 << 24
 
 
 def bucket(key: Column, n: int, salt: str = "") -> Column:
-    """Deterministic bucket 0..n-1 that other engines can compute: the first eight hex digits of an md5, modulo n."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n).cast("int")
+    """Deterministic bucket 0..n-1 that other engines can compute: the first eight hex digits of an md5, modulo n. A null key counts as the empty text."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
 def crc_fold(key: Column, n: int, prefix: str = "") -> Column:
-    return (F.crc32(F.concat(F.lit(prefix), key.cast("string")).cast("binary")) % n).cast("int")
+    """Fold 0..n-1 by crc32 of prefix and key; a null key counts as the empty text."""
+    return (F.crc32(F.concat(F.lit(prefix), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")) % n).cast("int")
 
 
 def splits(key: Column, val_share: float = 0.1, locked_share: float = 0.25, salt: str = "7") -> dict[str, Column]:
@@ -27,14 +28,37 @@ def splits(key: Column, val_share: float = 0.1, locked_share: float = 0.25, salt
 
 
 def pack(a: Column, b: Column) -> Column:
-    """One long of two ids; b must be below 2^24."""
-    return a.cast("long") * PACK + b.cast("long")
+    """One long of two ids; b must be from 0 and below 2^24, a below 2^39: others are an error."""
+    fits = (b >= 0) & (b < PACK) & (a >= 0) & (a < 1 << 39)
+    return F.when(fits | a.isNull() | b.isNull(), a.cast("long") * PACK + b.cast("long")).otherwise(F.raise_error(F.lit("an id is too large to be packed")).cast("long"))
 
 
 def unpack(key: Column) -> tuple[Column, Column]:
     return F.shiftright(key, 24), key % PACK
 
 
+def sample_rank(df: DataFrame, by: Sequence[str], key: str, salt: str = "sample", rank: str = "sample_rank") -> DataFrame:
+    """Rows of each group numbered from 1 in an order shuffled by a hash of their key: the first n are a stable sample of the group."""
+    shuffled = F.md5(F.concat(F.lit(salt), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(shuffled, key)))
+
+
+def rows_between(df: DataFrame, order: Sequence[Column], start: int, n: int) -> DataFrame:
+    """n rows from the start-th on (from 0) in an order that should be total. Each task keeps its first start + n rows only."""
+    return df.orderBy(*order).offset(start).limit(n) if start else df.orderBy(*order).limit(n)
+
+
+def side_by_side(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The columns of both tables in one row per key, never by position. Keys must be the same on both sides, each once: else an error names how many are not."""
+    on = list(on)
+    a, b = left.withColumn("_a", F.lit(1)), right.withColumn("_b", F.lit(1))
+    both = a.join(b, on, "full")
+    w = F.count(F.lit(1)).over(Window.partitionBy(*on))
+    odd = F.col("_a").isNull() | F.col("_b").isNull() | (F.col("_n") > 1)
+    checked = both.withColumn("_n", w).withColumn("_ok", F.when(odd, F.raise_error(F.lit("a key is missing on one side or stands twice")).cast("boolean")).otherwise(F.lit(True)))
+    return checked.filter("_ok").drop("_a", "_b", "_n", "_ok")
+
+
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group, with their rank from 1. Spark prunes to k rows per task before the shuffle."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
@@ -74,6 +98,49 @@ def offset_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_value
     return moved.join(to, [*on, "_at"]).withColumnRenamed("_at", right_value)
 
 
+def running(counts: DataFrame, value: str, sums: Sequence[str], buckets: int = 256) -> DataFrame:
+    """counts with, for each column of `sums`, `<column>_before`: its sum over the rows of smaller value. Values are distinct.
+
+    The rows are cut into about equal ranges of value at approximate quantiles; ranges are summed first, and each is then
+    run through by one task, so no task holds the whole order. Only the cuts reach the driver.
+    """
+    cuts = counts.agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000)).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    cut = counts.withColumn("_b", at)
+    per = cut.groupBy("_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    before = (Window.unboundedPreceding, -1)
+    base = per.select(F.col("_b"), *[F.coalesce(F.sum(f"_t_{s}").over(Window.orderBy("_b").rowsBetween(*before)), F.lit(0)).alias(f"_s_{s}") for s in sums])  # a row per range
+    inside = Window.partitionBy("_b").orderBy(value).rowsBetween(*before)
+    out = cut.withColumns({f"_l_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}).join(F.broadcast(base), "_b")
+    return out.withColumns({f"{s}_before": F.col(f"_l_{s}") + F.col(f"_s_{s}") for s in sums}).drop("_b", *[f"_{k}_{s}" for s in sums for k in "ls"])
+
+
+def exact_quantiles(df: DataFrame, value: str, at: Sequence[float]) -> list[float]:
+    """Quantiles with linear interpolation, from counts of distinct values and their running sums: no buffer holds the values. Nulls and NaN are left out; no rows give []."""
+    x = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    n = x.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if not n:
+        return []
+    ranks = sorted({int(r) for q in at for r in (q * (n - 1), min(n - 1, int(q * (n - 1)) + 1))})
+    wanted = F.exists(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r >= F.col("n_before")) & (r < F.col("n_before") + F.col("n")))
+    rows = running(x, "v", ["n"]).filter(wanted).collect()  # a value per rank asked for
+    value_of = {r: next(x["v"] for x in rows if x["n_before"] <= r < x["n_before"] + x["n"]) for r in ranks}
+    out = []
+    for q in at:
+        lo = int(q * (n - 1))
+        a, b = value_of[lo], value_of[min(n - 1, lo + 1)]
+        out.append(a + (b - a) * (q * (n - 1) - lo))
+    return out
+
+
+def multiset_lost(df: DataFrame, id_col: str, a: str, b: str, name: str = "lost") -> DataFrame:
+    """Per row id how many elements array a has beyond those of b, each as often as it stands there: counted by element, so long arrays are never compared pair by pair."""
+    side = lambda c, n: df.select(id_col, F.explode(c).alias("x"), F.lit(n).alias("n"))
+    left = side(a, 1).union(side(b, -1)).groupBy(id_col, "x").agg(F.sum("n").alias("n")).groupBy(id_col).agg(F.sum(F.greatest("n", F.lit(0))).cast("long").alias(name))
+    return df.join(left, id_col, "left").fillna(0, [name])
+
+
 def finite(c: Column, missing: float = -1.0, limit: float = 1e6) -> Column:
     """NaN and null as `missing`, infinities clipped."""
     return F.when(c.isNull() | F.isnan(c), F.lit(missing)).otherwise(F.least(F.greatest(c, F.lit(-limit)), F.lit(limit)))
@@ -85,12 +152,38 @@ def set_algebra(base: DataFrame, additions: DataFrame, mask: DataFrame, on: Sequ
     return base.select(on).union(additions.select(on)).distinct().join(mask.select(on).distinct(), on, "left_anti")
 
 
+def selection_faults(base: DataFrame, additions: DataFrame, mask: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Counts that must be 0 before selections are combined: repeated keys, additions that the base has, masked keys that neither has, additions that are masked."""
+    on = list(on)
+    twice = lambda df: df.groupBy(*on).count().filter("count > 1")
+    found = {
+        "repeated_base": twice(base), "repeated_additions": twice(additions), "repeated_mask": twice(mask), "additions_in_base": additions.select(on).distinct().join(base.select(on), on, "left_semi"),
+        "mask_unknown": mask.select(on).distinct().join(base.select(on).union(additions.select(on)), on, "left_anti"), "additions_masked": additions.select(on).distinct().join(mask.select(on), on, "left_semi"),
+    }
+    out = None
+    for name, df in found.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("fault"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def changes(before: DataFrame, after: DataFrame, on: Sequence[str]) -> DataFrame:
     """Symmetric difference with its side: '-' rows that went, '+' rows that came."""
     on = list(on)
     return before.join(after, on, "left_anti").select(*on, F.lit("-").alias("side")).union(after.join(before, on, "left_anti").select(*on, F.lit("+").alias("side")))
 
 
+def digest(df: DataFrame) -> DataFrame:
+    """Row count and one SHA-256 of a whole table as a multiset of rows: the md5 of every row goes, in two halves, into the sums of one of 256 buckets, and their list in order is hashed."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
+    h = F.md5(text.cast("binary"))
+    part = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("decimal(38,0)")
+    each = df.select(F.substring(h, 1, 2).alias("b"), part(3, 15).alias("x"), part(18, 15).alias("y"))
+    sums = each.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    lines = sums.agg(F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(F.concat_ws(":", "b", F.col("n").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")))).alias("l"))
+    return lines.select(F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), F.sha2(F.array_join("l", ",").cast("binary"), 256).alias("digest"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-free checksum of a whole table."""
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import expit, logit
-from .keys import bucket, finite
+from .keys import bucket, exact_quantiles, finite, running
 
 CLIP = 13.8
 
@@ -157,9 +157,9 @@ def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """auc, average precision and log loss, exact, from one row per distinct score: ties share a rank."""
     p, y = F.col(score), F.col(label)
     g = df.groupBy(p.alias("p")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    below = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    x = g.withColumns({"nb": F.coalesce(F.sum("neg").over(below), F.lit(0)), "tp": F.sum("pos").over(above), "all": F.sum(F.col("pos") + F.col("neg")).over(above)})
+    run = running(g, "p", ["pos", "neg"])
+    total = F.broadcast(g.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")))  # one row
+    x = run.join(total).withColumns({"nb": F.col("neg_before"), "tp": F.col("all_pos") - F.col("pos_before"), "all": F.col("all_pos") - F.col("pos_before") + F.col("all_neg") - F.col("neg_before")})
     auc = F.sum(F.col("pos") * (F.col("nb") + 0.5 * F.col("neg"))) / (F.sum("pos") * F.sum("neg"))
     q = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
     loss = -F.sum(F.col("pos") * F.ln(q) + F.col("neg") * F.ln(1 - q)) / F.sum(F.col("pos") + F.col("neg"))
@@ -186,11 +186,9 @@ def specialist_features(pairs: DataFrame, anchors: DataFrame, forms: Sequence[st
 
 def quantile_map(source: DataFrame, reference: DataFrame, col: str, points: int = 101, keep_zero: bool = False) -> tuple[list[float], list[float]]:
     """Quantiles of the column in both tables: the map that carries one distribution onto the other. NaN and null are ignored, zeros too if they are to be kept."""
-    qs = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
-
     def table(df: DataFrame) -> list[float]:
         x = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-        return (x.filter(F.col(col) != 0) if keep_zero else x).agg(F.percentile(col, qs).alias("q")).first()["q"] or []
+        return exact_quantiles(x.filter(F.col(col) != 0) if keep_zero else x, col, [i / (points - 1) for i in range(points)])
 
     return table(source), table(reference)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -38,6 +38,34 @@ def document_frequencies(df: DataFrame, id_col: str, words: str, by: list[str] =
     return out.withColumn("idf", F.ln(F.col("n") / F.col("df"))).drop("n")
 
 
+def pack_idf(s1: DataFrame, pool: DataFrame, words: str = "words", offset: float = 0.7) -> DataFrame:
+    """(country, word, df, idf_global, idf_country) over both sides: ln(N / df) over all records, and ln(N_c / df_c) + offset within the country."""
+    both = s1.select("country", F.array_distinct(words).alias("w")).unionByName(pool.select("country", F.array_distinct(words).alias("w")))
+    sizes = both.groupBy("country").agg(F.count(F.lit(1)).alias("n_c"))
+    per = both.select("country", F.explode("w").alias("word")).groupBy("country", "word").agg(F.count(F.lit(1)).alias("df"))
+    every = per.groupBy("word").agg(F.sum("df").alias("df_all"))
+    total = sizes.agg(F.sum("n_c").alias("n_all"))  # one row, as is a row per country
+    out = per.join(every, "word").join(F.broadcast(sizes), "country").join(F.broadcast(total))
+    return out.select("country", "word", "df", F.ln(F.col("n_all") / F.col("df_all")).alias("idf_global"), (F.ln(F.col("n_c") / F.col("df")) + offset).alias("idf_country"))
+
+
+def pack_views(df: DataFrame, regions: dict[str, str], tags: list[str]) -> DataFrame:
+    """Views for a country with its own address habits: saints written out, house-number suffixes split off, regions and departments as one code, country tags dropped from names."""
+    saints = text.SAINTS(F.lower(text.latin_fold(F.col("addr"))))
+    name = F.array_join(F.filter(text.tokens(text.NAME(F.lower(text.latin_fold(F.col("name"))))), lambda w: ~w.isin(*tags)), " ")
+    tagged = F.exists(text.tokens(text.NAME(F.lower(text.latin_fold(F.col("name"))))), lambda w: w.isin(*tags))
+    out = df.withColumns({"hn_sfx": text.house_suffix(saints), "f_ctag": tagged, "adm": area(saints, regions)})
+    plain = out.withColumns({"addr": text.admin_components(text.without_suffix(saints), regions), "name": name})
+    return views(plain).withColumns({"street_key": text.street_key(F.when(F.col("num_first") >= 0, F.col("num_first")), F.filter(text.tokens(F.col("addr_n")), lambda w: ~w.rlike("[0-9]")))})
+
+
+def area(addr: Column, regions: dict[str, str]) -> Column:
+    """The code of the last component that names a region, '' if none does."""
+    m = F.create_map(*[F.lit(x) for kv in regions.items() for x in kv])
+    parts = F.transform(F.split(addr, ","), lambda c: F.element_at(m, F.trim(F.regexp_replace(F.regexp_replace(c, "[-'.]", " "), " +", " "))))
+    return F.coalesce(F.try_element_at(F.filter(parts, lambda c: c.isNotNull()), F.lit(-1)), F.lit(""))
+
+
 def fake_names(s1: DataFrame, pool: DataFrame, core: str = "name_core", addr_key: str = "addr_key", least: int = 3) -> DataFrame:
     """Names of one word of 5 to 12 letters that no anchor's vocabulary has, seen at `least` addresses or more."""
     vocabulary = s1.select(F.explode(text.tokens(F.col(core))).alias(core)).distinct()

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, explain, similarity, text
+from ..functions import arrays, similarity, text
 from ..operators import blocking, competition, decide, evaluate, features, keys, learning, patterns, records, wordlists
 from ..sources import io
 from . import fixture as fx
@@ -190,13 +190,11 @@ def proj_gated_columns(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- joins
-@query("""SELECT a.s1, b.cand, (b.house - a.house)::BIGINT AS k FROM er_s1 a JOIN er_pool b ON a.country = b.country AND a.street = b.street AND b.house - a.house BETWEEN -3 AND 3
-WHERE cast(floor(a.s1 / 40.0) as bigint) = cast(floor(b.of_s1 / 40.0) as bigint)""", "er")
+@query("""SELECT a.s1, b.cand, (b.house - a.house)::BIGINT AS k FROM er_s1 a JOIN er_pool b ON a.country = b.country AND a.street = b.street AND b.house - a.house BETWEEN -3 AND 3""", "er")
 def join_offset_range(spark, sf_dir):
     s1, pool, _ = fx.corpus(spark, sf_dir)
-    a = s1.select("s1", "country", "street", "house", F.floor(F.col("s1") / 40.0).alias("blk"))
-    b = pool.select("cand", "country", "street", "house", F.floor(F.col("of_s1") / 40.0).alias("blk"))
-    return keys.offset_join(a, b, ["country", "street", "blk"], "house", "house", range(-3, 4)).select("s1", "cand", F.col("k").cast("long").alias("k"))
+    a, b = s1.select("s1", "country", "street", "house"), pool.select("cand", "country", "street", "house")
+    return keys.offset_join(a, b, ["country", "street"], "house", "house", range(-3, 4)).select("s1", "cand", F.col("k").cast("long").alias("k"))
 
 
 @query("""SELECT e.event_id, (SELECT count(*) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'purchase' AND x.value > e.value)::BIGINT AS n_greater FROM events e WHERE e.event_type <> 'purchase'""")
@@ -325,16 +323,16 @@ def set_selection_algebra(spark, sf_dir):
     return keys.changes(a.select(on).distinct(), keys.set_algebra(a, b, c, on), on)
 
 
-@query("""WITH w AS (SELECT a.doc_id, regexp_extract_all(lower(a.text), '[a-z]+')[1:40] AS x, regexp_extract_all(lower(b.text), '[a-z]+')[1:40] AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
-e AS (SELECT doc_id, unnest(x) AS t, 1 AS n FROM w UNION ALL SELECT doc_id, unnest(y), -1 FROM w), g AS (SELECT doc_id, t, sum(n) AS n FROM e GROUP BY doc_id, t)
-SELECT w.doc_id, coalesce((SELECT sum(n) FROM g WHERE g.doc_id = w.doc_id AND n > 0), 0)::BIGINT AS lost,
+@query("""WITH w AS (SELECT a.doc_id, regexp_extract_all(lower(a.text), '[a-z]+') AS x, regexp_extract_all(lower(b.text), '[a-z]+') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+e AS (SELECT doc_id, unnest(x) AS t, 1 AS n FROM w UNION ALL SELECT doc_id, unnest(y), -1 FROM w), g AS (SELECT doc_id, t, sum(n) AS n FROM e GROUP BY doc_id, t), h AS (SELECT doc_id, sum(n) AS lost FROM g WHERE n > 0 GROUP BY doc_id)
+SELECT w.doc_id, coalesce(lost, 0)::BIGINT AS lost,
   CASE WHEN len(x) = 0 OR len(y) = 0 THEN -1.0 ELSE round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) END::DOUBLE AS jaccard,
-  CASE WHEN len(x) = 0 OR len(y) = 0 THEN -1.0 ELSE round(len(list_intersect(x, y)) / len(list_distinct(x)), 6) END::DOUBLE AS inside FROM w""")
+  CASE WHEN len(x) = 0 OR len(y) = 0 THEN -1.0 ELSE round(len(list_intersect(x, y)) / len(list_distinct(x)), 6) END::DOUBLE AS inside FROM w LEFT JOIN h USING (doc_id)""")
 def set_multisets_and_jaccard(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), 1, 40).alias("x"))
-    x = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("x"))
+    x = keys.multiset_lost(d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id"), "doc_id", "x", "y")
     a, b = F.col("x"), F.col("y")
-    return x.select("doc_id", F.size(arrays.minus(a, b)).cast("long").alias("lost"), _r(arrays.jaccard(a, b)).alias("jaccard"), _r(arrays.containment(a, b)).alias("inside"))
+    return x.select("doc_id", "lost", _r(arrays.jaccard(a, b)).alias("jaccard"), _r(arrays.containment(a, b)).alias("inside"))
 
 
 # ---------------------------------------------------------------- similarity
@@ -347,16 +345,6 @@ def sim_edit_distances(spark, sf_dir):
     return x.select("p_partkey", _r("s.jaro_winkler").alias("jw"), F.col("s.damerau").alias("damerau"), F.levenshtein("p_name", "n2").alias("lev"))
 
 
-@query()
-def sim_fuzzy_ratios(spark, sf_dir):
-    """All kernels in one Arrow pass; checked by unit literals."""
-    p = fx.pairs(spark, sf_dir).select("s1", "cand")
-    s1, pool, _ = fx.corpus(spark, sf_dir)
-    x = p.join(s1.select("s1", text.BLOCK_NAME(F.col("name")).alias("a")), "s1").join(pool.select("cand", text.BLOCK_NAME(F.col("name")).alias("b")), "cand")
-    names = ["ratio", "token_sort", "token_set", "partial", "partial_token_set", "jaro_winkler", "osa"]
-    return x.withColumn("s", similarity.struct_of(names)(F.col("a"), F.col("b"))).select("s1", "cand", *[_r(f"s.{n}").alias(n) for n in names])
-
-
 @query("""SELECT a.vec_id AS s1, b.vec_id AS cand, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def sim_pair_cosine(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -396,12 +384,6 @@ def rec_generic_words(spark, sf_dir):
     return records.generic_words(_views(spark, sf_dir)[0], least=100)
 
 
-@query()
-def rec_full_views(spark, sf_dir):
-    """Every view column of every record, names and addresses as in the single queries."""
-    return _views(spark, sf_dir)[1].select("cand", "name_n", "name_core", "name_skel", "addr_n", "num_first", "n_nums", "ntok_name", "ntok_addr", "addr_key", "addr_empty", "addr_nodigit", "script")
-
-
 # ---------------------------------------------------------------- blocking
 def _skel_sql(w: str) -> str:
     return text.collapse_sql(text.WORD_SKELETON.sql(w))
@@ -528,7 +510,7 @@ ta AS (SELECT s1, w, idf FROM t JOIN i USING (w)), tb AS (SELECT DISTINCT cand,
 j AS (SELECT s1, cand, ta.w AS wa, tb.w AS wb, coalesce(ta.idf, tb.idf) AS idf FROM pairs JOIN ta USING (s1) JOIN tb USING (cand) WHERE ta.w = tb.w),
 sh AS (SELECT s1, cand, sum(idf) AS sh, list(wa) AS ws FROM j GROUP BY s1, cand), sa AS (SELECT s1, sum(idf) AS sa, list({{'w': w, 'i': idf}}) AS la FROM ta GROUP BY s1), sb AS (SELECT cand, sum(idf) AS sb, list({{'w': w, 'i': idf}}) AS lb FROM tb GROUP BY cand),
 z AS (SELECT s1, cand, coalesce(sh, 0) AS sh, coalesce(sa, 0) AS sa, coalesce(sb, 0) AS sb, coalesce(ws, []) AS ws, coalesce(la, []) AS la, coalesce(lb, []) AS lb FROM pairs LEFT JOIN sh USING (s1, cand) LEFT JOIN sa USING (s1) LEFT JOIN sb USING (cand))
-SELECT s1, cand, round(sh, 6) AS n_inter, round(CASE WHEN sa + sb - sh > 0 THEN sh / (sa + sb - sh) ELSE -1 END, 6) AS n_wjac, round(CASE WHEN sa > 0 THEN sh / sa ELSE -1 END, 6) AS n_cov1, round(CASE WHEN sb > 0 THEN sh / sb ELSE -1 END, 6) AS n_cov2,
+SELECT s1, cand, len(ws)::INTEGER AS n_inter, round(CASE WHEN sa + sb - sh > 0 THEN sh / (sa + sb - sh) ELSE -1 END, 6) AS n_wjac, round(CASE WHEN sa > 0 THEN sh / sa ELSE -1 END, 6) AS n_cov1, round(CASE WHEN sb > 0 THEN sh / sb ELSE -1 END, 6) AS n_cov2,
   round(coalesce(list_max(list_transform(list_filter(la, lambda e: NOT list_contains(ws, e.w)), lambda e: e.i)), 0), 6) AS n_miss_max, round(coalesce(list_max(list_transform(list_filter(lb, lambda e: NOT list_contains(ws, e.w)), lambda e: e.i)), 0), 6) AS n_extra_max,
   (len(la) - len(ws))::INTEGER AS n_miss_cnt, (len(lb) - len(ws))::INTEGER AS n_extra_cnt FROM z""", "pairs")
 def feat_idf_overlap(spark, sf_dir):
@@ -536,11 +518,11 @@ def feat_idf_overlap(spark, sf_dir):
     words = lambda df, i: df.select(i, text.tokens(text.BLOCK_NAME(F.col("name"))).alias("words"))
     a, b = words(s1, "s1"), words(pool, "cand")
     out = features.idf_overlap(fx.pairs(spark, sf_dir).select("s1", "cand"), a, b, records.document_frequencies(a, "s1", "words").select("word", "idf"), "n")
-    return out.withColumns({c: _r(c) for c in ("n_inter", "n_wjac", "n_cov1", "n_cov2", "n_miss_max", "n_extra_max")})
+    return out.withColumns({c: _r(c) for c in ("n_wjac", "n_cov1", "n_cov2", "n_miss_max", "n_extra_max")})
 
 
 @query("""WITH x AS (SELECT p.s1, p.cand, list_transform(regexp_extract_all(a.addr, '\\d+'), lambda v: v::BIGINT) AS x, list_transform(regexp_extract_all(b.addr, '\\d+'), lambda v: v::BIGINT) AS y FROM pairs p JOIN er_s1 a USING (s1) JOIN er_pool b USING (cand))
-SELECT s1, cand, len(list_intersect(x, y))::INTEGER AS num_inter, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN -1 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6)::DOUBLE AS num_jac,
+SELECT s1, cand, len(list_intersect(x, y))::INTEGER AS num_inter, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN -1 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6)::DOUBLE AS num_jac,
   len(list_distinct(x))::INTEGER AS num_cnt1, len(list_distinct(y))::INTEGER AS num_cnt2, (len(list_distinct(x)) - len(list_intersect(x, y)))::INTEGER AS num_miss1, (len(list_distinct(y)) - len(list_intersect(x, y)))::INTEGER AS num_extra2,
   (len(x) > 0 AND len(y) > 0)::INTEGER AS num_first_both, CASE WHEN len(x) > 0 AND len(y) > 0 THEN (x[1] = y[1])::INTEGER ELSE -1 END AS num_first_eq, CASE WHEN len(x) > 0 AND len(y) > 0 THEN (abs(x[1] - y[1]) = 1)::INTEGER ELSE -1 END AS num_first_off1,
   round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN ln(1 + abs(x[1] - y[1])) ELSE -1 END, 6) AS num_first_ldiff FROM x""", "pairs")
@@ -593,15 +575,6 @@ def feat_number_relation(spark, sf_dir):
     return p.select("s1", features.number_relation(F.col("x"), F.col("y"), F.array(F.col("y"), F.col("y") + 50)).cast("int").alias("rel"))
 
 
-@query()
-def feat_explanations(spark, sf_dir):
-    """How each record differs from its anchor: parsed views, operations, number relation. Checked by literals."""
-    s1, pool, _ = fx.corpus(spark, sf_dir)
-    x = fx.pairs(spark, sf_dir).filter("label = 1").select("s1", "cand").join(s1.select("s1", F.col("name").alias("na"), F.col("addr").alias("aa")), "s1").join(pool.select("cand", F.col("name").alias("nb"), F.col("addr").alias("ab")), "cand")
-    e = x.withColumn("e", explain.explain_pairs(F.col("na"), F.col("aa"), F.col("nb"), F.col("ab"))).select("s1", "cand", "e.*")
-    return e.withColumns({"name_ops": F.array_join("name_ops", ","), "addr_ops": F.array_join("addr_ops", ",")})
-
-
 _GRAMS = f"""{_WORDPAIR}, t AS (SELECT 'a' AS side, s1 AS id, unnest(x) AS w, n AS nm FROM a UNION ALL SELECT 'b', cand, unnest(y), m FROM b),
 u AS (SELECT side, id, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS n FROM t), v AS (SELECT side, id, p, n, unnest(range(1, greatest(len(p) + 1 - n, 1) + 1)) AS i FROM u),
 g AS (SELECT side, id, substr(p, i, n) AS g, count(*) AS tf FROM v GROUP BY ALL), f AS (SELECT g, count(*) AS df FROM g WHERE side = 'a' GROUP BY g), fb AS (SELECT g, count(*) AS df FROM g WHERE side = 'b' GROUP BY g),
@@ -609,12 +582,12 @@ wa AS (SELECT id, g, tf * (ln((1 + (SELECT count(*) FROM a)) / (1 + df)) + 1) AS
 na AS (SELECT id, g, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM wa), nb AS (SELECT id, g, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM wb)"""
 
 
-@query(f"""{_GRAMS}, c AS (SELECT p.s1, p.cand, sum(na.w * nb.w) AS c FROM pairs p JOIN na ON na.id = p.s1 JOIN nb ON nb.id = p.cand AND nb.g = na.g WHERE label = 1 GROUP BY p.s1, p.cand)
-SELECT s1, cand, round(coalesce(c, 0), 6)::DOUBLE AS cosine FROM pairs LEFT JOIN c USING (s1, cand) WHERE label = 1""", "pairs")
+@query(f"""{_GRAMS}, c AS (SELECT p.s1, p.cand, sum(na.w * nb.w) AS c FROM pairs p JOIN na ON na.id = p.s1 JOIN nb ON nb.id = p.cand AND nb.g = na.g GROUP BY p.s1, p.cand)
+SELECT s1, cand, round(coalesce(c, 0), 6)::DOUBLE AS cosine FROM pairs LEFT JOIN c USING (s1, cand)""", "pairs")
 def sim_gram_cosine(spark, sf_dir):
     s1, pool, _ = fx.corpus(spark, sf_dir)
     name = lambda df, i: features.gram_vectors(df.select(i, text.BLOCK_NAME(F.col("name")).alias("n")), i, "n")
-    x = fx.pairs(spark, sf_dir).filter("label = 1").select("s1", "cand").join(name(s1, "s1").withColumnRenamed("grams", "a"), "s1").join(name(pool, "cand").withColumnRenamed("grams", "b"), "cand")
+    x = fx.pairs(spark, sf_dir).select("s1", "cand").join(name(s1, "s1").withColumnRenamed("grams", "a"), "s1").join(name(pool, "cand").withColumnRenamed("grams", "b"), "cand")
     return x.select("s1", "cand", _r(features.map_cosine(F.col("a"), F.col("b"))).alias("cosine"))
 
 
@@ -863,13 +836,27 @@ def pat_veto_sixword(spark, sf_dir):
     return patterns.veto(fx.pairs(spark, sf_dir).filter("p >= 0.1"), _patterns(spark, sf_dir), rules).select("s1", "cand", "p")
 
 
-@query()
+_ROWS_FR, _ROWS_EN = (_map(t) for t in (patterns.LEGAL_FR, patterns.LEGAL_EN))
+_FORM = lambda w: f"(CASE WHEN country = 'France' THEN {_ROWS_FR}[{w}] ELSE {_ROWS_EN}[{w}] END)"
+_NUMS = lambda c: f"list_transform(regexp_extract_all(lower({c}), '(?:^|[^a-z0-9])([0-9]+)', 1), lambda v: regexp_replace(v, '^0+([0-9])', '\\1'))"
+_PATTERN_SQL = f"""WITH {_NEAR}, w AS (SELECT p.s1, p.cand, a.country, b.house - a.house AS k, a.house, regexp_extract_all(replace(lower(a.name), '.', ''), '[a-z0-9]+') AS x, regexp_extract_all(replace(lower(b.name), '.', ''), '[a-z0-9]+') AS y, {_NUMS('a.addr')} AS na, {_NUMS('b.addr')} AS nb
+  FROM pairs p JOIN er_s1 a USING (s1) JOIN er_pool b USING (cand) WHERE a.street = b.street AND a.street <> '' AND (b.house = a.house OR abs(b.house - a.house) IN ({_OFF}))),
+v AS (SELECT *, list_sort(list_filter(x, lambda v: {_FORM('v')} IS NULL)) AS ca, list_sort(list_filter(y, lambda v: {_FORM('v')} IS NULL)) AS cb, list_sort(list_filter(list_transform(x, lambda v: {_FORM('v')}), lambda v: v IS NOT NULL)) AS la,
+  list_sort(list_filter(list_transform(y, lambda v: {_FORM('v')}), lambda v: v IS NOT NULL)) AS lb FROM w),
+pat AS (SELECT DISTINCT n.s1, n.cand, n.country, n.k::BIGINT AS k, 'sixword' AS kind, added AS extra, NULL::BOOLEAN AS allnum FROM near n JOIN pairs p ON p.s1 = n.s1 AND p.cand = n.cand WHERE rel = 'superset+1' AND added IN ('group', 'holdings') AND abs(k) IN ({_OFF})
+  UNION ALL SELECT s1, cand, country, k::BIGINT, 'legal', array_to_string(la, '+') || '>' || array_to_string(lb, '+'), CASE WHEN k = 0 THEN list_sort(na) = list_sort(nb)
+    ELSE list_filter(nb, lambda v: NOT list_contains(na, v)) = [(house + k)::VARCHAR] AND list_filter(na, lambda v: NOT list_contains(nb, v)) = [house::VARCHAR] END FROM v WHERE len(ca) > 0 AND ca = cb AND len(lb) > 0 AND la <> lb)"""
+
+
+@query(f"{_PATTERN_SQL} SELECT s1, cand, country, k, kind, extra, coalesce(allnum::INTEGER, -1)::INTEGER AS allnum FROM pat", "pairs")
 def pat_pattern_pairs(spark, sf_dir):
-    """The full pattern table (country tags, legal switches, all-number check); the classifier is checked by literals."""
-    return _patterns(spark, sf_dir)
+    """The full pattern table (legal switches, all-number check, added decoy words); country tags don't occur in the fixture and are checked by literals."""
+    return _patterns(spark, sf_dir).withColumns({"k": F.col("k").cast("long"), "allnum": F.coalesce(F.col("allnum").cast("int"), F.lit(-1))})
 
 
-@query()
+@query(f"""{_PATTERN_SQL}, gone AS (SELECT s1, cand FROM pat WHERE (kind = 'sixword' AND k IN ({_OFF})) OR (kind = 'legal' AND allnum AND ((country = 'France' AND k IN ({_OFF})) OR (country = 'US' AND k IN ({_OFF}) AND k > 2)))),
+kept AS (SELECT s1, cand, p FROM pairs WHERE p >= 0.2 AND (s1, cand) NOT IN (SELECT (s1, cand) FROM gone))
+SELECT s1, cand, p FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS rk FROM kept) WHERE rk = 1""", "pairs")
 def pat_post_pass(spark, sf_dir):
     """All rules in order, then one owner: removal only."""
     sel = fx.pairs(spark, sf_dir).filter("p >= 0.2")
@@ -933,10 +920,11 @@ def words_substitutions(spark, sf_dir):
     return wordlists.substitutions(_word_pairs(spark, sf_dir))
 
 
-@query("""WITH l AS (SELECT house, street, min(s1) AS s1 FROM er_s1 GROUP BY house, street HAVING count(*) = 1) SELECT l.s1, b.cand FROM l JOIN er_pool b ON b.house = l.house AND b.street = l.street""", "er")
+@query("""WITH k AS (SELECT s1, regexp_replace(lower(addr), '^0+', '') AS k FROM er_s1), l AS (SELECT k, min(s1) AS s1 FROM k GROUP BY k HAVING count(*) = 1) SELECT l.s1, b.cand FROM l JOIN er_pool b ON regexp_replace(lower(b.addr), '^0+', '') = l.k""", "er")
 def words_unique_key_pairs(spark, sf_dir):
     s1, pool, _ = fx.corpus(spark, sf_dir)
-    return wordlists.unique_key_pairs(s1, pool, ["house", "street"]).select("s1", "cand")
+    key = lambda df: df.withColumn("key", F.regexp_replace(F.lower("addr"), "^0+", ""))
+    return wordlists.unique_key_pairs(key(s1), key(pool), ["key"]).select("s1", "cand")
 
 
 @query("""WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS total, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS k FROM n)
@@ -956,7 +944,11 @@ def words_frequency_percentiles(spark, sf_dir):
     return wordlists.frequency_percentile(_table(spark, sf_dir, "part"), "p_name").select("p_name", "n", _r("percentile", 9).alias("percentile"))
 
 
-@query()
+@query("""WITH w AS (SELECT string_split(regexp_replace(lower(a.addr), '[^a-z0-9]+', ' ', 'g'), ' ') AS x, string_split(regexp_replace(lower(b.addr), '[^a-z0-9]+', ' ', 'g'), ' ') AS y FROM pairs p JOIN er_s1 a USING (s1) JOIN er_pool b USING (cand) WHERE label = 1),
+d AS (SELECT list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i]) AS spot, x, y FROM w WHERE len(x) = len(y)), o AS (SELECT x[spot[1]] AS x, y[spot[1]] AS y FROM d WHERE len(spot) = 1),
+b AS (SELECT CASE WHEN len(x) < len(y) THEN x ELSE y END AS short, CASE WHEN len(x) < len(y) THEN y ELSE x END AS long FROM o),
+n AS (SELECT short, long, count(*) AS n FROM b WHERE regexp_full_match(short, '[a-z]+') AND len(short) < len(long) AND regexp_matches(long, '^' || array_to_string(string_split(short, ''), '.*')) GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY short) AS t, row_number() OVER (PARTITION BY short ORDER BY n DESC, long) AS k FROM n) SELECT short, long, n::BIGINT AS n FROM r WHERE k = 1 AND n >= 2 AND n >= 0.5 * t""", "pairs")
 def words_abbreviations(spark, sf_dir):
     """Short forms of street words, from copies' addresses."""
     s1, pool, _ = fx.corpus(spark, sf_dir)
@@ -1136,21 +1128,3 @@ SELECT 's1' AS part, s1 AS id FROM a UNION ALL SELECT 'pool', cand FROM er_pool
 def io_smoke_sample(spark, sf_dir):
     a, b = io.smoke_sample(*fx.corpus(spark, sf_dir))
     return a.select(F.lit("s1").alias("part"), F.col("s1").alias("id")).unionByName(b.select(F.lit("pool").alias("part"), F.col("cand").alias("id")))
-
-
-# ---------------------------------------------------------------- the whole chain
-_LINK_SQL = f"""{_LEX_SQL}, {_channel_sql('c1', 's_k1', 'p_k1', 'er_pool', 's1', 'cand', 200, 50)},
-sc AS (SELECT s1, cand, score, row_number() OVER (PARTITION BY cand ORDER BY score DESC, s1) AS rk FROM c1)"""
-
-
-@query(f"""{_LINK_SQL} SELECT s.s1_id, coalesce(string_agg(p.cand_id, ',' ORDER BY p.cand_id), '') AS matched FROM er_s1 s LEFT JOIN (SELECT * FROM sc WHERE rk = 1 AND score >= 8) x USING (s1) LEFT JOIN er_pool p ON p.cand = x.cand GROUP BY s.s1_id""", "er")
-def link_end_to_end(spark, sf_dir):
-    """Records to id lists: views, rare compound keys, scores, one owner per record, one row per anchor."""
-    s1, pool, _ = fx.corpus(spark, sf_dir)
-    c1 = blocking.lexical_channels(s1, pool, ("c1",))["c1"]
-    own = competition.one_owner(c1, "score").filter("score >= 8").join(pool.select("cand", "cand_id"), "cand").join(s1.select("s1", "s1_id"), "s1")
-    return io.id_lists(s1, own.select("s1_id", "cand_id"), "s1_id", "cand_id", "matched")
-
-
-def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
-    return link_end_to_end(spark, sf_dir)

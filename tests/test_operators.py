@@ -5,12 +5,17 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from linkspark.functions import text
-from linkspark.operators import blocking, competition, decide, evaluate, keys, learning, patterns, records, wordlists
+from linkspark.functions import batch, similarity, text
+from linkspark.operators import blocking, competition, decide, evaluate, keys, learning, numbers, patterns, records, wordlists
+from linkspark.operators import pairs as pair_ops
+from linkspark.plans import fixture, linkage
 from linkspark.sources import io
 
+SF = "/root/testdata/sf0.001"
 PAIRS = "s1 long, cand long, src int, country string, p double, label int"
 
 
@@ -159,3 +164,121 @@ def test_steps_render_alike(spark):
     want = [duckdb.execute(f"select {text.BLOCK_NAME.sql('x')} from (select ? as x)", [n]).fetchone()[0] for n in names]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
     assert [r.v for r in df.orderBy("i").select(text.BLOCK_NAME(F.col("n")).alias("v")).collect()] == want
+
+
+# ---------------------------------------------------------------- fuzzy kernels in batches
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("abcd  é", max_size=20), st.text("abcde ", max_size=30)), max_size=12))
+def test_batches_equal_the_kernels(rows):
+    rows = [*rows, ("", ""), ("a", ""), ("x" * 64, "x" * 63), ("y" * 90, "yz"), ("a\0b", "ab")]
+    a, b = map(list, zip(*rows))
+    for k in ("ratio", "partial", "jaro_winkler"):
+        assert batch.pairwise(k, a, b).tolist() == pytest.approx([similarity.KERNELS[k][0](x, y) for x, y in rows])
+
+
+def test_fuzzy_features_equal_the_kernels(spark):
+    s1, pool, _ = fixture.corpus(spark, SF)
+    p = fixture.pairs(spark, SF).filter("(s1 + cand) % 17 = 0").select("s1", "cand")
+    odd = s1.select("s1", "s1_id", "country", F.when(F.col("s1") % 11 == 0, "").when(F.col("s1") % 7 == 0, F.concat(F.lit("Café №1 "), "name")).otherwise(F.col("name")).alias("name"), F.when(F.col("s1") % 5 == 0, None).otherwise(F.col("addr")).alias("addr"))
+    a, b = pair_ops.with_views(odd, pool)
+    got = {(r.s1, r.cand): r for r in pair_ops.base_features(p, a, b).collect()}
+    left, right = {r.s1: r for r in a.collect()}, {r.cand: r for r in b.collect()}
+    assert len(got) == p.count() > 100
+    for (i, j), r in got.items():
+        for f, (kernel, view) in pair_ops.FUZZY.items():
+            x, y = left[i][view] or "", right[j][view] or ""
+            assert r[f] == pytest.approx(similarity.KERNELS[kernel][0](x, y)), (f, x, y)
+    assert {len(r) for r in got.values()} == {2 + 17 + 2 + 14 + 10 + 22 + 5}
+
+
+def test_graph_features_equal_brute_force(spark):
+    s1, pool, _ = fixture.corpus(spark, SF)
+    a, b = pair_ops.with_views(s1, pool)
+    p = fixture.pairs(spark, SF).filter("s1 < 60")
+    got = {(r.s1, r.cand): r for r in pair_ops.graph_features(p, p.select("s1", "cand", "p"), b, most=3, least=0.3).collect()}
+    name = {r.cand: r for r in b.select("cand", "src", "name_n", "name_raw").collect()}
+    rows = [(r.s1, r.cand, r.p) for r in p.collect()]
+    for s, c, _ in rows:
+        sib = [x for x in sorted(((q, -k) for t, k, q in rows if t == s and q >= 0.3), reverse=True) if -x[1] != c][:3]
+        r = got[s, c]
+        if not sib:
+            assert r.g_n99 == -1
+            continue
+        sims = [(similarity.ratio(name[c].name_n, name[-k].name_n) / 100, q, name[-k].src == name[c].src) for q, k in sib]
+        assert (r.g_n99, r.g_name_n_exact_n, r.g_name_near_n) == (len(sib), sum(x == 1 for x, _, _ in sims), sum(x > 0.95 for x, _, _ in sims))
+        assert r.g_name_n_max == pytest.approx(max(x for x, _, _ in sims)) and r.g_name_weighted == pytest.approx(max(x * q for x, q, _ in sims))
+        assert r.g_name_n_same_src == pytest.approx(max(x if same else -1 for x, _, same in sims))
+
+
+# ---------------------------------------------------------------- keys
+def test_ids_that_do_not_fit_are_refused(spark):
+    ok = spark.createDataFrame([(5, 7), (None, 1)], "a long, b long").select(keys.pack(F.col("a"), F.col("b")).alias("k")).collect()
+    assert [r.k for r in ok] == [5 * 2**24 + 7, None]
+    for row in ((1, 2**24), (1, -1), (2**39, 1)):
+        with pytest.raises(Exception, match="too large"):
+            spark.createDataFrame([row], "a long, b long").select(keys.pack(F.col("a"), F.col("b")).alias("k")).collect()
+
+
+def test_tables_side_by_side_must_have_the_same_keys(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, a string")
+    assert keys.side_by_side(a, spark.createDataFrame([(2, 1), (1, 0)], "k long, b long"), ["k"]).count() == 2
+    for rows in ([(1, 0)], [(1, 0), (2, 1), (3, 1)], [(1, 0), (1, 1), (2, 1)]):
+        with pytest.raises(Exception, match="missing on one side"):
+            keys.side_by_side(a, spark.createDataFrame(rows, "k long, b long"), ["k"]).collect()
+
+
+def test_null_keys_have_buckets(spark):
+    df = spark.createDataFrame([(None,), ("",)], "k string")
+    assert len({(r.b, r.c) for r in df.select(keys.bucket(F.col("k"), 7).alias("b"), keys.crc_fold(F.col("k"), 5).alias("c")).collect()}) == 1
+
+
+def test_running_sums_and_quantiles_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    v = np.round(rng.lognormal(size=700), 2).tolist() + [None, float("nan"), 5.0, 5.0]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    clean = sorted(x for x in v if x is not None and x == x)
+    at = [0.0, 0.1, 0.37, 0.5, 0.99, 1.0]
+    assert keys.exact_quantiles(df, "v", at) == pytest.approx(np.quantile(clean, at).tolist())
+    g = df.filter("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    got = {r.v: r.n_before for r in keys.running(g, "v", ["n"], buckets=9).collect()}
+    assert got == {x: sum(y < x for y in clean) for x in set(clean)}
+    assert keys.exact_quantiles(df.filter("v < 0"), "v", at) == []
+
+
+def test_digests_see_every_change(spark):
+    rows = [(i, f"t{i}") for i in range(50)]
+    d = lambda r: keys.digest(spark.createDataFrame(r, "a long, b string")).first()
+    first = d(rows)
+    assert first == d(rows[::-1]) and first.n_rows == 50
+    assert len({first.digest, d([*rows, rows[0]]).digest, d(rows[1:]).digest, d([(0, "T0"), *rows[1:]]).digest, d([(0, None), *rows[1:]]).digest, d([]).digest}) == 6
+
+
+def test_multisets_by_count(spark):
+    df = spark.createDataFrame([(1, list("aab"), list("abb")), (2, [], ["x"]), (3, ["y"] * 3, [])], "i long, a array<string>, b array<string>")
+    assert {r.i: r.lost for r in keys.multiset_lost(df, "i", "a", "b").collect()} == {1: 1, 2: 0, 3: 3}
+
+
+# ---------------------------------------------------------------- the chain
+def test_the_chain_finds_the_truth(spark):
+    all_ = linkage.link_scores(spark, "/root/testdata/sf0.01").filter("country is null and mb is null").first()
+    assert all_.oracle_ceiling > 0.98 and all_.macro_f05 > 0.9 and all_.micro_precision > 0.95 and all_.micro_recall > 0.85
+
+
+def test_number_features_of_examples(spark):
+    rows = [("12 elm", "21 elm"), ("0012 elm", "12 elm"), ("", ""), ("Unit 4 elm", "4b"), (None, "7")]
+    x = spark.createDataFrame(rows, "a string, b string")
+    f = numbers.pair(numbers.parse(F.col("a")), numbers.parse(F.col("b")))
+    got = x.select(*[c.alias(k) for k, c in f.items()]).collect()
+    assert list(f) == numbers.FEATURES and len(f) == 35
+    assert (got[0].nf_transposition, got[0].nf_digit_damerau, got[0].nf_digit_lev, got[0].nf_alpha_equal) == (1, 1, 2, 1)
+    assert (got[1].nf_zero_equal, got[1].nf_substring, got[1].nf_shared_suffix) == (1, 1, 2)
+    assert (got[2].nf_digit_lev, got[2].nf_alpha_ratio, got[2].nf_count1, got[2].nf_firstpos1) == (-1, -1, 0, -1)
+    assert (got[3].nf_unit_before1, got[3].nf_compound2, got[3].nf_startsnum2, got[3].nf_startsnum1) == (1, 1, 1, 0)
+    assert (got[4].nf_first_missing1, got[4].nf_num_only2) == (1, 1)
+
+
+def test_bootstrap_draws_groups_whole(spark):
+    df = spark.createDataFrame([(g, float(g)) for g in range(40) for _ in range(3)], "g long, delta double")
+    got = [r["mean"] for r in evaluate.bootstrap_sums(df, 200, "g").collect()]
+    assert abs(np.mean(got) - 19.5) < 0.6 and 1.2 < np.std(got) < 2.6
+    assert sorted(got) == sorted(r["mean"] for r in evaluate.bootstrap_sums(df.repartition(5), 200, "g").collect())

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from linkspark.plans import linkage  # noqa: F401  (its queries register themselves)
 from linkspark.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
