@@ -6,6 +6,7 @@ results are checked. Patterns stay within the subset that Java's and RE2's diale
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 from functools import reduce
@@ -113,6 +114,18 @@ class Steps:
         return expr
 
 
+def rewritten(chain: Steps, s: str) -> str:
+    """The chain applied to a plain string."""
+    for kind, *args in chain.steps:
+        if kind == "lit":
+            s = s.replace(*args)
+        elif kind == "re":
+            s = re.sub(args[0], re.sub(r"\$(\d)", r"\\\1", args[1]), s)
+        else:
+            s = {"lower": s.lower(), "trim": s.strip(), "pad": f" {s.replace(' ', '  ')} "}[kind]
+    return s
+
+
 def steps(*s: tuple) -> Steps:
     return Steps(tuple(s))
 
@@ -126,6 +139,7 @@ def _words(table: dict[str, str]) -> tuple[tuple, ...]:
     return tuple(("lit", f" {k} ", f" {v} ") for k, v in table.items())
 
 
+# ---- Fixed values: rewrite chains; results depend on every step and on their order ----
 #: Name view for blocking keys.
 BLOCK_NAME = steps(
     ("lower",), ("re", r"https?://|www\.", " "), ("re", r"\.(com|net|org|co\.in|in|co|biz|info|us|io|fr)\b", " "), ("lit", "&", " and "), ("re", "[^a-z0-9]+", " "), ("trim",),
@@ -167,6 +181,9 @@ TRANSLIT_SPELLING = steps(
 )
 
 
+# ---- End of fixed values ----
+
+
 def skeleton(name: Column) -> Column:
     once = F.regexp_replace(SKELETON(name), r"([a-z])\1", "$1")
     return F.regexp_replace(once, r"([a-z])\1", "$1")

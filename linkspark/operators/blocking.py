@@ -166,31 +166,49 @@ def name_channel(queries: DataFrame, index: DataFrame, query_id: str, index_id:
 
 
 def _packed(df: DataFrame, id_col: str, vec: str, block: str, rows: int, prefix: str) -> DataFrame:
-    """Blocks cut into chunks of about `rows` rows, each one row of arrays: bounded units of a matrix product."""
+    """Blocks cut into chunks of about `rows` rows, each one row of arrays with its number `<prefix>_c`: bounded units of a matrix product."""
     n = df.groupBy(block).agg(F.count(F.lit(1)).alias("_n"))
-    cut = df.join(F.broadcast(n), block).withColumn("_c", F.pmod(F.xxhash64(id_col), F.ceil(F.col("_n") / rows)))
-    return cut.groupBy(block, "_c").agg(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(vec).alias("v"))).alias(prefix)).drop("_c")
+    cut = df.join(n, block).withColumn(f"{prefix}_c", F.pmod(F.xxhash64(id_col), F.ceil(F.col("_n") / rows)))
+    return cut.groupBy(block, f"{prefix}_c").agg(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(vec).alias("v"))).alias(prefix))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vec: str, block: str, k: int, rows: int = 4096) -> DataFrame:
-    """Exact top k by inner product within the block: chunks meet chunks, each meeting is one matrix product that keeps
-    k rows per query, and the chunks' lists are merged. A block of any size is many bounded tasks."""
-    q, c = _packed(queries, query_id, vec, block, rows, "qs"), _packed(corpus, corpus_id, vec, block, rows, "cs")
-    met = q.join(c, block).select("qs", "cs")
+def nearest(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vec: str, block: str, k: int, rows: int = 4096, group: int = 16) -> DataFrame:
+    """Exact top k by inner product within the block: chunks meet chunks, each meeting is one matrix product.
+
+    The work is quadratic in a block by nature. `group` chunks of the corpus are a unit of the join, so a block of any
+    size is many tasks, and a task merges a query chunk's lists over the unit before they leave it: what is shuffled is k
+    rows per query and unit, and the query vectors once per unit.
+    """
+    q, c = _packed(queries, query_id, vec, block, rows, "qs"), _packed(corpus, corpus_id, vec, block, rows, "cs").withColumn("unit", F.floor(F.col("cs_c") / group))
+    units = corpus.groupBy(block).agg(F.floor((F.ceil(F.count(F.lit(1)) / rows) - 1) / group).alias("last"))
+    spread = q.join(units, block).withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).drop("last")
+    met = spread.join(c, [block, "unit"]).select(F.concat_ws("/", F.col(block).cast("string"), "qs_c", "unit").alias("key"), "qs", "cs")
 
     def product(batches):
+        held, key, ids = None, None, None
         for pdf in batches:
-            for qs, cs in zip(pdf["qs"], pdf["cs"]):
+            for at, qs, cs in zip(pdf["key"], pdf["qs"], pdf["cs"]):
                 a, b = (np.array([x["v"] for x in s], dtype=np.float64) for s in (qs, cs))
-                qi, ci = (np.array([x["i"] for x in s]) for s in (qs, cs))
+                ci = np.array([x["i"] for x in cs])
                 s = np.round(a @ b.T, 6)
-                order = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({"q": np.repeat(qi, order.shape[1]), "c": ci[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                found = np.broadcast_to(ci, s.shape), s
+                if at == key:
+                    found = np.concatenate([held[0], found[0]], axis=1), np.concatenate([held[1], found[1]], axis=1)
+                elif held is not None:
+                    yield _listed(ids, *held)
+                order = np.lexsort((found[0], -found[1]), axis=1)[:, :k]
+                held, key, ids = tuple(np.take_along_axis(x, order, 1) for x in found), at, np.array([x["i"] for x in qs])
+        if held is not None:
+            yield _listed(ids, *held)
 
     hits = met.mapInPandas(product, "q long, c long, score double").withColumnsRenamed({"q": query_id, "c": corpus_id})
     return top_k(hits, [query_id], [F.desc("score"), F.asc(corpus_id)], k)
 
 
+def _listed(ids: np.ndarray, found: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"q": np.repeat(ids, found.shape[1]), "c": found.ravel(), "score": score.ravel()})
+
+
 def dense_candidates(forward: DataFrame, reverse: DataFrame, k: int = 20, delta: float = 0.02) -> DataFrame:
     """Forward ranks to k, and reverse rank 1 or a score within delta (inclusive) of the record's best."""
     f = forward.filter(F.col("rank") <= k).select("s1", "cand", F.lit(True).alias("ch_fwd"))

@@ -364,6 +364,20 @@ def io_digest(spark, sf_dir):
     return keys.digest(_table(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey"))
 
 
+_FAULTY = "SELECT CASE WHEN s1 % 50 = 0 THEN 's' || s1_id ELSE s1_id END AS k, CASE s1 % 6 WHEN 0 THEN 'S2-1,S2-1' WHEN 1 THEN '' WHEN 2 THEN 'S2-3, S3-4' WHEN 3 THEN 'X9,S2-2' WHEN 4 THEN s1_id ELSE ' ,S2-7' END AS l FROM {s1} UNION ALL SELECT s1_id, 'S2-9' FROM {s1} WHERE s1 % 20 = 7"
+
+
+@query(f"""WITH {fx.WITH}, f AS ({_FAULTY.replace('{s1}', 'er_s1')}), x AS (SELECT k, list_filter(list_transform(string_split(l, ','), lambda v: trim(v)), lambda v: v <> '') AS i FROM f)
+SELECT 'repeated_keys' AS fault, (count(*) - count(DISTINCT k))::BIGINT AS n FROM x UNION ALL SELECT 'repeated_ids', count(*) FILTER (len(i) <> len(list_distinct(i))) FROM x UNION ALL SELECT 'bad_prefix', count(*) FILTER (len(list_filter(i, lambda v: NOT starts_with(v, 'S'))) > 0) FROM x
+UNION ALL SELECT 'self_match', count(*) FILTER (list_contains(i, k)) FROM x UNION ALL SELECT 'missing_keys', count(*) FROM er_s1 WHERE s1_id NOT IN (SELECT k FROM f) UNION ALL SELECT 'extra_keys', count(DISTINCT k) FROM f WHERE k NOT IN (SELECT s1_id FROM er_s1)""")
+def io_list_faults(spark, sf_dir):
+    s1, _, _ = fx.corpus(spark, sf_dir)
+    df = spark.sql(_FAULTY, s1=s1)
+    within = io.list_faults(df, "k", "l")
+    rows = within.select(F.explode(F.array(*[F.struct(F.lit(c).alias("fault"), F.col(c).cast("long").alias("n")) for c in within.columns])).alias("f")).select("f.*")
+    return rows.unionByName(io.anchor_faults(df, "k", s1.select(F.col("s1_id").alias("k"))))
+
+
 # ---------------------------------------------------------------- normalisers
 _RAW = "s1::VARCHAR || ' ' || name || CASE s1 % 3 WHEN 0 THEN ' (Ｆｕｌｌ) ½' WHEN 1 THEN ' — Зал №7' ELSE ' ﬁn नमस्ते' END"
 _RAW_SPARK = _RAW.replace("s1::VARCHAR", "cast(s1 as string)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,30 +45,54 @@ def write_tsv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").options(sep="\t", quote="", escape="", header=True, emptyValue="", nullValue="").csv(path)
 
 
-def write_parts(df: DataFrame, path: str, key: str, parts: int) -> None:
-    """Parts by key hash, each a folder of its own: a rerun writes those that are missing."""
+def write_parts(df: DataFrame, path: str, key: str, parts: int, per_job: int = 16) -> None:
+    """Parts by key hash, per_job of them in one pass over the input; a rerun writes those that no finished pass has marked."""
     spark = df.sparkSession
     part = df.withColumn("part", bucket(F.col(key), parts, "part"))
-    done = [i for i in range(parts) if _exists(spark, f"{path}/part={i}/_SUCCESS")]
-    rest = part.filter(~F.col("part").isin(done)) if done else part
-    todo = [r["part"] for r in rest.select("part").distinct().collect()]  # one number per part
-    for i in sorted(todo):
-        rest.filter(F.col("part") == i).drop("part").write.mode("overwrite").parquet(f"{path}/part={i}")
+    todo = [i for i in range(parts) if not _exists(spark, f"{path}/_done/{i}")]
+    for lo in range(0, len(todo), per_job):
+        group = todo[lo : lo + per_job]
+        chosen = part.filter(F.col("part").isin(group)) if len(group) < parts else part
+        chosen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        for i in group:
+            _write_text(spark, f"{path}/_done/{i}", "")
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(f"{path}/part=*").drop("part")
+    return spark.read.parquet(path).drop("part")
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write a new version of a table beside the old ones, then name it as the current one: readers see the old version or the new, never a part. Nothing is renamed, so any store will do."""
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    _write_text(df.sparkSession, f"{path}/current.txt", version)
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/current.txt', wholetext=True).first()[0].strip()}")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _path(spark, path)
+    return fs.exists(p)
 
 
-def read_side_table(path: str):
-    """JSON or, where the library is installed, YAML."""
-    raw = Path(path).read_text()
+def _write_text(spark: SparkSession, path: str, content: str) -> None:
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+
+
+def read_side_table(path: str, spark: SparkSession | None = None):
+    """JSON or, where the library is installed, YAML; through Spark's file systems if a session is given."""
+    raw = Path(path).read_text() if spark is None else "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     if path.endswith((".yml", ".yaml")):
         import yaml
 
@@ -112,6 +137,20 @@ def violations(matches: DataFrame, candidates: DataFrame, s1: DataFrame, pool: D
     return out
 
 
+def header_faults(spark: SparkSession, path: str, columns: list[str]) -> list[str]:
+    """What is wrong with the header line of a tab-separated file: columns that lack, that are too many, or that stand in another order."""
+    found = (spark.read.text(path).first() or [""])[0].split("\t")
+    lacking, extra = [c for c in columns if c not in found], [c for c in found if c not in columns]
+    return [*(f"missing {c}" for c in lacking), *(f"extra {c}" for c in extra), *(["order"] if not lacking and not extra and found != list(columns) else [])]
+
+
+def anchor_faults(df: DataFrame, key: str, anchors: DataFrame) -> DataFrame:
+    """missing_keys: anchors without a row; extra_keys: rows whose key is no anchor."""
+    have, want = df.select(key).distinct(), anchors.select(key).distinct()
+    count = lambda x, name: x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("fault"), "n")
+    return count(want.join(have, key, "left_anti"), "missing_keys").union(count(have.join(want, key, "left_anti"), "extra_keys"))
+
+
 def list_faults(df: DataFrame, key: str, lists: str, prefix: str = "S") -> DataFrame:
     """Faults within the lists: repeated keys, repeated ids in a list, ids without the prefix, keys that list themselves."""
     x = df.withColumn("_ids", id_list(F.col(lists)))

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import shutil
 
 import numpy as np
 import pytest
@@ -89,7 +90,7 @@ def test_nearest_is_exact_over_chunks(spark):
     rng = np.random.default_rng(0)
     q, c = rng.normal(size=(30, 8)).round(3), rng.normal(size=(70, 8)).round(3)
     to = lambda m, n: spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(m)], f"{n} long, v array<double>, b int")
-    got = {(r.s1, r.cand) for r in blocking.nearest(to(q, "s1"), to(c, "cand"), "s1", "cand", "v", "b", 5, rows=7).collect()}
+    got = {(r.s1, r.cand) for r in blocking.nearest(to(q, "s1"), to(c, "cand"), "s1", "cand", "v", "b", 5, rows=7, group=2).collect()}
     want = {(i, int(j)) for i, s in enumerate(np.round(q @ c.T, 6)) for j in np.argsort(-s, kind="stable")[:5]}
     assert got == want
 
@@ -108,6 +109,17 @@ def test_parts_restart(spark, tmp_path):
     io.write_parts(df, f"{tmp_path}/parts", "id", 4)
     io.write_parts(df, f"{tmp_path}/parts", "id", 4)
     assert io.read_parts(spark, f"{tmp_path}/parts").count() == 200
+    shutil.rmtree(f"{tmp_path}/parts/part=2")  # a part that was never finished is written again, the others stay
+    (tmp_path / "parts" / "_done" / "2").unlink()
+    io.write_parts(df, f"{tmp_path}/parts", "id", 4, per_job=1)
+    assert io.read_parts(spark, f"{tmp_path}/parts").agg(F.sum("v")).first()[0] == 200 * 199
+    io.replace_table(df, f"{tmp_path}/table")
+    io.replace_table(df.filter("id < 5"), f"{tmp_path}/table")
+    assert io.current_table(spark, f"{tmp_path}/table").count() == 5
+    (tmp_path / "side.json").write_text('{"a": [1, 2]}')
+    assert io.read_side_table(f"{tmp_path}/side.json") == io.read_side_table(f"file://{tmp_path}/side.json", spark) == {"a": [1, 2]}
+    (tmp_path / "h.tsv").write_text("b\ta\tx\n1\t2\t3\n")
+    assert io.header_faults(spark, f"{tmp_path}/h.tsv", ["a", "b", "c"]) == ["missing c", "extra x"] and io.header_faults(spark, f"{tmp_path}/h.tsv", ["a", "b", "x"]) == ["order"]
     assert io.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     assert io.check_fingerprints({"x": df}, {"x": keys.fingerprint(df).first()["checksum"]}) == []
 
