@@ -43,7 +43,7 @@ def record_side_table(pairs: DataFrame, dense: DataFrame) -> DataFrame:
 
 
 #: Evidence columns by the rank that says whether their channel saw the pair.
-CHANNELS = {"fr": ["fs"], "rr": ["rs", "rd"], "c1": ["c1s", "c1nk"], "c2": ["c2s", "c2nk"], "c3": ["c3s"], "c1r": ["c1rs", "c1rnk", "c1rg"], "c2r": ["c2rs", "c2rnk", "c2rg"], "c3r": ["c3rs", "c3rg"]}
+CHANNELS = {"fr": ["fs"], "rr": ["rs", "rd"], "fr_ft": ["fs_ft"], "rr_ft": ["rs_ft", "rd_ft"], "c1": ["c1s", "c1nk"], "c2": ["c2s", "c2nk"], "c3": ["c3s"], "c1r": ["c1rs", "c1rnk", "c1rg"], "c2r": ["c2rs", "c2rnk", "c2rg"], "c3r": ["c3rs", "c3rg"]}
 
 
 def channel_features(union: DataFrame, channels: dict[str, list[str]] = CHANNELS) -> DataFrame:

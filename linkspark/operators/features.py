@@ -125,12 +125,15 @@ def number_relation(x: Column, y: Column, others: Column) -> Column:
     )
 
 
-def gram_vectors(df: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5) -> DataFrame:
-    """(id, grams): per record a map from the letter runs of its blank-padded words to unit TF-IDF weights; idf = ln((1 + n) / (1 + df)) + 1 over the table."""
+def _grams(text_col: str, low: int, high: int) -> Column:
     words = F.filter(F.split(text_col, " "), lambda w: w != "")
-    grams = F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.transform(
+    return F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(w) + 3 - n, F.lit(1))), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, n))))))
-    each = df.select(id_col, F.explode(grams).alias("g")).groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def gram_vectors(df: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5) -> DataFrame:
+    """(id, grams): per record a map from the letter runs of its blank-padded words to unit TF-IDF weights; idf = ln((1 + n) / (1 + df)) + 1 over the table."""
+    each = df.select(id_col, F.explode(_grams(text_col, low, high)).alias("g")).groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("tf"))
     n = df.agg(F.count(F.lit(1)).alias("n"))
     idf = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("g", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n: one row
     w = each.join(idf, "g").withColumn("w", F.col("tf") * F.col("idf"))
@@ -138,6 +141,13 @@ def gram_vectors(df: DataFrame, id_col: str, text_col: str, low: int = 3, high:
     return vec.select(id_col, F.transform_values("m", lambda k, v: v / F.col("norm")).alias("grams"))
 
 
+def gram_idf(df: DataFrame, text_col: str, by: str, low: int = 3, high: int = 5) -> DataFrame:
+    """(by, g, df, idf): the letter runs of blank-padded words, in how many rows of the group each stands, and ln((1 + n) / (1 + df)) + 1."""
+    each = df.select(by, F.explode(F.array_distinct(_grams(text_col, low, high))).alias("g")).groupBy(by, "g").agg(F.count(F.lit(1)).alias("df"))
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return each.join(sizes, by).select(by, "g", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def map_cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_sort(F.map_entries(a)), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(b, e["key"]), F.lit(0.0)))
 

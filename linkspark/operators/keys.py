@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
+
 PACK = 1 << 24
 
 
@@ -48,6 +50,15 @@ def rows_between(df: DataFrame, order: Sequence[Column], start: int, n: int) ->
     return df.orderBy(*order).offset(start).limit(n) if start else df.orderBy(*order).limit(n)
 
 
+def row_index(df: DataFrame, key: str, name: str = "row") -> DataFrame:
+    """Rows numbered from 0 in the order of a unique key of any type: the table is cut into ranges of the key, ranges are counted, and each is numbered by one task from where the one before ends."""
+    cut = stage(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    base = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row per range
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return cut.withColumn("_l", local).join(F.broadcast(base), "_p").withColumn(name, (F.col("_b") + F.col("_l")).cast("long")).drop("_p", "_l", "_b")
+
+
 def side_by_side(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """The columns of both tables in one row per key, never by position. Keys must be the same on both sides, each once: else an error names how many are not."""
     on = list(on)

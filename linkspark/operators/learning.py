@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import expit, logit
-from .keys import bucket, exact_quantiles, finite, running
+from .keys import bucket, crc_fold, exact_quantiles, finite, running
 
 CLIP = 13.8
 
@@ -51,6 +52,16 @@ def out_of_fold(models: list[Column], fold: Column) -> Column:
     return out.otherwise(total(models))
 
 
+def balanced_weights(prefixes: DataFrame, by: str = "s1", name: str = "weight") -> DataFrame:
+    """Every anchor's rows weigh 1 together, so that anchors with long lists count no more than others."""
+    return prefixes.withColumn(name, 1.0 / F.count(F.lit(1)).over(Window.partitionBy(by)))
+
+
+def group_folds(df: DataFrame, group: str, folds: int = 3, prefix: str = "name:", name: str = "fold") -> DataFrame:
+    """Rows that share a group (a name, say) share a fold, so that no fold is scored by a model that has seen its names."""
+    return df.withColumn(name, crc_fold(F.col(group), folds, prefix))
+
+
 def keep_negatives(df: DataFrame, key: Column, lexical: Column, label: str = "label", share: float = 0.25) -> DataFrame:
     """Lexical-only negatives thinned to the share by key hash and weighted up for it; everything else weighs 1."""
     n = round(1 / share)
@@ -139,10 +150,39 @@ def simplex_blend(df: DataFrame, scores: Sequence[str], label: str, grid: int =
     return {s: v / grid for s, v in zip(scores, weights[best])}
 
 
-def prefix_model(prefixes: DataFrame, features: Sequence[str], target: str, out: str = "utility", rounds: int = 20, depth: int = 4) -> DataFrame:
-    """Regression of a prefix's score on its statistics, applied to the same table."""
+def simplex_fit(df: DataFrame, scores: Sequence[str], label: str, rounds: int = 20, step: float = 2.0) -> dict[str, float]:
+    """As simplex_blend, to any weights: exponentiated gradient from the coarse grid's best. Each round is one pass that sums loss and gradient; a step that does not help is halved."""
+    y, zs = F.col(label), [logit(F.col(s)) for s in scores]
+    # Nothing is lost to start with: a weight of 0 could never grow again.
+    start = simplex_blend(df, scores, label, 4)
+    best = [max(start[s], 0.02) for s in scores]
+    best = [w / sum(best) for w in best]
+
+    def measure(w: list[float]) -> tuple[float, list[float]]:
+        p = expit(sum((F.lit(v) * z for v, z in zip(w, zs)), F.lit(0.0)))
+        loss = F.avg(-(y * F.ln(F.greatest(p, F.lit(1e-300))) + (1 - y) * F.ln(F.greatest(1 - p, F.lit(1e-300)))))
+        row = df.agg(loss.alias("l"), *[F.avg((p - y) * z).alias(f"g{k}") for k, z in enumerate(zs)]).first()
+        return row["l"], [row[f"g{k}"] for k in range(len(zs))]
+
+    coarse, _ = measure(list(start.values()))
+    loss, gradient = measure(best)
+    for _ in range(rounds):
+        low = min(gradient)
+        moved = [w * math.exp(-step * (g - low)) for w, g in zip(best, gradient)]
+        tried = [w / sum(moved) for w in moved]
+        new_loss, new_gradient = measure(tried)
+        if new_loss < loss:
+            best, loss, gradient = tried, new_loss, new_gradient
+        else:
+            step /= 2
+    return dict(zip(scores, best)) if loss < coarse else start
+
+
+def prefix_model(prefixes: DataFrame, features: Sequence[str], target: str, out: str = "utility", rounds: int = 20, depth: int = 4, weight: str | None = None) -> DataFrame:
+    """Regression of a prefix's score on its statistics (and evidence), applied to the same table; rows may be weighted (see balanced_weights)."""
     x = _vectors(prefixes, features)
-    return GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, maxDepth=depth, seed=7, predictionCol=out).fit(x.filter(F.col(target).isNotNull())).transform(x).drop("_x")
+    kw = {"weightCol": weight} if weight else {}
+    return GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, maxDepth=depth, seed=7, predictionCol=out, **kw).fit(x.filter(F.col(target).isNotNull())).transform(x).drop("_x")
 
 
 def count_model(anchors: DataFrame, features: Sequence[str], matches: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import batch, similarity, text
@@ -69,3 +69,11 @@ def pair(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
         out |= {f"nf_count{i}": F.size(p["numbers"]), f"nf_first_missing{i}": none, f"nf_firstpos{i}": p["at"], f"nf_startsnum{i}": p["starts"], f"nf_unit_before{i}": p["unit"],
                 f"nf_compound{i}": p["compound"], f"nf_num_only{i}": ~none & (p["letters"] == "")}
     return {k: out[k].cast("double") for k in FEATURES}
+
+
+def number_features(df: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
+    """The kept columns and FEATURES of the address columns a and b. Addresses are parsed in a projection of their own: what compares them runs over the parsed columns."""
+    parsed = {t: parse(F.col(c)) for t, c in (("a", a), ("b", b))}
+    x = df.select(*keep, *[c.alias(f"_{t}_{k}") for t, p in parsed.items() for k, c in p.items()])
+    found = pair(*({k: F.col(f"_{t}_{k}") for k in p} for t, p in parsed.items()))
+    return x.select(*keep, *[c.alias(k) for k, c in found.items()])

@@ -49,13 +49,28 @@ def pack_idf(s1: DataFrame, pool: DataFrame, words: str = "words", offset: float
     return out.select("country", "word", "df", F.ln(F.col("n_all") / F.col("df_all")).alias("idf_global"), (F.ln(F.col("n_c") / F.col("df")) + offset).alias("idf_country"))
 
 
-def pack_views(df: DataFrame, regions: dict[str, str], tags: list[str]) -> DataFrame:
-    """Views for a country with its own address habits: saints written out, house-number suffixes split off, regions and departments as one code, country tags dropped from names."""
-    saints = text.SAINTS(F.lower(text.latin_fold(F.col("addr"))))
-    name = F.array_join(F.filter(text.tokens(text.NAME(F.lower(text.latin_fold(F.col("name"))))), lambda w: ~w.isin(*tags)), " ")
+#: What pack_views does, each of which can be left out: areas as codes, saints written out, house-number suffixes split off (or kept as a token of their own), the country's
+#: street words, its tags dropped, its legal forms dropped, learned words replaced.
+SWITCHES = ("admin", "saint", "suffix", "suffix_token", "streets", "tags", "legal", "lexicon")
+
+
+def pack_views(df: DataFrame, regions: dict[str, str], tags: list[str], use: tuple[str, ...] = ("admin", "saint", "suffix", "tags"), streets: dict[str, str] | None = None, legal: list[str] = (), words: dict[str, str] | None = None) -> DataFrame:
+    """Views for a country with its own address habits, by the SWITCHES in use; with none they are those of `views`."""
+    low = F.lower(text.latin_fold(F.col("addr")))
+    saints = text.SAINTS(low) if "saint" in use else low
+    if "streets" in use and streets:
+        saints = F.array_join(text.mapped(F.split(saints, " "), streets), " ")
+    drop = [*(tags if "tags" in use else ()), *(legal if "legal" in use else ())]
+    spoken = text.tokens(text.NAME(F.lower(text.latin_fold(F.col("name")))))
+    if "lexicon" in use and words:
+        spoken = text.mapped(spoken, words)
+    name = F.array_join(F.filter(spoken, lambda w: ~w.isin(*drop)), " ") if drop or words else F.col("name")
     tagged = F.exists(text.tokens(text.NAME(F.lower(text.latin_fold(F.col("name"))))), lambda w: w.isin(*tags))
     out = df.withColumns({"hn_sfx": text.house_suffix(saints), "f_ctag": tagged, "adm": area(saints, regions)})
-    plain = out.withColumns({"addr": text.admin_components(text.without_suffix(saints), regions), "name": name})
+    bare = text.without_suffix(saints) if "suffix" in use else saints
+    if "suffix_token" in use:  # "98 bis" and "98b" read alike, and unlike "98"
+        bare = F.when(F.col("hn_sfx") != "", F.concat(text.without_suffix(saints), F.lit(" sfx"), F.col("hn_sfx"))).otherwise(bare)
+    plain = out.withColumns({"addr": text.admin_components(bare, regions) if "admin" in use else bare, "name": name})
     return views(plain).withColumns({"street_key": text.street_key(F.when(F.col("num_first") >= 0, F.col("num_first")), F.filter(text.tokens(F.col("addr_n")), lambda w: ~w.rlike("[0-9]")))})
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import batch
+
 
 def insertions(pairs: DataFrame, a: str = "words_a", b: str = "words_b") -> DataFrame:
     """Per word: pairs whose record adds it (n_added), drops it (n_dropped), has it on both sides (n_both)."""
@@ -43,6 +45,37 @@ def unique_key_pairs(anchors: DataFrame, records: DataFrame, key: list[str]) ->
     return lone.join(records.select(*key, "cand"), key)
 
 
+def anchor_pairs(anchors: DataFrame, records: DataFrame, key: list[str], name: str = "name_n", least: float = 95.0) -> DataFrame:
+    """Pairs that share a key which one anchor only has, and whose names are alike as sets of words: sure pairs to learn from."""
+    lone = unique_key_pairs(anchors, records, key).select("s1", "cand")
+    side = lambda df, i, t: df.select(i, batch.token_views(F.col(name))[1].alias(t))
+    x = lone.join(side(anchors, "s1", "a"), "s1").join(side(records, "cand", "b"), "cand")
+    shared, only_a, only_b = batch.set_parts(F.col("a"), F.col("b"))
+    x = x.select("s1", "cand", shared.alias("shared"), only_a.alias("only_a"), only_b.alias("only_b"), ((F.size("a") == 0) | (F.size("b") == 0)).alias("none"))
+    rest = batch.column("ratio")(F.col("only_a"), F.col("only_b"))
+    alike = batch.token_set(F.col("shared"), F.col("only_a"), F.col("only_b"), F.col("rest"), F.col("none"))
+    return x.withColumn("rest", rest).withColumn("alike", F.round(alike, 6)).filter(F.col("alike") >= least).select("s1", "cand", "alike")
+
+
+def area_aliases(addresses: DataFrame, codes: dict[str, str], places: DataFrame, least: int = 20, pure: float = 0.9, share: float = 0.5, beside: float = 0.2) -> DataFrame:
+    """Components that stand where an area's name would: they come with places of one area, and seldom beside a known name.
+
+    addresses: (id, parts: the components); codes: known names and their area; places: (place, area), places that belong
+    to one area (see purity). Kept: (alias, area, n) with at least `least` addresses that name the area's places, `pure`
+    of those with a place, `share` of all, and less than `beside` with a known name.
+    """
+    known = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    each = addresses.select("id", F.exists("parts", lambda c: F.element_at(known, c).isNotNull()).alias("named"), F.explode(F.array_distinct("parts")).alias("part"))
+    voted = each.join(places, F.col("part") == F.col("place")).groupBy("id").agg(F.min("area").alias("area"), F.countDistinct("area").alias("areas")).filter("areas = 1").select("id", "area")
+    other = each.filter(F.element_at(known, F.col("part")).isNull()).join(places.select(F.col("place").alias("part")).distinct(), "part", "left_anti")
+    total = other.groupBy("part").agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.col("named").cast("int")).alias("beside"))
+    votes = other.join(voted, "id").groupBy("part", "area").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("part")
+    best = votes.withColumns({"_t": F.sum("n").over(w), "_r": F.row_number().over(w.orderBy(F.desc("n"), "area"))}).filter("_r = 1").join(total, "part")
+    kept = best.filter((F.col("n") >= least) & (F.col("n") >= pure * F.col("_t")) & (F.col("n") >= share * F.col("n_all")) & (F.col("beside") < beside))
+    return kept.select(F.col("part").alias("alias"), "area", "n")
+
+
 def purity(df: DataFrame, key: str, value: str, least: int = 3, share: float = 0.95) -> DataFrame:
     """Keys whose commonest value covers the share of at least `least` rows."""
     n = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))

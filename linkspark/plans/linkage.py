@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import batch, explain, lexicon, similarity, text
-from ..operators import blocking, competition, decide, evaluate, features, keys, numbers, pairs, patterns, records
+from ..operators import blocking, competition, decide, evaluate, features, keys, learning, numbers, pairs, patterns, records, wordlists
 from ..sources import io
 from ..sources.staging import stage
 from . import fixture as fx
@@ -300,10 +300,16 @@ def _num_cols() -> str:
 def feat_number_residuals(spark, sf_dir):
     s1, _, _ = fx.corpus(spark, sf_dir)
     x = s1.select("s1", F.expr(_ADDR_PAIR[0]).alias("a"), F.expr(_ADDR_PAIR[1]).alias("b"))
-    a, b = ({k: c.alias(f"{t}_{k}") for k, c in numbers.parse(F.col(t)).items()} for t in "ab")
-    parsed = x.select("s1", *a.values(), *b.values())
-    f = numbers.pair(*({k: F.col(f"{t}_{k}") for k in p} for t, p in (("a", a), ("b", b))))
-    return parsed.select("s1", *[_r(c).alias(k) for k, c in f.items()])
+    out = numbers.number_features(x, "a", "b", ["s1"])
+    return out.select("s1", *[_r(k).alias(k) for k in numbers.FEATURES])
+
+
+@query()
+def feat_vector_cosines(spark, sf_dir):
+    """The two vector features of the explainer (sim_gram_cosine checks the cosine against SQL)."""
+    s1, pool, _ = fx.corpus(spark, sf_dir)
+    out = pairs.vector_features(fx.pairs(spark, sf_dir), *pairs.with_views(s1, pool))
+    return out.select("s1", "cand", _r("n3_core_tfidf").alias("n3_core_tfidf"), _r("a13_addr_tfidf").alias("a13_addr_tfidf"))
 
 
 @query()
@@ -324,6 +330,13 @@ def proj_slice(spark, sf_dir):
     return keys.rows_between(o, [F.desc("o_totalprice"), F.asc("o_orderkey")], 25, 50)
 
 
+@query("SELECT p_partkey, p_name, (row_number() OVER (ORDER BY p_name, p_partkey) - 1)::BIGINT AS row FROM part")
+def proj_row_index(spark, sf_dir):
+    """Rows numbered over the whole table, in the order of a unique text key, without a task that holds them all."""
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_name").withColumn("k", F.concat(F.rpad("p_name", 40, " "), F.lpad(F.col("p_partkey").cast("string"), 12, "0")))
+    return keys.row_index(p, "k").select("p_partkey", "p_name", "row")
+
+
 @query("SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('sample' || o_orderkey::VARCHAR), o_orderkey)::INTEGER AS sample_rank FROM orders")
 def win_sample_rank(spark, sf_dir):
     return keys.sample_rank(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], "o_orderkey")
@@ -400,6 +413,16 @@ def norm_fold_scripts(spark, sf_dir):
     return spark.createDataFrame([(s,) for s, _ in FOLDS], "s string").select("s", text.fold_scripts(F.col("s")).alias("folded"))
 
 
+_NUMBERED = "CASE s1 % 4 WHEN 0 THEN '0070 AVENUE 18 ' || addr WHEN 1 THEN 'COUR2 ' || addr WHEN 2 THEN 'N°3, ' || addr ELSE addr || ' B12 007' END"
+
+
+@query(f"""SELECT s1, array_to_string(list_transform(regexp_extract_all(lower(a), '(?:^|[^\\p{{L}}0-9])([0-9]+)', 1), lambda v: regexp_replace(v, '^0+([0-9])', '\\1')), ',') AS numbers FROM (SELECT s1, {_NUMBERED} AS a FROM er_s1)""", "er")
+def norm_address_numbers(spark, sf_dir):
+    """Numbers of an address that no letter stands right before, without leading zeros."""
+    s1, _, _ = fx.corpus(spark, sf_dir)
+    return s1.select("s1", F.array_join(patterns.all_numbers(F.expr(_NUMBERED)), ",").alias("numbers"))
+
+
 @query("""SELECT s1, house::VARCHAR || '|' || array_to_string(list_sort(list_filter(string_split(street, ' '), lambda t: t <> '')[1:4]), ' ') AS key FROM er_s1""", "er")
 def norm_street_keys(spark, sf_dir):
     s1, _, _ = fx.corpus(spark, sf_dir)
@@ -546,6 +569,92 @@ def pat_swapped_owner(spark, sf_dir):
     return patterns.swapped_owner(p, p.filter("p >= 0.3"))
 
 
+# ---------------------------------------------------------------- word lists
+_KEYED = f"SELECT s1, regexp_replace(lower(addr), '^0+', '') AS key, {text.BLOCK_NAME.sql('name')} AS n FROM er_s1"
+_ANCHOR_SQL = f"""WITH RECURSIVE {fx.WITH}, k AS ({_KEYED}), l AS (SELECT key, min(s1) AS s1 FROM k GROUP BY key HAVING count(*) = 1),
+p AS (SELECT l.s1, b.cand, {_toks('k.n')} AS a, {_toks(text.BLOCK_NAME.sql('b.name'))} AS b FROM l JOIN k USING (s1) JOIN er_pool b ON regexp_replace(lower(b.addr), '^0+', '') = l.key),
+z AS (SELECT s1, cand, {_SETS_SQL.format(a='a', b='b', p='')} FROM p), need AS (SELECT only_a AS x, only_b AS y FROM z), {_lcs_sql('need')},
+r AS (SELECT s1, cand, round({_set_sql('shared', 'only_a', 'only_b', 'l')}, 6)::DOUBLE AS alike FROM z JOIN lcs ON x = only_a AND y = only_b)"""
+
+
+@query(f"{_ANCHOR_SQL} SELECT s1, cand, alike FROM r WHERE alike >= 95")
+def words_anchor_pairs(spark, sf_dir):
+    s1, pool, _ = fx.corpus(spark, sf_dir)
+    key = lambda df: df.withColumns({"key": F.regexp_replace(F.lower("addr"), "^0+", ""), "name_n": text.BLOCK_NAME(F.col("name"))})
+    return wordlists.anchor_pairs(key(s1), key(pool), ["key"])
+
+
+_PLACES = {"troy": "NY", "salem": "TN", "lille": "HDF", "portland": "OR", "billings": "MT"}
+_KNOWN = {"new york": "NY", "tamil nadu": "TN"}
+_PARTS = "list_transform(string_split(regexp_replace(lower(addr), '^0*[0-9]+ ', ''), ','), lambda c: trim(c))"
+
+
+@query(f"""WITH {fx.WITH}, d AS (SELECT cand AS id, {_PARTS} AS parts FROM er_pool WHERE addr <> ''), e AS (SELECT id, len(list_filter(parts, lambda c: {_map(_KNOWN)}[c] IS NOT NULL)) > 0 AS named, unnest(list_distinct(parts)) AS part FROM d),
+v AS (SELECT id, min({_map(_PLACES)}[part]) AS area FROM e WHERE {_map(_PLACES)}[part] IS NOT NULL GROUP BY id HAVING count(DISTINCT {_map(_PLACES)}[part]) = 1), o AS (SELECT * FROM e WHERE {_map(_KNOWN)}[part] IS NULL AND {_map(_PLACES)}[part] IS NULL),
+t AS (SELECT part, count(*) AS n_all, avg(named::INTEGER) AS beside FROM o GROUP BY part), g AS (SELECT part, area, count(*) AS n FROM o JOIN v USING (id) GROUP BY part, area),
+r AS (SELECT *, sum(n) OVER (PARTITION BY part) AS t, row_number() OVER (PARTITION BY part ORDER BY n DESC, area) AS k FROM g)
+SELECT part AS alias, area, n::BIGINT AS n FROM r JOIN t USING (part) WHERE k = 1 AND n >= 10 AND n >= 0.9 * r.t AND n >= 0.5 * n_all AND beside < 0.2""")
+def words_area_aliases(spark, sf_dir):
+    _, pool, _ = fx.corpus(spark, sf_dir)
+    parts = F.transform(F.split(F.regexp_replace(F.lower("addr"), "^0*[0-9]+ ", ""), ","), lambda c: F.trim(c))
+    places = spark.createDataFrame(list(_PLACES.items()), "place string, area string")
+    return wordlists.area_aliases(pool.filter("addr <> ''").select(F.col("cand").alias("id"), parts.alias("parts")), _KNOWN, places, least=10)
+
+
+@query(f"""WITH {fx.WITH}, w AS (SELECT s1, country, unnest({_toks(text.BLOCK_NAME.sql('name'))}) AS w FROM er_s1), u AS (SELECT s1, country, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS n FROM w), v AS (SELECT *, unnest(range(1, greatest(len(p) + 1 - n, 1) + 1)) AS i FROM u),
+g AS (SELECT DISTINCT s1, country, substr(p, i, n) AS g FROM v), s AS (SELECT country, count(*) AS n FROM er_s1 GROUP BY country)
+SELECT country, g, count(*)::BIGINT AS df, round(ln((1 + any_value(n)) / (1 + count(*))) + 1, 6) AS idf FROM g JOIN s USING (country) GROUP BY country, g""")
+def words_gram_idf(spark, sf_dir):
+    s1, _, _ = fx.corpus(spark, sf_dir)
+    return features.gram_idf(s1.select("country", text.BLOCK_NAME(F.col("name")).alias("n")), "n", "country").select("country", "g", "df", _r("idf").alias("idf"))
+
+
+# ---------------------------------------------------------------- learning
+@query(f"""WITH {_CRC}, k AS (SELECT p_partkey, hex(encode('name:' || p_name)) AS x FROM part)
+SELECT p_partkey, (xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || [('0x' || substr(x, 2 * i + 1, 2))::UBIGINT for i in range(length(x) // 2)], lambda a, y: xor(a >> 8, t[((xor(a, y) & 255) + 1)::BIGINT]))) % 3)::INTEGER AS fold FROM k, crc_table""")
+def learn_group_folds(spark, sf_dir):
+    return learning.group_folds(_table(spark, sf_dir, "part"), "p_name").select("p_partkey", "fold")
+
+
+@query("SELECT s1, cand, round(1.0 / count(*) OVER (PARTITION BY s1), 9)::DOUBLE AS weight FROM pairs", "pairs")
+def learn_balanced_weights(spark, sf_dir):
+    return learning.balanced_weights(fx.pairs(spark, sf_dir)).select("s1", "cand", _r("weight", 9).alias("weight"))
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    p = fx.pairs(spark, sf_dir)
+    return p.select("s1", "cand", "label", "p", (F.col("p") * 0.5 + 0.2).alias("q"), (((F.col("cand") * 31) % 97 + 1) / 100.0).alias("r"))
+
+
+@query()
+def learn_blends(spark, sf_dir):
+    """Weights on the simplex, by grid and by gradient, and the mean of a logistic blend: one row per method (tests hold the gradient against the grid)."""
+    x = stage(_scores(spark, sf_dir), "scores")
+    rows = [("grid", *learning.simplex_blend(x, ["p", "q", "r"], "label", 4).values()), ("gradient", *learning.simplex_fit(x, ["p", "q", "r"], "label", 8).values())]
+    mean = learning.platt(x, ["p", "q"], "label", "blend").agg(F.avg("blend")).first()[0]
+    return spark.createDataFrame([(m, *map(float, w), float(mean)) for m, *w in rows], "method string, p double, q double, r double, blend_mean double")
+
+
+@query()
+def learn_count_model(spark, sf_dir):
+    """p_single and the expected number of matches per anchor (a test holds them against a known rule)."""
+    p = fx.pairs(spark, sf_dir)
+    a = p.groupBy("s1").agg(F.max("p").alias("pmax"), F.sum("p").alias("psum"), F.sum("label").cast("int").alias("m"))
+    return learning.count_model(a, ["pmax", "psum"], "m").select("s1", _r("p_single").alias("p_single"), _r("n_expected").alias("n_expected"))
+
+
+@query(f"""WITH {_BASE_SQL}, f AS (SELECT name_n, count(*) AS n FROM a GROUP BY name_n)
+SELECT s1, cand, coalesce(f.n, 0)::BIGINT AS full_form_s1_count, len(list_intersect({_toks('a.name_core')}, {_toks('b.name_core')}))::INTEGER AS n_core_shared, (a.name_core = b.name_core)::INTEGER AS core_eq, (a.addr_n = b.addr_n)::INTEGER AS addr_eq, (b.addr_n = '')::INTEGER AS addr_empty_2,
+  (a.country = 'India')::INTEGER AS india, list_contains({_toks('b.name_n')}, 'llc')::INTEGER AS has_llc, list_contains({_toks('b.name_n')}, 'sarl')::INTEGER AS has_sarl FROM pairs JOIN a USING (s1) JOIN b USING (cand) LEFT JOIN f ON f.name_n = b.name_n""")
+def learn_specialist_features(spark, sf_dir):
+    s1, pool, _ = fx.corpus(spark, sf_dir)
+    a, b = records.views(s1), records.views(pool)
+    side = lambda df, i, k: df.select(i, *[F.col(c).alias(f"{c}_{k}") for c in ("name_n", "name_core", "addr_n")])
+    x = fx.pairs(spark, sf_dir).select("s1", "cand", "country").join(side(a, "s1", 1), "s1").join(side(b, "cand", 2), "cand")
+    out = learning.specialist_features(x, a, ["llc", "sarl"])
+    return out.select("s1", "cand", "full_form_s1_count", "n_core_shared", "core_eq", "addr_eq", "addr_empty_2", "india", "has_llc", "has_sarl")
+
+
 # ---------------------------------------------------------------- evaluation
 _SETS = "SELECT 'anchor' AS set, s1, cand FROM pairs WHERE label = 1 UNION ALL SELECT 'decoy', s1, cand FROM pairs WHERE label = 0 AND cand % 4 >= 2"
 

@@ -278,10 +278,10 @@ def test_the_chain_finds_the_truth(spark):
 
 def test_number_features_of_examples(spark):
     rows = [("12 elm", "21 elm"), ("0012 elm", "12 elm"), ("", ""), ("Unit 4 elm", "4b"), (None, "7")]
-    x = spark.createDataFrame(rows, "a string, b string")
-    f = numbers.pair(numbers.parse(F.col("a")), numbers.parse(F.col("b")))
-    got = x.select(*[c.alias(k) for k, c in f.items()]).collect()
-    assert list(f) == numbers.FEATURES and len(f) == 35
+    x = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    found = numbers.number_features(x.withColumn("i", F.monotonically_increasing_id()), "a", "b", ["i"])
+    got = found.orderBy("i").collect()
+    assert found.columns == ["i", *numbers.FEATURES] and len(numbers.FEATURES) == 35
     assert (got[0].nf_transposition, got[0].nf_digit_damerau, got[0].nf_digit_lev, got[0].nf_alpha_equal) == (1, 1, 2, 1)
     assert (got[1].nf_zero_equal, got[1].nf_substring, got[1].nf_shared_suffix) == (1, 1, 2)
     assert (got[2].nf_digit_lev, got[2].nf_alpha_ratio, got[2].nf_count1, got[2].nf_firstpos1) == (-1, -1, 0, -1)
@@ -294,3 +294,31 @@ def test_bootstrap_draws_groups_whole(spark):
     got = [r["mean"] for r in evaluate.bootstrap_sums(df, 200, "g").collect()]
     assert abs(np.mean(got) - 19.5) < 0.6 and 1.2 < np.std(got) < 2.6
     assert sorted(got) == sorted(r["mean"] for r in evaluate.bootstrap_sums(df.repartition(5), 200, "g").collect())
+
+
+def test_gradient_weights_are_no_worse_than_the_grid(spark):
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 600)
+    rows = [(int(v), *(float(np.clip(0.5 + s * (v - 0.5) + rng.normal() * n, 0.02, 0.98)) for s, n in ((0.5, 0.15), (0.3, 0.1), (0.0, 0.2)))) for v in y]
+    df = spark.createDataFrame(rows, "y int, a double, b double, c double").cache()
+    loss = lambda w: learning.ranking_metrics(df.withColumn("p", text.expit(sum((F.lit(w[k]) * text.logit(F.col(k)) for k in "abc"), F.lit(0.0)))), "p", "y").first().logloss
+    grid, fit = learning.simplex_blend(df, list("abc"), "y", 4), learning.simplex_fit(df, list("abc"), "y", 10)
+    assert sum(fit.values()) == pytest.approx(1) and min(fit.values()) >= 0 and loss(fit) <= loss(grid) + 1e-6
+
+
+def test_row_numbers_over_any_key(spark):
+    df = spark.createDataFrame([(f"k{(i * 7919) % 1000:04d}",) for i in range(1000)], "k string").repartition(7)
+    assert [r.row for r in keys.row_index(df, "k").orderBy("k").collect()] == list(range(1000))
+
+
+def test_pack_switches(spark):
+    df = spark.createDataFrame([("a", "Café France", "98 bis st. martin, nord", "France"), ("b", "Café", "98b ste-anne, nord", "France")], "i string, name string, addr string, country string")
+    full = {r.i: r for r in records.pack_views(df, {"nord": "hdf"}, ["france"]).collect()}
+    assert (full["a"].hn_sfx, full["a"].adm, full["a"].f_ctag, full["a"].name_n) == ("b", "hdf", True, "cafe") and "saint martin" in full["a"].addr_n and "hdf" in full["a"].addr_n
+    none = {r.i: r for r in records.pack_views(df, {"nord": "hdf"}, ["france"], use=()).collect()}
+    plain = {r.i: r for r in records.views(df).collect()}
+    assert all(none[i].name_n == plain[i].name_n and none[i].addr_n == plain[i].addr_n for i in "ab")
+    kept = {r.i: r for r in records.pack_views(df, {"nord": "hdf"}, ["france"], use=("saint", "suffix_token")).collect()}
+    assert all("sfxb" in kept[i].addr_n.replace(" ", "") for i in "ab")
+    swapped = records.pack_views(df, {}, [], use=("streets", "legal", "lexicon"), streets={"st.": "rue"}, legal=["cafe"], words={"cafe": "bistro"}).filter("i = 'b'").first()
+    assert swapped.name_n == "bistro"
