@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from .keys import bucket
 
 # ---- Fixed values ----
 OFFSETS = (1, 2, 3, 4, 5, 7, 9, 11, 13, 21)
@@ -141,6 +142,13 @@ def gram_vectors(df: DataFrame, id_col: str, text_col: str, low: int = 3, high:
     return vec.select(id_col, F.transform_values("m", lambda k, v: v / F.col("norm")).alias("grams"))
 
 
+def hashed_vectors(df: DataFrame, id_col: str, text_col: str, size: int = 64, low: int = 3, high: int = 5) -> DataFrame:
+    """(id, vec): letter runs counted in `size` buckets of their hash, as a vector of length 1: an encoder that needs no training. Rows without words have none."""
+    each = df.select(id_col, F.explode(_grams(text_col, low, high)).alias("g")).groupBy(id_col, bucket(F.col("g"), size).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    per = each.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
+    return per.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("norm")).alias("vec"))
+
+
 def gram_idf(df: DataFrame, text_col: str, by: str, low: int = 3, high: int = 5) -> DataFrame:
     """(by, g, df, idf): the letter runs of blank-padded words, in how many rows of the group each stands, and ln((1 + n) / (1 + df)) + 1."""
     each = df.select(by, F.explode(F.array_distinct(_grams(text_col, low, high))).alias("g")).groupBy(by, "g").agg(F.count(F.lit(1)).alias("df"))

@@ -498,6 +498,16 @@ def block_training_pairs(spark, sf_dir):
     return blocking.training_pairs(truth, s1, pool)
 
 
+@query(f"""WITH {fx.WITH}, w AS (SELECT s1, unnest({_toks(text.BLOCK_NAME.sql('name'))}) AS w FROM er_s1), u AS (SELECT s1, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS n FROM w), v AS (SELECT *, unnest(range(1, greatest(len(p) + 1 - n, 1) + 1)) AS i FROM u),
+g AS (SELECT s1, (('0x' || substr(md5(substr(p, i, n)), 1, 8))::BIGINT % 16)::INTEGER AS b, count(*) AS n FROM v GROUP BY ALL), z AS (SELECT s1, sqrt(sum(n * n)) AS norm FROM g GROUP BY s1)
+SELECT s1, b, round(n / norm, 6) AS weight FROM g JOIN z USING (s1)""")
+def block_hashed_vectors(spark, sf_dir):
+    """Hashed letter runs as vectors; zeros left out here."""
+    s1, _, _ = fx.corpus(spark, sf_dir)
+    v = features.hashed_vectors(s1.select("s1", text.BLOCK_NAME(F.col("name")).alias("n")), "s1", "n", 16)
+    return v.select("s1", F.posexplode("vec").alias("b", "weight")).filter("weight > 0").select("s1", "b", _r("weight").alias("weight"))
+
+
 # ---------------------------------------------------------------- decisions
 _EV = "SELECT s1, cand, (cand % 7) / 7.0 AS z_std, (cand % 3 = 0)::INTEGER AS missing_gate, 1 AS num_first_both, (cand % 2)::INTEGER AS num_first_eq FROM pairs WHERE cand % 5 <> 0"
 
@@ -635,6 +645,14 @@ def learn_blends(spark, sf_dir):
     return spark.createDataFrame([(m, *map(float, w), float(mean)) for m, *w in rows], "method string, p double, q double, r double, blend_mean double")
 
 
+@query()
+def learn_row_model(spark, sf_dir):
+    """The model that tells anchors without matches, out of fold, on the row features of their candidates."""
+    p = keys.with_max_other(fx.pairs(spark, sf_dir), "cand", "p", "s1", "p_other", -1.0).withColumn("elig", F.col("p") >= F.col("p_other"))
+    x = decide.row_features(p).join(p.groupBy("s1").agg((F.sum("label") == 0).cast("int").alias("empty")), "s1").withColumn("fold", keys.bucket(F.col("s1"), 2))
+    return learning.cross_fit(x, ["r_p1", "r_p2", "r_gap12", "r_sum", "r_nelig"], "empty", "fold", rounds=5, depth=2, out="p_empty").select("s1", "empty", _r("p_empty").alias("p_empty"))
+
+
 @query()
 def learn_count_model(spark, sf_dir):
     """p_single and the expected number of matches per anchor (a test holds them against a known rule)."""
