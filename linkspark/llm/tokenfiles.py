@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc32, keyed, materialise, numbered, positions, scratch_path, sliced
-from .tokens import WordPieces
+from .tokens import WordPieces, packed
 
 MAGIC, VERSION = 0x4C4C4D544F4B4944, 1
 MANIFEST = "file int, path string, n_docs long, n_tokens long"
@@ -46,10 +46,15 @@ class Writer:
         self.ends, self.ids, self.nulls = [0], [], []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.out.write(ids.astype(self.kind).tobytes())
-        self.ends.append(self.ends[-1] + len(ids))
-        self.ids.append(0 if doc_id is None else doc_id)
-        self.nulls.append(doc_id is None)
+        self.add_all([doc_id], [ids.astype(self.kind).tobytes()])
+
+    def add_all(self, doc_ids: list[int | None], raw: list[bytes]) -> None:
+        """Documents whose ids are already in the file's form."""
+        self.out.write(b"".join(raw))
+        for doc_id, r in zip(doc_ids, raw):
+            self.ends.append(self.ends[-1] + len(r) // self.width)
+            self.ids.append(0 if doc_id is None else doc_id)
+            self.nulls.append(doc_id is None)
 
     def close(self) -> tuple[str, int, int]:
         self.out.close()
@@ -60,7 +65,7 @@ class Writer:
 
 
 class Reader:
-    """A pair of files; ids(i) is a view of the mapped file."""
+    """A pair of files; ids(i) is a view of the mapped file. Files that are not of this format, or whose offsets disagree with their length, are refused."""
 
     def __init__(self, uri: str):
         fs, path = _fs(uri)
@@ -107,12 +112,11 @@ def write(df: DataFrame, tokenizer: str, folder: str | None = None, key_col: str
     width = 2 if _vocabulary(tokenizer, end_id) <= 1 << 16 else 4
 
     def run(batches):
-        files, coder = None, WordPieces.of_worker(tokenizer)
+        files, coder, end = None, WordPieces.of_worker(tokenizer, width), packed([end_id], width)
         for batch in batches:
             for part in sliced(batch, 1):
                 files = files or Writer(folder, TaskContext.get().partitionId(), width)
-                for doc_id, raw in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
-                    files.add(doc_id, np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id)))
+                files.add_all(part.column(0).to_pylist(), [raw + end for raw in coder.encode(part.column(1).to_pylist())])
         if files:
             uri, n, total = files.close()
             yield pa.RecordBatch.from_pydict({"file": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [uri], "n_docs": [n], "n_tokens": [total]})

@@ -7,8 +7,10 @@ import os
 import re
 import sys
 import types
+from array import array
+from operator import attrgetter
 
-import numpy as np
+_ID = attrgetter("id")
 
 #: Latin letters; every one is a letter for the library as well, none combines with its neighbours.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -63,6 +65,32 @@ class BoundedCache(dict):
         return value
 
 
+class Computed(BoundedCache):
+    """A bounded cache that computes what it lacks. What it has no room for goes to a second one, half as large, that starts anew when a batch finds it full."""
+
+    def __init__(self, most: int, make):
+        super().__init__(most)
+        self.make, self.spare = make, {}
+
+    def of_batch(self) -> Computed:
+        if len(self.spare) > self.most // 2:
+            self.refused += len(self.spare)
+            self.spare.clear()
+        if self.refused > 10 * self.most:
+            self.clear()
+            self.refused = 0
+        return self
+
+    def __missing__(self, key):
+        if (value := self.spare.get(key)) is None:
+            value = self.make(key)
+            if len(self) < self.most:
+                self[key] = value
+            else:
+                self.spare[key] = value
+        return value
+
+
 def per_worker(key, make):
     """make(), once per Python worker: the tasks that follow in the worker share it. A worker holds one such object, the last asked for."""
     holder = sys.modules.setdefault("_corpus_worker_state", types.ModuleType("_corpus_worker_state"))
@@ -81,8 +109,16 @@ def byte_letters() -> dict[int, str]:
     return {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
 
 
+def packed(ids: list[int], width: int = 4) -> bytes:
+    """Little-endian unsigned numbers of 2 or 4 bytes."""
+    out = array("H" if width == 2 else "I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordPieces:
-    """Ids, as little-endian unsigned 32-bit bytes, of a tokenizer that drops white space and marks word ends.
+    """Ids, as little-endian unsigned numbers of `width` bytes, of a tokenizer that drops white space and marks word ends.
 
     Cuts: at blanks and line feeds (dropped by the model; nothing composes across them), and between a word of
     Latin letters and trailing full stops or commas (the pre-tokenizer ends a letter run there). A plain word goes to
@@ -92,39 +128,41 @@ class WordPieces:
 
     _plain = re.compile(f"([{LETTERS}]+)([.,]*)")
 
-    def __init__(self, path: str, most: int = 150_000):
-        self.tok = load(path)
+    def __init__(self, path: str, most: int = 450_000, width: int = 4):
+        self.tok, self.width = load(path), width
         self.letters = byte_letters()
-        self.chunks, self.words = BoundedCache(most), BoundedCache(most)
+        self.chunks, self.words, self.tails = Computed(most, self._chunk), BoundedCache(most // 2), BoundedCache(1000)
         refuse_unless(self.encode(list(PROBES)) == [self._raw(t) for t in PROBES], path)
 
     @classmethod
-    def of_worker(cls, path: str) -> WordPieces:
-        return per_worker(("word pieces", path), lambda: cls(path))
+    def of_worker(cls, path: str, width: int = 4) -> WordPieces:
+        return per_worker(("word pieces", path, width), lambda: cls(path, width=width))
 
     def _raw(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return packed(self.tok.encode(text, add_special_tokens=False).ids, self.width)
+
+    def _word(self, w: str) -> bytes:
+        if (core := self.words.get(w)) is None:
+            # ASCII letters stand for themselves in the byte alphabet.
+            core = packed(list(map(_ID, self.tok.model.tokenize(w if w.isascii() else w.translate(self.letters)))), self.width)
+            self.words.keep(w, core)
+        return core
+
+    def _chunk(self, c: str) -> bytes:
+        body = c if c.isalpha() else c.rstrip(".,")
+        if not (body.isascii() and body.isalpha()):
+            if (m := self._plain.fullmatch(c)) is None:
+                return self._raw(c) if c else b""
+            body = m[1]
+        if len(body) == len(c):
+            return self._word(c.lower())
+        if (tail := self.tails.get(t := c[len(body) :])) is None:
+            tail = self.tails.keep(t, self._raw(t))
+        return self._word(body.lower()) + tail
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known, words, tokenize = self.chunks, self.words, self.tok.model.tokenize
-        known[""] = b""
-        missing = set().union(*chunks).difference(known)
-        fresh, tails = [], {"": b""}
-        for c in missing:
-            if (m := self._plain.fullmatch(c)) is None:
-                known[c] = self._raw(c)
-                continue
-            if (core := words.get(w := m[1].lower())) is None:
-                core = words[w] = np.array([t.id for t in tokenize(w.translate(self.letters))], dtype="<u4").tobytes()
-                fresh.append(w)
-            if (tail := tails.get(m[2])) is None:
-                tail = tails[m[2]] = self._raw(m[2])
-            known[c] = core + tail
-        out = [b"".join(map(known.__getitem__, cs)) for cs in chunks]
-        known.settle(missing)
-        words.settle(fresh)
-        return out
+        ids = self.chunks.of_batch().__getitem__
+        return [b"".join(map(ids, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 class BytePieceCounts:
@@ -177,9 +215,9 @@ class BytePieceCounts:
         known, words, tokenize = self.pieces, self.words, self.tok.model.tokenize
         missing = set().union(*[p for p in pieces if p]).difference(known)
         split = {p: self._plain.fullmatch(p) for p in missing}
-        fresh = {m[1] for m in split.values() if m}.difference(words)
+        fresh, blank = {m[1] for m in split.values() if m}.difference(words), self.letters[ord(" ")]
         for w in fresh:
-            words[w] = len(tokenize(w.translate(self.letters)))
+            words[w] = len(tokenize(blank + w[1:] if w.isascii() else w.translate(self.letters)))
         rest = sorted({p for p, m in split.items() if m is None} | {m[2] for m in split.values() if m and m[2]})
         other = dict(zip(rest, self._count_each(rest)))
         for p, m in split.items():
