@@ -74,7 +74,10 @@ def read_templates(folder: str) -> list[tuple[str, str]]:
 
 
 class Scanner:
-    """min_match: tokens of the shortest match that counts; max_gap: tokens between chained matches; cover: share of a template that names it."""
+    """min_match: tokens of the shortest match that counts; max_gap: tokens between chained matches; cover: share of a template that names it.
+
+    Templates without words name nothing; several may share a label. A null text scans as an empty one.
+    """
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES, min_match: int = 3, max_gap: int = 4, cover: float = 0.8):
         self.labels = [k for k, _ in templates]

@@ -203,7 +203,9 @@ def contents(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def classes(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """Connected components of links (a, b): one row (node, class) per node that has a link; class is the least node.
+    """Connected components of links (a, b): one row (node, class) per node that has a link to another; class is the least node.
+
+    Repeated links, links both ways and links to oneself change nothing; no links give no rows. Ids of any type with an order.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until nothing changes; each round is a written
     table, and a hot node is summed before the shuffle.
@@ -277,6 +279,7 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     edit but little else are told apart within the join by their sketches: as bits differ only where elements do, a pair
     with more differing bits than a similar pair may have differing elements is left out, and never one that is similar.
     Sets beyond about SKETCH_BITS / 2 * (1 + t) / (1 - t) / 2 elements are hardly told apart by it and go to the exact check.
+    Keys stand once, sets are not empty; sets of one class only, or none, give no pairs.
     """
     each = sets.select("k", "c", F.size("s").alias("n"), F.explode("s").alias("e"))
     rarity = each.groupBy("e").agg(F.count(F.lit(1)).alias("df"))

@@ -95,20 +95,29 @@ INNER = (
 ).split()
 
 
-@pytest.mark.parametrize("key", ["doc_id", "class_id", "size", "l_key", "k0", "score", "a.b"])
+@pytest.fixture(scope="module")
+def forty(spark, real):
+    """Forty real documents, and what each operator makes of them under plain names."""
+    data = spark.createDataFrame([(int(i), t, l, s) for i, t, l, s in real[["doc_id", "text", "lang", "source"]].head(40).itertuples(index=False)], "doc_id long, text string, lang string, source string")
+    return data, {}
+
+
+def as_set(df):
+    return {str(tuple(r)) for r in df.collect()}
+
+
+@pytest.mark.parametrize("key", ["class_id", "size", "l_key", "k0", "score", "a.b"])
 @pytest.mark.parametrize("name", ["sharding", "pieces", "neardup", "tokenfiles", "tokencounts", "decontaminate", "language", "quality", "licenses", "rules"])
-def test_clashing_names(name, key, spark, real):
+def test_clashing_names(name, key, spark, forty):
+    data, plain = forty
     if key == "a.b" and name == "tokenfiles":
         key = "n_tokens"
-    data = spark.createDataFrame([(int(i), t, l, s) for i, t, l, s in real[["doc_id", "text", "lang", "source"]].head(40).itertuples(index=False)], "doc_id long, text string, lang string, source string")
-    plain = {tuple(r) for r in operators(spark)[name](data).collect()} if name != "pieces" else None
+    if name not in plain:
+        plain[name] = as_set(operators(spark)[name](data))
     wide = data.withColumnsRenamed({"doc_id": key}).select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(INNER) if c not in (key, "lang", "source", "text")])
     got = operators(spark, key)[name](wide)
     assert len({c.lower() for c in got.columns}) == len(got.columns) and got.columns[0] == key
-    if plain is not None:
-        assert {tuple(r) for r in got.collect()} == plain
-    else:
-        assert got.count() == 40
+    assert as_set(got) == plain[name]
 
 
 def test_filters_under_clashing_names(spark, real):
@@ -248,6 +257,14 @@ def test_classes_equal_brute_force(spark, real):
     assert kept == sorted(set(got.values()))
 
 
+def test_recall_of_the_query_is_that_of_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    d = pd.read_parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in QUERIES["op3_minhash_near_dedup"](spark, sf).collect()}
+    want = brute_classes(sorted(zip(d.doc_id.tolist(), d.text)))
+    assert got == want
+
+
 def test_prefix_join_finds_what_bands_leave(spark):
     rng = np.random.default_rng(1)
     rows = []
@@ -488,6 +505,73 @@ def test_matching_statistics(text, query):
     assert m.phrases(query) == count
 
 
+def slow_phrases(text, symbols):
+    i = count = 0
+    while i < len(symbols):
+        k = 1
+        while i + k <= len(symbols) and symbols[i : i + k] in text:
+            k += 1
+        i += max(1, k - 1)
+        count += 1
+    return count
+
+
+def slow_language(texts, rates, text):
+    """The whole prediction by naive search: phrases, bits, winner, posterior, fit."""
+    symbols = language.plain(text)
+    if not symbols:
+        return "und", 0.0, 0.0
+    bodies = {k: "\n".join(v) for k, v in texts.items()}
+    n = {k: slow_phrases(b, symbols) for k, b in bodies.items()}
+    bits = {k: n[k] * math.log2(len(b) + 2) for k, b in bodies.items()}
+    best = min(bits, key=bits.get)
+    usual = rates[best] * len(symbols)
+    return best, 1 / sum(2 ** max(-1000, bits[best] - b) for b in bits.values()), min(1.0, (usual + 4 * math.sqrt(usual) + 2) / n[best])
+
+
+LANGUAGES = {
+    "en": (" the cat sat on the mat ", " a dog and the cat "), "de": (" der hund und die katze ", " das haus ist groß "), "fr": (" le chat est sur la table ", " la maison "),
+}
+RATES = {"en": 0.3, "de": 0.25, "fr": 0.28}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("acdehlmnorstu ßé.1漢\n", max_size=40), max_size=8))
+def test_predictions_equal_naive_search(texts):
+    parser = language.Parser(LANGUAGES, RATES)
+    want = [slow_language(LANGUAGES, RATES, t) for t in texts]
+    for got in (parser.predict_all(texts), [parser.predict(t) for t in texts]):
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1:] for g in got] == [pytest.approx(w[1:]) for w in want]
+    symbols = [x for t in texts if (x := language.plain(t))]
+    if symbols:  # in step, one by one, and both: no way of batching matters
+        assert parser.all_phrases(symbols, least=1).tolist() == parser.all_phrases(symbols, least=99).tolist() == parser.all_phrases(symbols, least=3).tolist()
+
+
+@pytest.mark.parametrize("learned", [["en", "de", "fr"], ["en", "de", "fr", "es"]])
+def test_texts_of_no_learned_language_are_rejected(spark, learned):
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    train = spark.createDataFrame(d[d.lang.isin(learned)][["doc_id", "text", "lang"]])
+    known = language.learn(train)
+    assert list(known.texts) and set(known.texts) == set(learned)
+    clean = d[d.lang.isin(learned) & (d.text.str.len() > 200)]
+    rng = np.random.default_rng(3)
+    strange = ["".join(rng.choice(list("bcdfgjkqvwxz"), 6)) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(clean.text.head(150))] + [(1000 + i, " ".join(strange[20 * i : 20 * i + 20])) for i in range(30)]
+    if "es" not in learned:
+        rows += [(2000 + i, t) for i, t in enumerate(d[(d.lang == "es") & (d.text.str.len() > 400)].text.head(40))]
+    kept = {r.doc_id for r in language.spoken(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert len(kept & set(range(1000))) >= 149 and not kept & set(range(1000, 2000)) and len(kept & set(range(2000, 3000))) <= 2
+
+
+def test_languages_are_learned_from_bounded_whole_texts(spark):
+    rows = [(i, f"wort{i} " * 40, "de") for i in range(3000)] + [(7, "same text here", "de")] * 500 + [(9000 + i, "x" * 30_000, "en") for i in range(3)] + [(9100, "short one", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language.learn(df, sample_docs=50, train_chars=5_000, most_text=2_000)
+    assert sum(map(len, known.texts["de"])) < 7_000 and all(t.count("wort") in (0, 40) for t in known.texts["de"])
+    assert language.learn(df.filter("lang is null")) == language.Languages({}, {})
+
+
 def test_held_out_languages(spark):
     sf = "/root/testdata/sf0.01"
     d = pd.read_parquet(f"{sf}/documents.parquet")
@@ -505,14 +589,92 @@ def test_language_inputs(spark, docs):
     assert language.Parser({}).predict("abc") == ("und", 0.0, 0.0) and language.Parser({"en": ("a",)}).predict("123") == ("und", 0.0, 0.0)
 
 
+def slow_spans(s: licenses.Scanner, templates, words):
+    """Chains by definition: passages found by naive search, all earlier chains looked at, none ever dropped for its age."""
+    tokens = [words_of(t) for t in templates]
+    n = len(words)
+    holds = lambda part: [(k, j) for k, t in enumerate(tokens) for j in range(len(t) - len(part) + 1) if t[j : j + len(part)] == part]
+    longest = [max((m for m in range(1, i + 2) if holds(words[i - m + 1 : i + 1])), default=0) for i in range(n)]
+    chains, kept = {}, {}
+    for i, m in enumerate(longest):
+        if m < s.min_match:
+            continue
+        for k, j in sorted(holds(words[i - m + 1 : i + 1])):
+            at = j + m - 1
+            goes_on = i + 1 < n and longest[i + 1] == m + 1 and at + 1 < len(tokens[k]) and tokens[k][at + 1] == words[i + 1]
+            if goes_on:
+                continue
+            begin, best = i - m + 1, (m, i - m + 1, i)
+            for place, (covered, first, last) in chains.get(k, {}).items():
+                over = max(0, last - begin + 1)
+                if begin - last <= s.max_gap + 1 and over < m and place < j + over and covered + m - over > best[0]:
+                    best = (covered + m - over, first, i)
+            old = chains.setdefault(k, {}).get(at)
+            if old is None or begin - old[2] > s.max_gap + 1 or best[0] >= old[0]:
+                chains[k][at] = best
+            if best[0] >= s.cover * len(tokens[k]):
+                out = kept.setdefault(k, [])
+                if out and best[1] <= out[-1][2]:
+                    out[-1] = max(out[-1], best, key=lambda x: x[0]) if best[0] > out[-1][0] else out[-1]
+                else:
+                    out.append(best)
+    return [(s.labels[k], first, last, covered / len(tokens[k])) for k in sorted(kept) for covered, first, last in kept[k]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(list("abcdex")), max_size=40))
+def test_licence_spans_equal_naive_search(words):
+    templates = ["a b c d e", "b c a b c d", "e e a b c", "a b a b a c", "d"]
+    s = licenses.Scanner([(f"l{k}", t) for k, t in enumerate(templates)], {"a b": "ab", "c": "cc"}, min_match=2, max_gap=2, cover=0.6)
+    assert s.spans(words) == slow_spans(s, templates, words)
+    places = sorted((i, label) for p, label in (("a b", "ab"), ("c", "cc")) for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+    assert sorted(s.places_of(words)) == places
+    n, base, first, last, bl, labels_, score = s.scan(" ".join(words))
+    spans = slow_spans(s, templates, words)
+    assert (n, base, first, last) == (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None)
+    assert bl == ",".join(sorted({x for _, x in places})) and labels_ == ",".join(sorted({x for _, x in places} | {x[0] for x in spans}))
+    assert score == (1.0 if places else max((x[3] for x in spans), default=0.0))
+
+
+def test_licence_places_on_real_texts(spark, real):
+    got = {r.doc_id: r for r in QUERIES["op9_license_scan"](spark, SF).collect()}
+    for i, t in zip(real.doc_id.tolist(), real.text):
+        w = words_of(t)
+        places = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
+
+
 def test_licences():
     s = licenses.Scanner()
     n, base, first, last, bl, labels_, score = s.scan("x. This work is licensed under the GNU General Public License, version 3. All rights reserved. All rights reserved")
     assert (base, first, last, bl, score) == (3, 8, 16, "gpl,reserved", 1.0) and labels_ == "gpl,gpl-notice,reserved"
     assert s.scan("foo Licensed under the Apache License, Version 2.0. bar")[5] == "apache-2.0"
-    assert s.scan("Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and associated documentation files")[5] == "mit"
+    assert s.scan("Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom")[5] == "mit"
     assert s.scan("the software is under a version of it")[3:] == (None, "", "", 0.0)
     assert s.scan(None) == (0, 0, None, None, "", "", 0.0)
+    for label, template in licenses.TEMPLATES:
+        found = s.scan(f"Copyright 2026 Somebody\n{template}\nint main")
+        assert label in found[5].split(",") and found[6] == 1.0
+    bsd = dict((k, t) for k, t in licenses.TEMPLATES if k.startswith("bsd-"))
+    assert "bsd-3-clause" not in s.scan(bsd["bsd-2-clause"])[5] and "bsd-2-clause" in s.scan(bsd["bsd-2-clause"])[5]
+
+
+def test_long_repetitive_texts_take_linear_time():
+    import time
+
+    s = licenses.Scanner()
+    began = time.time()
+    s.scan("under the terms of the " * 100_000)
+    s.scan((licenses.TEMPLATES[0][1] + " ") * 4_000)
+    assert time.time() - began < 10
+
+
+def test_more_templates_from_a_folder(tmp_path):
+    (tmp_path / "House-1.0").write_text("You may look at this house but not take it away with you")
+    s = licenses.Scanner(licenses.TEMPLATES + licenses.read_templates(tmp_path))
+    assert s.scan("note: you may look at this house but not take it away with you.")[5] == "house-1.0"
 
 
 # ---------------------------------------------------------------- 8 quality
@@ -524,6 +686,63 @@ def test_held_out_quality(spark):
     assert (held.predicted == held.quality).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def slow_statistics(t):
+    """The features from their names, character by character."""
+    words = (t or "").split()
+    if not words:
+        return [0.0] * len(quality.FEATURES)
+    raw, lines = t.encode(), [x for x in t.split("\n") if x.strip()]
+    share = lambda chars: sum(bytes([b]) in [c.encode() for c in chars] for b in raw) / len(raw)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    starts = [x for k, x in enumerate(t.split("\n")) if x and (x[0] in "abcdefghijklmnopqrstuvwxyz" or "à" <= x[0] <= "ö" or "ø" <= x[0] <= "ÿ")]
+    ends = sum(c in "#*$%&!|<>" and (i + 1 == len(t) or t[i + 1].isspace()) for i, c in enumerate(t))
+    return [
+        math.log(1 + len(words)), (len(t) - len(words)) / len(words), max(map(len, words)), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share("#$%&*<>"), share("!"), share("|"), t.count(".") / len(words),
+        sum(b > 127 for b in raw) / len(raw), len(words) / len(lines), 1 - len(set(lines)) / len(lines), len(set(words)) / len(words), 1 - len(set(grams)) / max(1, len(words) - 2) if len(words) > 2 else 0.0,
+        len(starts) / len(lines), ends / len(words),
+    ]
+
+
+def test_statistics_equal_brute_force(real):
+    texts = [t for t in ODD_TEXTS if (not t or len(t) < 3000) and "\x1c" not in (t or "")] + real.text[real.text.str.len() < 3000].head(60).tolist()
+    for t in texts:
+        assert list(quality.statistics(t)) == pytest.approx(slow_statistics(t)), t
+
+
+def test_trees_split_at_the_best_gain_and_the_lasso_is_optimal():
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 6, (300, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3)).astype(float)
+    g, h = y - y.mean(), np.full(300, y.mean() * (1 - y.mean()))
+    bins = [np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 49), method="lower")) for f in range(3)]
+    coded = np.stack([np.searchsorted(bins[f], x[:, f], side="left") for f in range(3)], axis=1)
+    paths, values = [], np.zeros(300)
+    quality._grow(x, bins, coded, g, h, 1, 5, (), np.arange(300), paths, values, 1.0)
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1)
+    every = {(f, t): gain(x[:, f] <= t) for f in range(3) for t in bins[f] if 5 <= (x[:, f] <= t).sum() <= 295}
+    f, _, t = paths[0][0]
+    assert every[f, t] == pytest.approx(max(every.values()))
+    # Optimality of the lasso over the rules: the gradient of a weight that is not zero is the penalty, of one that is zero at most that.
+    penalty = 0.01
+    m = quality.fit(x, y, trees=8, depth=2, penalty=penalty, rounds=4000)
+    rules = [r.holds(x).astype(float) for r in m.rules]
+    assert rules
+    r = m.score(x) - y
+    for held, rule in zip(rules, m.rules):
+        scale = max(held.std(), 0.02)
+        grad = ((held - held.mean()) / scale * r).mean()
+        assert grad == pytest.approx(-math.copysign(penalty, rule.weight), abs=2e-4)
+    assert abs(r.mean()) < 1e-3
+
+
+def test_quality_sample_is_bounded_when_keys_repeat(spark):
+    rows = [(1, f"text {i} " * 5) for i in range(400)] + [(2, "same")] * 300
+    lab = labels(spark, [(1, 1, 0), (2, 0, 0)])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality.classify(df, lab)
+    assert got.count() == 700 and got.filter("doc_id = 2").select("score").distinct().count() == 1
+
+
 def test_rules_as_columns_score_alike(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(800, 4)).round(4)
@@ -610,6 +829,79 @@ def test_spread_sets_the_fences_on_both_sides(spark):
     assert not any(got[k][1] for k in range(1000, 1003))
 
 
+def slow_fences(rows, reach=6.0, prior=quality_rules.PRIOR):
+    """Fences by definition: per group the counts of buckets, those of the language added as `prior` rows, quartiles, widths."""
+    gamma = (1 + quality_rules.ALPHA) / (1 - quality_rules.ALPHA)
+    stats = list(quality_rules.STATS)
+
+    def bucket(v):
+        return 0 if v <= quality_rules.FLOOR else math.ceil(math.log(v / quality_rules.FLOOR) / math.log(gamma))
+
+    def value(b):
+        return 0.0 if b == 0 else quality_rules.FLOOR * gamma**b * 2 / (1 + gamma)
+
+    def counts(group):
+        out = {s: collections.Counter() for s in stats}
+        for r in group:
+            for s in stats:
+                out[s][bucket(r[s])] += 1
+        return out
+
+    def add(own, wider):
+        out = {}
+        for s in stats:
+            total = sum(wider[s].values())
+            out[s] = collections.Counter({b: n * quality_rules.UNITS for b, n in own[s].items()})
+            for b, n in wider[s].items():
+                out[s][b] += math.floor(prior * quality_rules.UNITS * (n / total))
+        return out
+
+    def quantile(c, q):
+        total, below = sum(c.values()), 0
+        for b in sorted(c):
+            below += c[b]
+            if below >= math.ceil(q * total):
+                return value(b)
+
+    def spans(c):
+        q1, q2, q3 = (quantile(c, q) for q in (0.25, 0.5, 0.75))
+        return q2, 2 * reach * (q2 - q1), 2 * reach * (q3 - q2)
+
+    rows = [r for r in rows if r["n_words"] > 0]
+    every = counts(rows)
+    langs = {k: add(counts([r for r in rows if r["m_lang"] == k]), every) for k in {r["m_lang"] for r in rows}}
+    out = {}
+    for lang, source in {(r["m_lang"], r["m_source"]) for r in rows}:
+        own = add(counts([r for r in rows if (r["m_lang"], r["m_source"]) == (lang, source)]), langs[lang])
+        for s in stats:
+            floor = quality_rules.STATS[s]
+            (m, up, down), (lm, lup, ldown) = spans(own[s]), spans(langs[lang][s])
+            up, lup = (w if w > 0 else floor for w in (up, lup))
+            out[lang, source, f"f_{s}"] = min(m + up, lm + lup + lup)
+            if s in quality_rules.LOW:
+                down, ldown = (w if w > 0 else floor for w in (down, ldown))
+                out[lang, source, f"g_{s}"] = max(min(m - down, lm - ldown), lm - ldown - ldown)
+    return out
+
+
+def test_fences_equal_brute_force(spark):
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").head(400)
+    rows = [(int(r.doc_id), r.text, None if i % 17 == 0 else r.lang, None if i % 13 == 0 else r.source) for i, r in enumerate(d.itertuples())] + [(9000, "one two three", "xx", "lone"), (9001, None, "xx", "lone")]
+    m = quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id", "text", "lang", "source")
+    got = quality_rules.thresholds(m, 6.0, quality_rules.PRIOR).collect()
+    want = slow_fences([r.asDict() for r in m.collect()])
+    assert {(r.t_lang, r.t_source, c): r[c] for r in got for c in r.asDict() if c[:2] in ("f_", "g_")} == {k: pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in want.items()}
+
+
+def test_small_groups_follow_their_language_without_a_switch(spark):
+    rng = np.random.default_rng(5)
+    base = noisy(rng, 400, 0, "en", "big", 0)
+    fence = lambda n: {r.t_source: r.f_mean_word for r in quality_rules.thresholds(quality_rules.measured(
+        spark.createDataFrame([r[:4] for r in base] + [(5000 + i, "abcdefghijkl " * 20, "en", "long") for i in range(n)], "doc_id long, text string, lang string, source string"), "doc_id", "text", "lang", "source"), 6.0, quality_rules.PRIOR).collect()}
+    steps = [fence(n) for n in (2, 99, 101)]
+    assert steps[0]["long"] == pytest.approx(steps[0]["big"], rel=0.05) and steps[1]["long"] == pytest.approx(steps[2]["long"], rel=0.05)
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(17,), (None,), (-3,)], "k long").select("k", fold_col(F.col("k")).alias("f")).collect()
     assert [r.f for r in rows] == [zlib.crc32(b"17") % 5, 0, zlib.crc32(b"-3") % 5]
