@@ -53,21 +53,25 @@ class Parser:
     def __init__(self, texts: dict[str, tuple[str, ...]], rates: dict[str, float] | None = None):
         self.names = list(texts)
         self.rates = rates or {}
-        # A mark between texts that no plain text holds: no phrase runs from one text into another.
-        machines = [SuffixAutomaton().extend("\n".join(texts[k])) for k in self.names]
-        self.bits = [math.log2(m.size + 2) for m in machines]  # to name a place in this language's text
-        alphabet = sorted({c for m in machines for c in m.next[0]} - {"\n"})
+        alphabet = sorted({c for v in texts.values() for t in v for c in t})
         self.width = len(alphabet) + 1  # the last code: a symbol of no language
         self.codes = np.full(0x110000, self.width - 1, dtype=np.uint16)
         self.codes[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
-        self.roots = np.cumsum([0, *(len(m.next) for m in machines)])[:-1].astype(np.int64)
-        self.table = np.full((sum(len(m.next) for m in machines), self.width), -1, dtype=np.int32)
-        for root, m in zip(self.roots.tolist(), machines):
-            for state, after in enumerate(m.next, root):
+        self.bits, roots, parts, held = [], [], [], 0
+        for k in self.names:  # one automaton at a time: as objects it takes far more room than as a table
+            # A mark between texts that no plain text holds: no phrase runs from one text into another.
+            machine = SuffixAutomaton().extend("\n".join(texts[k]))
+            self.bits.append(math.log2(machine.size + 2))  # to name a place in this language's text
+            part = np.full((len(machine.next), self.width), -1, dtype=np.int32)
+            for state, after in enumerate(machine.next):
                 for c, to in after.items():
                     if c != "\n":
-                        self.table[state, self.codes[ord(c)]] = root + to
-        self.flat = self.table.reshape(-1)
+                        part[state, self.codes[ord(c)]] = held + to
+            roots.append(held)
+            held += len(part)
+            parts.append(part.reshape(-1))
+        self.roots = np.array(roots, dtype=np.int64)
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
 
     def phrases(self, symbols: str) -> list[int]:
         return self.all_phrases([symbols])[0].tolist()
@@ -108,28 +112,19 @@ class Parser:
         return out
 
     def _finish(self, state: int, root: int, codes: list[int]) -> tuple[int, int]:
-        count, rows = 0, self._rows()
-        first = rows[root]
+        count, table, width = 0, memoryview(self.flat), self.width
+        at_root = root * width
         for c in codes:
-            after = rows[state].get(c)
-            if after is None:
+            after = table[state * width + c]
+            if after < 0:
                 count += state != root
-                after = first.get(c)
-                if after is None:
+                after = table[at_root + c]
+                if after < 0:
                     count += 1
                     after = root
             state = after
         return state, count
 
-    def _rows(self) -> list[dict[int, int]]:
-        """The table as one dict per state, made when the first text needs it."""
-        if not hasattr(self, "_dicts"):
-            self._dicts: list[dict[int, int]] = [{} for _ in range(len(self.table))]
-            at, code = np.nonzero(self.table >= 0)
-            for s, c, to in zip(at.tolist(), code.tolist(), self.table[at, code].tolist()):
-                self._dicts[s][c] = to
-        return self._dicts
-
     def fit(self, name: str, phrases: int, chars: int) -> float:
         """1 if the text takes no more phrases than text of the language does (with four deviations of chance and two phrases for short texts), else their ratio."""
         if not (rate := self.rates.get(name)):
