@@ -378,7 +378,7 @@ def test_neighbours_equal_brute_force(spark):
 
 
 #: Queries and how many joins they may send to all machines: tables of a row per word of a short list, per country or per rule.
-SENT = [("eval_mirror_estimate", 0), ("join_offset_range", 0), ("pat_neighbours", 0), ("pat_families", 0), ("pat_added_and_decoy_words", 1), ("feat_vector_cosines", 0), ("sim_gram_cosine", 0), ("block_training_pairs", 0)]
+SENT = [("eval_mirror_estimate", 0), ("join_offset_range", 0), ("pat_neighbours", 0), ("pat_families", 0), ("pat_added_and_decoy_words", 1), ("feat_vector_cosines", 0), ("sim_gram_cosine", 0), ("block_training_pairs", 0), ("sim_fuzzy_ratios", 0), ("feat_second_explainer", 0), ("pat_removal_rules", 0), ("pat_pattern_pairs", 0)]
 
 
 @pytest.mark.parametrize("name, most", SENT)
