@@ -4,6 +4,7 @@ import itertools
 import math
 import shutil
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -14,7 +15,7 @@ from linkspark.functions import batch, similarity, text
 from linkspark.operators import blocking, competition, decide, evaluate, keys, learning, numbers, patterns, records, wordlists
 from linkspark.operators import pairs as pair_ops
 from linkspark.plans import fixture, linkage
-from linkspark.plans.queries import QUERIES
+from linkspark.plans.queries import ORACLE_SQL, QUERIES
 from linkspark.sources import io
 
 SF = "/root/testdata/sf0.001"
@@ -386,6 +387,30 @@ def test_no_table_of_records_is_broadcast(spark, name, most):
     assert _broadcasts(QUERIES[name](spark, SF)) <= most
 
 
+#: Queries on neighbours and how many joins may have been sent to all machines once they ran.
+NEAR = [("pat_neighbours", 0)]
+
+
+@pytest.mark.parametrize("name, most", NEAR)
+def test_neighbours_of_copies_equal_sql_and_stay_off_the_driver(spark, tmp_path, name, most):
+    """Three copies on the same streets and three on others; the plan that ran counts, under a threshold that any file here is below."""
+    db = duckdb.connect()
+    copies = f"SELECT p.* REPLACE (p_partkey + i * 840 + i % 2 * 200000 AS p_partkey) FROM '{SF}/part.parquet' p, range(6) r(i)"
+    db.execute(f"COPY ({copies}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    assert db.execute("SELECT count(*) = count(DISTINCT p_partkey) FROM part").fetchone()[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        df = QUERIES[name](spark, str(tmp_path))
+        got = df.collect()
+        ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = db.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and want
+    assert "Final Plan" in ran and ran.count("BroadcastExchange") <= most
+
+
 def test_training_pairs_are_all_unless_bounded(spark):
     """More true pairs than any fixed bound: none is left out."""
     n = 160_000
