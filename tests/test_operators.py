@@ -388,7 +388,7 @@ def test_no_table_of_records_is_broadcast(spark, name, most):
 
 
 #: Queries on neighbours and how many joins may have been sent to all machines once they ran.
-NEAR = [("pat_neighbours", 0), ("pat_added_and_decoy_words", 1)]
+NEAR = [("pat_neighbours", 0), ("pat_added_and_decoy_words", 1), ("pat_families", 0)]
 
 
 @pytest.mark.parametrize("name, most", NEAR)
