@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, ascii_lower, keyed, map_texts, materialise, numbered, positions, sliced
+from .common import WORD_RE, ascii_lower, keyed, map_arrow, map_texts, materialise, numbered, positions, sliced
 from .tokens import BoundedCache, per_worker
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -175,7 +175,7 @@ def signature_table(source: DataFrame, bands: int, rows: int, weighted: bool) ->
                         names=["k", "content", "n", "bands"],
                     )
 
-    return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, content binary, n int, bands array<long>")
+    return map_arrow(source, run, f"k {source.schema['k'].dataType.simpleString()}, content binary, n int, bands array<long>")
 
 
 def shingle_sets(source: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def shingle_sets(source: DataFrame) -> DataFrame:
                 sets = [shingles.counted(t)[0].view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["k", "s"])
 
-    return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, s array<long>")
+    return map_arrow(source, run, f"k {source.schema['k'].dataType.simpleString()}, s array<long>")
 
 
 def contents(df: DataFrame, text_col: str) -> DataFrame:
@@ -267,7 +267,7 @@ def sketches(sets: DataFrame) -> DataFrame:
                 bits = np.packbits(odd, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(bits[:, i].copy()) for i in range(words)]], names=["k", *names])
 
-    return sets.select("k", "s").mapInArrow(run, f"k {sets.schema['k'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    return map_arrow(sets.select("k", "s"), run, f"k {sets.schema['k'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:

@@ -10,12 +10,13 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from linkspark.llm import decontaminate, language, licenses, neardup, pieces, quality, quality_rules, sharding, tokencounts, tokenfiles
+from linkspark.llm import common, decontaminate, language, licenses, neardup, pieces, quality, quality_rules, sharding, tokencounts, tokenfiles
 from linkspark.llm.automaton import SuffixAutomaton
 from linkspark.llm.common import fold_col, words_of
 from linkspark.llm.queries import ORACLE_SQL, QUERIES, tokenizer
@@ -905,3 +906,30 @@ def test_small_groups_follow_their_language_without_a_switch(spark):
 def test_folds(spark):
     rows = spark.createDataFrame([(17,), (None,), (-3,)], "k long").select("k", fold_col(F.col("k")).alias("f")).collect()
     assert [r.f for r in rows] == [zlib.crc32(b"17") % 5, 0, zlib.crc32(b"-3") % 5]
+
+
+def test_arrow_batches_are_small_and_hold_a_text_once(spark, monkeypatch):
+    spark.conf.unset(common.BATCH_CONF)
+    monkeypatch.setattr(common, "sliced", lambda batch, at: [batch])
+    wide = spark.range(0, 6000, 1, 1).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 4000)).alias("text"))
+
+    def weigh(texts):
+        return {"r_b": pa.array([sum(map(len, texts))] * len(texts), pa.int64())}
+
+    got = common.map_texts(wide, "text", weigh, "r_b long", ["text", "id"]).selectExpr("k0 as text", "k1 as id", "r_b")
+    most = got.agg(F.max("r_b")).first()[0]  # 24 MB of text in one batch before, 2 MB if the text stood twice
+    assert 0.9 * common.BATCH_BYTES < most < 1.1 * common.BATCH_BYTES
+    assert got.count() == 6000 and got.join(wide, ["id", "text"]).count() == 6000
+    spark.conf.unset(common.BATCH_CONF)
+    neardup.shingle_sets(wide.toDF("k", "t"))
+    assert int(spark.conf.get(common.BATCH_CONF)) == common.BATCH_BYTES
+    spark.conf.set(common.BATCH_CONF, "1m")  # a session's own bound stays
+    common.map_texts(wide, "text", weigh, "r_b long", ["id"])
+    assert spark.conf.get(common.BATCH_CONF) == "1m"
+    spark.conf.unset(common.BATCH_CONF)
+
+
+def test_kept_texts_that_are_no_strings(spark):
+    df = spark.createDataFrame([(1, 12, "a"), (2, None, "b")], "id long, text int, other string")
+    out = common.map_texts(df, "text", lambda texts: {"r_t": pa.array(texts, pa.string())}, "r_t string", ["text", "other"])
+    assert sorted(map(tuple, out.collect()), key=str) == [(12, "a", "12"), (None, "b", None)]
