@@ -440,7 +440,7 @@ def test_cosines_of_texts_equal_those_of_rows(spark):
 
 
 #: Queries whose pairs are compared by their texts.
-BY_TEXTS = ["feat_pack_views", "feat_base_fuzzy", "feat_base"]
+BY_TEXTS = ["feat_pack_views", "feat_base_fuzzy", "feat_base", "feat_second_explainer"]
 
 
 @pytest.mark.parametrize("name", BY_TEXTS)
